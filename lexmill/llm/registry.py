@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP2_SQL, op2_benchmark_decontamination
 from .near_dedup import op1_minhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": OP2_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
