@@ -6,9 +6,11 @@ the sketch of the symmetric difference, so its population count p gives
 |difference| = -n/2 * ln(1 - 2p/n) and similarity = 1 - |difference| / 2k.
 
 Plan: one narrow Arrow pass makes signatures (the texts go no further), equal
-signatures fold into one node with map-side combining, one shuffle by band key
-brings candidates together, and the links that pass the sketch go through
-large-star / small-star rounds to connected components.
+signatures fold into one node with map-side combining, and one shuffle of
+(band key, node) finds the buckets of two or more. Close copies share most of their
+bands, so equal buckets fold into one before any sketch moves; then the sketches join
+the members, and the links that pass go through large-star / small-star rounds to
+connected components.
 """
 
 from __future__ import annotations
@@ -102,6 +104,36 @@ def linked(sketches: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
+def _bucketer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, rep) rows to one row for each key of two or more: hash of the members, and the members."""
+
+    def buckets(key: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((rep, key))
+        key, rep = key[order], rep[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(starts, len(key)))
+        member = np.repeat(sizes > 1, sizes)
+        rep, sizes = rep[member], sizes[sizes > 1]
+        if len(sizes):
+            offsets = np.append(0, np.cumsum(sizes))
+            digest = np.add.reduceat(mix(rep.view(U64) ^ mix(np.arange(len(rep), dtype=U64) - np.repeat(offsets[:-1], sizes).astype(U64))), offsets[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(mix(digest).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(rep))], names=["bucket", "reps"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        key, rep = batch.column("key").to_numpy(), batch.column("rep").to_numpy()
+        if held and held[0][0][0] == key[-1]:
+            held.append((key, rep))
+            continue
+        last = int(np.searchsorted(key, key[-1], side="left"))
+        yield from buckets(*(np.concatenate(x) for x in zip(*held, (key[:last], rep[:last]))))
+        held = [(key[last:], rep[last:])]
+    if held:
+        yield from buckets(*(np.concatenate(x) for x in zip(*held)))
+
+
 def _linker(bits: int, most: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(batch: pa.RecordBatch):
@@ -109,7 +141,7 @@ def _linker(bits: int, most: int):
             _, offsets, data = sketch.buffers()
             first = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(sketch.type) else np.int32)[sketch.offset]
             words = np.frombuffer(data, np.uint8)[first : first + batch.num_rows * bits // 8].reshape(batch.num_rows, bits // 8)
-            return batch.column("key").to_numpy(), batch.column("rep").to_numpy(), np.ascontiguousarray(words).view(np.uint64)
+            return batch.column("bucket").to_numpy(), batch.column("rep").to_numpy(), np.ascontiguousarray(words).view(np.uint64)
 
         def links(key, rep, words) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -198,8 +230,10 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, samples: int = SA
     """
     signed = cut(signatures(docs, samples=samples, bits=bits, **more))
     nodes = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    banded = nodes.select(F.explode("bands").alias("key"), "rep", "sketch")
-    candidates = banded.repartition("key").sortWithinPartitions("key")
+    banded = nodes.select(F.explode("bands").alias("key"), "rep").repartition("key").sortWithinPartitions("key")
+    buckets = banded.mapInArrow(_bucketer, "bucket long, reps array<long>").groupBy("bucket").agg(F.first("reps").alias("reps"))
+    members = buckets.select("bucket", F.explode("reps").alias("rep")).join(nodes.select("rep", "sketch"), "rep")
+    candidates = members.repartition("bucket").sortWithinPartitions("bucket")
     edges = candidates.mapInArrow(_linker(bits, most_differing(samples, bits, threshold)), "a long, b long")
     roots = components(edges)
     folded = signed.groupBy("d1", "d2", "doc_id").agg(F.lit(1).alias("one"))
