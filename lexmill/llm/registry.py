@@ -7,14 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP2_SQL, op2_benchmark_decontamination
+from .licenses import OP3_SQL, op3_license_scan
 from .near_dedup import op1_minhash_near_dedup
+from .quality import OP4_SQL, op4_host_quality
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_license_scan": op3_license_scan,
+    "op4_host_quality": op4_host_quality,
     "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": OP2_SQL,
+    "op3_license_scan": OP3_SQL,
+    "op4_host_quality": OP4_SQL,
 }
