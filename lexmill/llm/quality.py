@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: A rule flags a document that fails it; figures per document, in the words of both languages.
+#: A rule flags a document that fails it; the limits of its figure are in LIMITS.
 RULES = ("too_short", "long_words", "symbols", "few_letters", "repeated_lines", "shouting")
-LIMITS = {"min_words": 5, "max_word_length": 12.0, "max_symbols": 0.1, "min_letters": 0.6, "max_repeated_lines": 0.3, "max_upper": 0.5}
-HOST_LIMIT, MAX_FAILED = 0.5, 1
+LIMITS = {"min_words": 1, "max_word_length": 14.0, "max_symbols": 0.06, "min_letters": 0.5, "max_repeated_lines": 0.3, "max_upper": 0.5}
+HOST_LIMIT, MAX_FAILED = 0.5, 0
 
 
 def _flags(docs: DataFrame) -> DataFrame:
@@ -71,8 +71,7 @@ def host_verdicts(docs: DataFrame, host_limit: float = HOST_LIMIT, max_failed: i
     """One row for each row of ``docs``: doc_id, source, failed, host_docs, host_failed, keep.
 
     ``failed`` is the number of rules that the document fails, ``host_failed`` the number that
-    its host fails. A document is kept if it fails at most ``max_failed`` rules, fewer by one
-    on a host that fails a rule.
+    its host fails. A document is kept if it fails at most ``max_failed`` rules and its host none.
 
     * A null or empty text fails ``too_short`` and ``few_letters``. Documents without a source share a host.
     * Repeated rows count and are returned each. Other columns are ignored, whatever their names.
@@ -82,7 +81,7 @@ def host_verdicts(docs: DataFrame, host_limit: float = HOST_LIMIT, max_failed: i
     hosts = host_rates(flags).select(F.col("source").alias("__host"), F.col("docs").alias("host_docs"), reduce(add, (F.when(F.col(f"rate_{r}") > host_limit, 1).otherwise(0) for r in RULES)).alias("host_failed"))
     failed = reduce(add, (F.col(r) for r in RULES)).alias("failed")
     joined = flags.select("doc_id", "source", failed).join(hosts, F.col("source").eqNullSafe(F.col("__host")))
-    return joined.select("doc_id", "source", "failed", "host_docs", "host_failed", (F.col("failed") + F.when(F.col("host_failed") > 0, 1).otherwise(0) <= max_failed).alias("keep"))
+    return joined.select("doc_id", "source", "failed", "host_docs", "host_failed", ((F.col("failed") <= max_failed) & (F.col("host_failed") == 0)).alias("keep"))
 
 
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +116,7 @@ prior AS (SELECT {", ".join(f"avg(n_{r} / docs) AS m_{r}, coalesce(var_samp(n_{r
 strengths AS (SELECT *, {", ".join(f"CASE WHEN v_{r} <= 0 THEN 1e6 ELSE least(1e6, greatest(1.0, m_{r} * (1 - m_{r}) / nullif(v_{r}, 0) - 1)) END::DOUBLE AS s_{r}" for r in RULES)} FROM prior),
 verdicts AS (SELECT source, docs, {" + ".join(f"({rate(r)} > {HOST_LIMIT})::INT" for r in RULES)} AS host_failed FROM hosts, strengths)
 SELECT f.doc_id, f.source, {" + ".join(f"f.{r}" for r in RULES)} AS failed, v.docs AS host_docs, v.host_failed,
-       {" + ".join(f"f.{r}" for r in RULES)} + (v.host_failed > 0)::INT <= {MAX_FAILED} AS keep
+       {" + ".join(f"f.{r}" for r in RULES)} <= {MAX_FAILED} AND v.host_failed = 0 AS keep
 FROM flags f JOIN verdicts v ON f.source IS NOT DISTINCT FROM v.source
 """
 
