@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op10_byte_bpe
 from .decontaminate import OP2_SQL, op2_benchmark_decontamination
 from .licenses import OP3_SQL, op3_license_scan
 from .near_dedup import op1_minhash_near_dedup
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_host_quality": op4_host_quality,
     "op9_toxicity": op9_toxicity,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": OP2_SQL,
