@@ -12,6 +12,7 @@ from .licenses import OP3_SQL, op3_license_scan
 from .near_dedup import op1_minhash_near_dedup
 from .quality import OP4_SQL, op4_host_quality
 from .repair import op8_repair_shards
+from .secrets import op6_secret_scan
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_license_scan": op3_license_scan,
     "op4_host_quality": op4_host_quality,
+    "op6_secret_scan": op6_secret_scan,
     "op8_repair_shards": op8_repair_shards,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
