@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of keys that are sent to every executor; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +41,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def keys_side(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """``keys`` computed once, and broadcast if there are at most ``limit`` rows."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= limit else keys

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keys_side, table
 from .kernels import Words, minhashes, shingles, slices
 
 WIDTH, SAMPLES, THRESHOLD = 5, 64, 0.5
@@ -157,7 +157,7 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """``docs`` without the documents that hold a test item; rows without an id stay."""
-    hit = contamination(docs, items, **settings).select(F.col("doc_id").alias("__hit")).distinct()
+    hit = keys_side(contamination(docs, items, **settings).select(F.col("doc_id").alias("__hit")).distinct())
     return docs.join(hit, F.col("doc_id") == F.col("__hit"), "left_anti")
 
 

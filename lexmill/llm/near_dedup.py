@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, keys_side, table
 from .kernels import U64, Words, minhashes, mix, shingles, slices
 
 SHINGLE, SAMPLES, BANDS, ROWS, BITS, THRESHOLD = 3, 256, 24, 4, 1024, 0.55
@@ -248,11 +248,16 @@ def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one document of each near-duplicate group.
 
     All columns and all rows without an id stay. Of rows that repeat one doc_id and text, one stays.
+    The texts are not shuffled as long as the keys to drop are few enough to be broadcast.
     """
-    dropped = near_groups(docs, **settings).filter("not keep").select(F.col("doc_id").alias("__dropped"))
-    left = docs.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
-    mark = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))
-    return left.withColumn("__nth", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(mark)).filter("__nth = 1").drop("__nth")
+    dropped = keys_side(near_groups(docs, **settings).filter("not keep").select(F.col("doc_id").alias("__id")))
+    left = docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")
+    text_key = F.xxhash64("text")
+    repeated = keys_side(docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id"), text_key.alias("__key")).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n"))
+    same = (F.col("doc_id") == F.col("__id")) & (text_key == F.col("__key"))
+    if repeated.isEmpty():
+        return left
+    return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
