@@ -7,12 +7,16 @@ and a limited history: the longest run of turns just before the span within
 HISTORY tokens. History and system turns are repeated for context and masked, as are all
 turns not by the assistant; so each assistant turn is a target in exactly one window.
 
-Plan: one shuffle by conversation (prefix sums and the fold over a sorted array run in
-the JVM); everything else is narrow. Tokens are words and single punctuation marks.
+Plan: tokens (words and single punctuation marks) are counted in the JVM, one shuffle by
+conversation sorts the turns, and one Arrow pass over the sorted stream cuts the windows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +24,73 @@ from .common import table
 
 BUDGET, HISTORY = 512, 128
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+WINDOWS = "conv_id long, window long, first_turn long, last_turn long, history_turns long, tokens long, target_tokens long, text string, mask string"
 
 
 def tokens(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))).cast("long")
 
 
+def spans(counts: np.ndarray, room: int, history: int) -> list[tuple[int, int, int]]:
+    """(first new turn, first turn shown, end) of each window over turns of ``counts`` tokens, by prefix sums."""
+    prefix = np.concatenate([[0], np.cumsum(counts)])
+    out, start, back = [], 0, 0
+    while start < len(counts):
+        # first prefix beyond the room; the turn that reaches it opens the next window
+        end = max(start + 1, int(np.searchsorted(prefix, prefix[back] + room, side="right")) - 1)
+        out.append((start, back, end))
+        start = end
+        if start < len(counts):
+            limit = min(history, max(0, room - int(counts[start])))
+            back = int(np.searchsorted(prefix, prefix[start] - limit, side="left"))
+    return out
+
+
+def _conversation(conv: int, turns: list, roles: list, texts: list, counts: list, budget: int, history: int) -> Iterator[tuple]:
+    lead = int(roles[0] == "system")
+    system = counts[0] if lead else 0
+    shown = [f"<|{r}|>{t}" for r, t in zip(roles, texts)]
+    own = np.array(counts[lead:], np.int64)
+    answers = np.array([r == "assistant" for r in roles[lead:]], bool)
+    for k, (start, back, end) in enumerate(spans(own, max(0, budget - system), history)):
+        mask = "0" * (lead + start - back) + "".join("1" if a else "0" for a in answers[start:end])
+        text = "\n".join(shown[:lead] + shown[lead + back : lead + end])
+        yield conv, k, turns[lead + start], turns[lead + end - 1], start - back, system + int(own[back:end].sum()), int(own[start:end][answers[start:end]].sum()), text, mask
+
+
+def _windower(budget: int, history: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 7 + [pa.string()] * 2
+        names = [x.split()[0] for x in WINDOWS.split(", ")]
+
+        def windows(held: list[list]) -> Iterator[pa.RecordBatch]:
+            convs = np.array(held[0])
+            at = np.flatnonzero(np.append(True, convs[1:] != convs[:-1])).tolist()
+            rows = [w for a, b in zip(at, [*at[1:], len(convs)]) for w in _conversation(held[0][a], *(c[a:b] for c in held[1:]), budget, history)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+        held: list[list] = [[], [], [], [], []]
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            # the last conversation of a batch may go on in the next one
+            cut = next((i for i in range(batch.num_rows - 1, -1, -1) if columns[0][i] != columns[0][-1]), -1) + 1
+            if held[0] and held[0][0] != columns[0][0]:
+                yield from windows(held)
+                held = [[], [], [], [], []]
+            if cut:
+                yield from windows([h + c[:cut] for h, c in zip(held, columns)])
+                held = [c[cut:] for c in columns]
+            else:
+                held = [h + c for h, c in zip(held, columns)]
+        if held[0]:
+            yield from windows(held)
+
+    return run
+
+
 def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row for each window: conv_id, window, first_turn, last_turn, history_turns, tokens, target_tokens, text, mask.
 
@@ -41,50 +106,8 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY)
     """
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("user")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = turns.filter("conv_id is not null and turn is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), tokens(F.col("text").cast("string")).alias("n"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "n"))).alias("all"))
-    leads = F.element_at("all", 1)["role"] == "system"
-    parted = whole.select("conv_id", F.when(leads, F.slice("all", 1, 1)).otherwise(F.slice("all", 1, 0)).alias("system"), F.when(leads, F.slice("all", 2, F.greatest(F.lit(1), F.size("all")))).otherwise(F.col("all")).alias("turns")).filter(F.size("turns") > 0)
-    system_tokens = F.aggregate("system", F.lit(0).cast("long"), lambda a, t: a + t["n"])
-    zero = F.array(F.lit(0).cast("long"))
-    # prefix[i] = tokens of the first i turns
-    prefix = F.aggregate("turns", zero, lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t["n"])))
-    summed = parted.select("conv_id", "system", "turns", system_tokens.alias("system_tokens"), prefix.alias("prefix"))
-    room = F.greatest(F.lit(0).cast("long"), F.lit(budget) - F.col("system_tokens"))
-
-    # the fold walks over the turns; starts: first turn (from 0) of each window, with its first history turn
-    def history_from(s: Column) -> Column:
-        """First turn of the longest history before turn s that fits with turn s itself."""
-        limit = F.least(F.lit(history).cast("long"), F.greatest(F.lit(0).cast("long"), room - (F.element_at("prefix", s + 2) - F.element_at("prefix", s + 1))))
-        fits = F.filter(F.sequence(F.lit(0), s), lambda h: F.element_at("prefix", s + 1) - F.element_at("prefix", h + 1) <= limit)
-        return F.array_min(fits)
-
-    begin = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("back")))
-    starts = F.aggregate(
-        F.sequence(F.lit(0), F.size("turns") - 1),
-        begin,
-        lambda a, i: F.when(
-            (i > F.element_at(a, -1)["start"]) & (F.element_at("prefix", i + 2) - F.element_at("prefix", F.element_at(a, -1)["back"] + 1) > room),
-            F.concat(a, F.array(F.struct(i.alias("start"), history_from(i).alias("back")))),
-        ).otherwise(a),
-    )
-    windows = summed.select("*", starts.alias("starts")).select("*", F.posexplode("starts").alias("window", "s"))
-    last = F.coalesce(F.get("starts", F.col("window") + 1)["start"], F.size("turns")) - 1
-    spans = windows.select("conv_id", F.col("window").cast("long").alias("window"), "system", "turns", "prefix", "system_tokens", F.col("s.start").alias("start"), F.col("s.back").alias("back"), last.alias("last"))
-    shown = F.concat("system", F.slice("turns", F.col("back") + 1, F.col("last") - F.col("back") + 1))
-    new = F.slice("turns", F.col("start") + 1, F.col("last") - F.col("start") + 1)
-    masked = F.size("system") + F.col("start") - F.col("back")
-    targets = F.filter(new, lambda t: t["role"] == "assistant")
-    return spans.select(
-        "conv_id",
-        "window",
-        F.get("turns", F.col("start"))["turn"].alias("first_turn"),
-        F.get("turns", F.col("last"))["turn"].alias("last_turn"),
-        (F.col("start") - F.col("back")).cast("long").alias("history_turns"),
-        (F.col("system_tokens") + F.element_at("prefix", F.col("last") + 2) - F.element_at("prefix", F.col("back") + 1)).alias("tokens"),
-        F.aggregate(targets, F.lit(0).cast("long"), lambda a, t: a + t["n"]).alias("target_tokens"),
-        F.array_join(F.transform(shown, lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>"), t["text"])), "\n").alias("text"),
-        F.array_join(F.transform(shown, lambda t, i: F.when((i >= masked) & (t["role"] == "assistant"), "1").otherwise("0")), "").alias("mask"),
-    )
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return ordered.mapInArrow(_windower(budget, history), WINDOWS)
 
 
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
