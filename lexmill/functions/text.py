@@ -14,7 +14,9 @@ WORD = "[A-Za-z0-9_]{2,}"
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 #: White space of Python's str.strip().
 SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_WIDE, _NARROW = "，、：；（）「」『』【】《》〈〉～", ",,:;()[][][]《》〈〉~"
+
+
+_BLANKS = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(text: Column) -> Column:
@@ -59,11 +61,23 @@ def without_stop_words(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(*STOP_WORDS))
 
 
+def ascii_words(text: Column) -> Column:
+    """Lower-case ASCII words of two or more characters.
+
+    The text is lowered once, before the split; the two characters that would turn into ASCII letters are
+    taken out first.
+    """
+    lowered = F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\ufffd")), F.lit("\u0130"), F.lit("\ufffd")))
+    return F.regexp_extract_all(lowered, F.lit("[a-z0-9_]{2,}"), F.lit(0))
+
+
 def search_tokens(text: Column) -> Column:
-    """CJK tokens, then lower-case ASCII words of two or more characters, without stop words."""
-    plain = F.translate(text, _WIDE, _NARROW)
-    words = F.transform(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)), F.lower)
-    return without_stop_words(F.concat(cjk_ngrams(plain), words))
+    """CJK tokens, then lower-case ASCII words of two or more characters, without stop words.
+
+    Full-width punctuation parts tokens just as half-width punctuation does.
+    """
+    words = ascii_words(text)
+    return without_stop_words(F.when(text.rlike(f"[{CJK}]"), F.concat(cjk_ngrams(text), words)).otherwise(words))
 
 
 def index_text(text: Column) -> Column:
@@ -73,7 +87,9 @@ def index_text(text: Column) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """What the index counts: tokens, split at underscores."""
-    return F.filter(F.split(index_text(text), "[ _]+"), lambda t: t != "")
+    whole = search_tokens(text)
+    split = F.filter(F.flatten(F.transform(whole, lambda t: F.split(t, "_"))), lambda t: t != "")
+    return F.when(F.contains(text, F.lit("_")), split).otherwise(whole)
 
 
 def markdown_to_plain(text: Column) -> Column:
@@ -159,9 +175,11 @@ def tidy_title(text: Column) -> Column:
 
 def document_title(text: Column, stem: Column) -> Column:
     """The heading text if the first line that is not blank is a heading, else the stem."""
-    first = F.get(F.filter(F.transform(lines(text), strip), lambda x: x != ""), F.lit(0))
+    head = F.ltrim(text, F.lit(_BLANKS))
+    first = strip(F.regexp_extract(head, r"^([^\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]*)", 1))
     heading = tidy_title(F.regexp_replace(first, r"^#{1,6}\s+", ""))
-    return F.when(first.startswith("#") & (heading != ""), heading).otherwise(stem)
+    # most texts stop at the test for a mark, which copies nothing
+    return F.when(head.startswith("#"), F.coalesce(F.nullif(heading, F.lit("")), stem)).otherwise(stem)
 
 
 def title_keywords(title: Column) -> Column:

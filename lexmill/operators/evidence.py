@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .search import MAX_TOKENS, query_rows, search
+from .search import MAX_TOKENS, batch_side, query_rows, search
 
 MAX_LINES, SHOWN, LONG = 10, 5, 3
 
@@ -34,8 +34,8 @@ def results(docs: DataFrame, queries: DataFrame, rerank: bool = True) -> DataFra
     found = search(docs, queries, rerank)
     asked = query_rows(queries).select("query_id", "tokens")
     return (
-        found.join(docs.select("doc_key", "doc_id", "title", "source_file", "text"), "doc_key")
-        .join(asked, "query_id")
+        docs.select("doc_key", "doc_id", "title", "source_file", "text")
+        .join(batch_side(found.join(asked, "query_id"), queries), "doc_key")
         .select("query_id", "rank", "doc_key", "doc_id", "title", "source_file", "score", matching_lines(tx.strip(F.col("text")), F.col("tokens")).alias("matches"))
     )
 

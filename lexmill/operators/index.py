@@ -14,20 +14,40 @@ from ..functions import text as tx
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """(doc_key, is_active, title_tokens, body_tokens)."""
-    return docs.select("doc_key", "is_active", tx.index_tokens(F.col("title")).alias("title_tokens"), tx.index_tokens(F.col("text")).alias("body_tokens"))
+    """(doc_key, is_active, dl, title_tokens, body_tokens); dl is the number of tokens in title and body."""
+    tokens = docs.select("doc_key", "is_active", tx.index_tokens(F.col("title")).alias("title_tokens"), tx.index_tokens(F.col("text")).alias("body_tokens"))
+    return tokens.select("doc_key", "is_active", (F.size("title_tokens") + F.size("body_tokens")).cast("long").alias("dl"), "title_tokens", "body_tokens")
+
+
+def _occurrences(tokens: DataFrame, keep: list[str]) -> DataFrame:
+    """One row for each token of each document: the kept columns, token, title (1 in the title, 0 in the body)."""
+    tagged = lambda c, title: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(title).alias("title")))
+    both = F.concat(tagged("title_tokens", 1), tagged("body_tokens", 0))
+    return tokens.select(*keep, F.explode(both).alias("p")).select(*keep, "p.token", "p.title")
+
+
+def _counted(occurrences: DataFrame, keys: list[str]) -> DataFrame:
+    return occurrences.groupBy(*keys, "token").agg(F.sum("title").cast("long").alias("tf_title"), F.sum(1 - F.col("title")).cast("long").alias("tf_body"))
 
 
 def postings(tokens: DataFrame) -> DataFrame:
     """(doc_key, token, tf_title, tf_body)."""
-    tagged = F.concat(F.transform("title_tokens", lambda t: F.struct(t.alias("token"), F.lit(1).alias("title"))), F.transform("body_tokens", lambda t: F.struct(t.alias("token"), F.lit(0).alias("title"))))
-    each = tokens.select("doc_key", F.explode(tagged).alias("p")).select("doc_key", "p.token", "p.title")
-    return each.groupBy("doc_key", "token").agg(F.sum("title").cast("long").alias("tf_title"), F.sum(1 - F.col("title")).cast("long").alias("tf_body"))
+    return _counted(_occurrences(tokens, ["doc_key"]), ["doc_key"])
+
+
+def matching_postings(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_key, is_active, dl, token, tf_title, tf_body) of the tokens in ``wanted`` (token) alone.
+
+    Other tokens are dropped before the shuffle, and the length travels with the posting, so no
+    join with the documents is needed.
+    """
+    keys = ["doc_key", "is_active", "dl"]
+    return _counted(_occurrences(tokens, keys).join(wanted, "token", "left_semi"), keys)
 
 
 def doc_lengths(tokens: DataFrame) -> DataFrame:
-    """(doc_key, is_active, dl): tokens in title and body."""
-    return tokens.select("doc_key", "is_active", (F.size("title_tokens") + F.size("body_tokens")).cast("long").alias("dl"))
+    """(doc_key, is_active, dl)."""
+    return tokens.select("doc_key", "is_active", "dl")
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -39,19 +59,6 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def matching_postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Postings of the tokens in ``wanted`` alone: others are dropped before the shuffle.
-
-    ``wanted`` (token) holds the tokens of a query batch, whose size the caller has checked or left
-    to AQE.
-    """
-    tokens = tokenised(docs)
-    tagged = F.concat(F.transform("title_tokens", lambda t: F.struct(t.alias("token"), F.lit(1).alias("title"))), F.transform("body_tokens", lambda t: F.struct(t.alias("token"), F.lit(0).alias("title"))))
-    each = tokens.select("doc_key", F.explode(tagged).alias("p")).select("doc_key", "p.token", "p.title")
-    hit = each.join(wanted, "token", "left_semi")
-    return hit.groupBy("doc_key", "token").agg(F.sum("title").cast("long").alias("tf_title"), F.sum(1 - F.col("title")).cast("long").alias("tf_body"))
-
-
 def write_index(docs: DataFrame, name: str, buckets: int = 64) -> None:
     """Store postings bucketed and sorted by token, and lengths bucketed by document, as tables."""
     tokens = tokenised(docs)

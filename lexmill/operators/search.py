@@ -1,8 +1,8 @@
 """Batched search: exact identifiers, BM25, merging, rank normalisation and window-density rerank.
 
 Queries are rows (query_id, text, top_k, doc_ids); all operators work on the whole batch in one
-plan. A batch of queries is small against the corpus, so its tokens are broadcast when
-their number is within BROADCAST_QUERIES, and joined by a shuffle beyond it.
+plan. A batch of at most BROADCAST_QUERIES queries is broadcast with its candidates, so texts are
+not shuffled; a larger one is joined by a shuffle.
 
 bm25(d) = - sum over query tokens, repeats included, of
     idf * f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avgdl)),   f = 10 tf_title + tf_body
@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .index import corpus_stats, doc_lengths, document_frequency, matching_postings, tokenised
+from .index import corpus_stats, doc_lengths, matching_postings, tokenised
 
 K1, B, TITLE_WEIGHT, BODY_WEIGHT = 1.2, 0.75, 10.0, 1.0
 MAX_TOKENS, POOL, EXACT_SCORE, MIN_IDENTIFIER = 64, 3, -100.0, 4
 WINDOW, STEP, MIN_ASCII = 20, 5, 4
-BROADCAST_QUERIES = 100_000
+BROADCAST_QUERIES = 10_000
 
 
 def query_rows(queries: DataFrame) -> DataFrame:
@@ -40,41 +40,49 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_key, score) of every active document that holds a query token."""
+    """(query_id, doc_key, score) of every active document that holds a query token.
+
+    Document frequencies and scores share one shuffle by token, over the postings of query tokens alone.
+    """
     tokens = tokenised(docs)
-    lengths = doc_lengths(tokens)
-    stats = corpus_stats(lengths)
+    stats = corpus_stats(doc_lengths(tokens))
     asked = query_tokens(queries)
-    wanted = asked.select("token").distinct()
-    post = matching_postings(docs, wanted)
-    frequency = document_frequency(post)
+    post = matching_postings(tokens, asked.select("token").distinct())
+    counted = post.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("is_active")
     raw_idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(frequency, "token").crossJoin(F.broadcast(stats)).select("query_id", "token", "times", F.when(raw_idf > 0, raw_idf).otherwise(F.lit(1e-6)).alias("idf"), "avgdl")
+    idf = F.when(raw_idf > 0, raw_idf).otherwise(F.lit(1e-6))
     f = F.lit(TITLE_WEIGHT) * F.col("tf_title") + F.lit(BODY_WEIGHT) * F.col("tf_body")
-    part = F.col("times") * F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    active = lengths.filter("is_active").select("doc_key", "dl")
-    scored = post.join(weighted, "token").join(active, "doc_key").select("query_id", "doc_key", part.alias("part"))
+    part = F.col("times") * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = counted.join(asked, "token").crossJoin(F.broadcast(stats)).select("query_id", "doc_key", part.alias("part"))
     return scored.groupBy("query_id", "doc_key").agg(F.round(-F.sum("part"), 6).alias("score"))
 
 
+def batch_side(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """``rows`` of a query batch, broadcast if the batch has at most BROADCAST_QUERIES queries."""
+    return F.broadcast(rows) if queries.count() <= BROADCAST_QUERIES else rows
+
+
 def ranked(scores: DataFrame, order: list[Column], limit: Column) -> DataFrame:
     """The first rows of each query, with their rank; a window group limit, not a full sort."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
-def restricted(scores: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Scores of the documents that each query asks for; no list, or an empty one, asks for all."""
-    ids = scores.join(docs.select("doc_key", "doc_id"), "doc_key").join(queries.select("query_id", "doc_ids", "top_k"), "query_id")
-    clean = F.filter(F.transform("doc_ids", tx.strip), lambda d: d != "")
-    return ids.filter(F.coalesce(F.size(clean) <= 0, F.lit(True)) | F.array_contains(clean, F.col("doc_id"))).drop("doc_ids")
+def wanted_document(doc_ids: Column, doc_id: Column) -> Column:
+    """Whether a query asks for a document; no list, or one of blanks, asks for all."""
+    clean = F.filter(F.transform(doc_ids, tx.strip), lambda d: d != "")
+    return F.coalesce(F.size(clean) <= 0, F.lit(True)) | F.array_contains(clean, doc_id)
 
 
 def bm25_top(docs: DataFrame, queries: DataFrame, pool: int = 1) -> DataFrame:
     """(query_id, doc_key, doc_id, score, rank): the best ``pool`` * top_k documents; ties by doc_key."""
     asked = query_rows(queries)
-    scores = restricted(bm25_scores(docs, asked), asked, docs)
-    return ranked(scores, [F.col("score"), F.col("doc_key")], F.col("top_k") * pool).select("query_id", "doc_key", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    scores = bm25_scores(docs, asked).join(batch_side(asked.select("query_id", "doc_ids", "top_k"), queries), "query_id")
+    names = docs.select("doc_key", "doc_id")
+    if "doc_ids" in queries.columns:
+        scores = scores.join(names, "doc_key").filter(wanted_document(F.col("doc_ids"), F.col("doc_id"))).drop("doc_id")
+    best = ranked(scores.drop("doc_ids"), [F.col("score"), F.col("doc_key")], F.col("top_k") * pool)
+    return names.join(batch_side(best, queries), "doc_key").select("query_id", "doc_key", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def exact_matches(docs: DataFrame, queries: DataFrame, normal=tx.alias_form) -> DataFrame:
@@ -86,9 +94,8 @@ def exact_matches(docs: DataFrame, queries: DataFrame, normal=tx.alias_form) ->
     asked = query_rows(queries).withColumn("q", normal(F.col("text"))).filter(F.length("q") >= MIN_IDENTIFIER)
     names = docs.filter("is_active").select("doc_key", "doc_id", normal(F.col("doc_id")).alias("a"), normal(F.col("title")).alias("b"))
     side = lambda c: (F.length(c) > 0) & (F.contains(F.col("q"), F.col(c)) | F.contains(F.col(c), F.col("q")))
-    pairs = names.join(asked, side("a") | side("b"))
-    clean = F.filter(F.transform("doc_ids", tx.strip), lambda d: d != "")
-    kept = pairs.filter(F.coalesce(F.size(clean) <= 0, F.lit(True)) | F.array_contains(clean, F.col("doc_id")))
+    pairs = names.join(batch_side(asked, queries), side("a") | side("b"))
+    kept = pairs.filter(wanted_document(F.col("doc_ids"), F.col("doc_id")))
     return ranked(kept, [F.col("doc_key")], F.col("top_k")).select("query_id", "doc_key", F.col("rank").cast("long").alias("rank"))
 
 
@@ -139,7 +146,8 @@ def search(docs: DataFrame, queries: DataFrame, rerank: bool = True) -> DataFram
     ascii_tokens = F.array_distinct(F.filter("tokens", lambda t: t.rlike(r"^[\x00-\x7F]+$")))
     context = asked.select("query_id", ascii_tokens.alias("ascii"))
     several = F.count("*").over(Window.partitionBy("query_id")) > 1
-    joined = pool.join(context, "query_id").withColumn("dense", several & (F.size("ascii") >= MIN_ASCII)).join(docs.select("doc_key", "text"), "doc_key")
+    dense = pool.join(context, "query_id").withColumn("dense", several & (F.size("ascii") >= MIN_ASCII))
+    joined = docs.select("doc_key", "text").join(batch_side(dense, queries), "doc_key")  # texts stay where they are
     density = F.when(F.col("dense"), window_density(F.col("text"), F.col("ascii")))
     scored = joined.select("query_id", "doc_key", F.col("rank").alias("pool_rank"), "score", "top_k", density.cast("long").alias("density"))
     return ranked(scored, [F.coalesce("density", F.lit(0)).desc(), F.col("pool_rank")], F.col("top_k")).select("query_id", "doc_key", F.col("rank").cast("long").alias("rank"), "score", "density")

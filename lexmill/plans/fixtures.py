@@ -13,8 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files have fewer splits than there are cores, which only small inputs have."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(table(spark, sf_dir, "documents"))
+    return corpus(spread(table(spark, sf_dir, "documents")))
 
 
 CORPUS = """corpus AS (
