@@ -251,7 +251,7 @@ def query_results(spark, d):
 _INLINE = "replace(replace({}, '`', chr(39)), chr(10), ' ')"
 
 
-@query(f"""{_EVIDENCE}, blocks AS (SELECT query_id, string_agg('## ' || title || ' (`' || source_file || '`)' || chr(10) || chr(10) || '- bm25_score: ' || printf('%.4f', score) || chr(10)
+@query(f"""{_EVIDENCE}, blocks AS (SELECT query_id, string_agg('## ' || title || ' (`' || source_file || '`)' || chr(10) || chr(10) || '- bm25_score: ' || printf('%.4f', round(score::DECIMAL(18, 6), 4)::DOUBLE) || chr(10)
     || CASE WHEN len(matches) > 0 THEN '- matches: ' || len(matches) || ' line(s)' || chr(10) || chr(10) || '| line | text |' || chr(10) || '|---|---|' || chr(10)
        || array_to_string(list_transform(matches, lambda m: '| ' || m.line || ' | ' || {_INLINE.format("m.text")} || ' |' || chr(10)), '') || chr(10) ELSE chr(10) END, '' ORDER BY rank) AS b FROM evidence GROUP BY query_id)
   SELECT a.query_id, '# Query Results' || chr(10) || chr(10) || '- query: `' || {_INLINE.format("query")} || '`' || chr(10) || '- documents: ' || CASE WHEN scope THEN n ELSE 0 END || chr(10) || chr(10)
