@@ -157,8 +157,9 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """``docs`` without the documents that hold a test item; rows without an id stay."""
-    hit = keys_side(contamination(docs, items, **settings).select(F.col("doc_id").alias("__hit")).distinct())
-    return docs.join(hit, F.col("doc_id") == F.col("__hit"), "left_anti")
+    hit = keys_side(contamination(docs, items, **settings).select(F.col("doc_id").alias("id")).distinct())
+    rows = docs.select(F.struct("*").alias("row"))  # one column, so that no name clashes with the key's
+    return rows.join(hit, F.col("row.doc_id") == F.col("id"), "left_anti").select("row.*")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,14 +250,16 @@ def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     All columns and all rows without an id stay. Of rows that repeat one doc_id and text, one stays.
     The texts are not shuffled as long as the keys to drop are few enough to be broadcast.
     """
-    dropped = keys_side(near_groups(docs, **settings).filter("not keep").select(F.col("doc_id").alias("__id")))
-    left = docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")
-    text_key = F.xxhash64("text")
-    repeated = keys_side(docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id"), text_key.alias("__key")).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n"))
-    same = (F.col("doc_id") == F.col("__id")) & (text_key == F.col("__key"))
-    if repeated.isEmpty():
-        return left
-    return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    rows = docs.select(F.struct("*").alias("row"))  # one column, so that no name clashes with a key's
+    own, text_key = F.col("row.doc_id"), F.xxhash64("row.text")
+    dropped = keys_side(near_groups(docs, **settings).filter("not keep").select(F.col("doc_id").alias("id")))
+    left = rows.join(dropped, own == F.col("id"), "left_anti")
+    repeated = keys_side(rows.filter(own.isNotNull()).groupBy(own.alias("id"), text_key.alias("key")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    if not repeated.isEmpty():
+        same = (own == F.col("id")) & (text_key == F.col("key"))
+        again = left.join(repeated, same, "left_semi").select("row", own.alias("id"), F.col("row.text").alias("text")).dropDuplicates(["id", "text"]).select("row")
+        left = left.join(repeated, same, "left_anti").unionByName(again)
+    return left.select("row.*")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
