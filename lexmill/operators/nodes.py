@@ -97,7 +97,12 @@ def relation_digest(rows: DataFrame, keys: list[str], order: list[str]) -> DataF
 
 
 def index_binding(docs: DataFrame) -> DataFrame:
-    """One digest over the active documents: per-document digests are made in parallel, then joined in order."""
-    each = docs.filter("is_active").select("doc_id", "version", F.sha2(F.to_json(F.struct("doc_id", "title", "version")), 256).alias("d"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "version", "d"))), lambda x: x["d"])
-    return each.agg(F.sha2(F.array_join(ordered, ""), 256).alias("binding"))
+    """One digest over the active documents, as a tree: documents, at most 4,096 buckets by id, the whole.
+
+    No task holds more than its bucket, and the last one the buckets.
+    """
+    digest = F.sha2(F.concat_ws("\n", "doc_id", "title", "version"), 256)
+    each = docs.filter("is_active").select(F.substring(F.sha2("doc_id", 256), 1, 3).alias("bucket"), "doc_id", "version", digest.alias("d"))
+    joined = lambda *keys: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*keys, "d"))), lambda x: x["d"]), ""), 256)
+    buckets = each.groupBy("bucket").agg(joined("doc_id", "version").alias("d"))
+    return buckets.agg(joined("bucket").alias("binding"))

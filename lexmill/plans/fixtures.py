@@ -23,6 +23,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spread(table(spark, sf_dir, "documents")))
 
 
+def with_language(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    return docs.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), "lang"), "doc_key")
+
+
 CORPUS = """corpus AS (
   SELECT doc_id AS doc_key, source || '-' || doc_id AS doc_id, source || '-' || doc_id AS title, source || '-' || doc_id || '.txt' AS source_file, source, lang, text
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)"""
@@ -105,23 +109,23 @@ NODES = """nodes AS (
 
 
 def snapshot(docs: DataFrame, which: int) -> DataFrame:
-    """Two states of the same documents. In the second every tenth path is gone and every eleventh new, every
-    third source differs, and of those every other text too."""
-    at, text = F.col("doc_key"), F.col("text")
+    """Two states of the same documents. The first has no French ones, the second no German ones; in the second the source
+    of every longer text differs, and of the longest ones the text too."""
+    size, text = F.length("text"), F.col("text")
     if which == 1:
-        kept, source, body = docs.filter(at % 11 != 0), text, text
+        kept, source, body = docs.filter("lang <> 'fr'"), text, text
     else:
-        kept = docs.filter(at % 10 != 0)
-        source = F.when(at % 3 == 0, F.concat(text, F.lit(" "))).otherwise(text)
-        body = F.when(at % 6 == 0, F.concat(text, F.lit(" changed"))).otherwise(text)
+        kept = docs.filter("lang <> 'de'")
+        source = F.when(size > 1500, F.concat(text, F.lit(" "))).otherwise(text)
+        body = F.when(size > 3000, F.concat(text, F.lit(" changed"))).otherwise(text)
     return kept.select("doc_id", F.concat(F.lit("/in/"), F.col("source_file")).alias("source_path"), F.sha2(source, 256).alias("source_fingerprint"), F.sha2(body, 256).alias("text_fingerprint"), F.lit(True).alias("is_active"))
 
 
 SNAPSHOTS = f"""{CORPUS}, old AS (
-  SELECT doc_id, '/in/' || source_file AS source_path, sha256(text) AS source_fingerprint, sha256(text) AS text_fingerprint, true AS is_active FROM corpus WHERE doc_key % 11 <> 0),
+  SELECT doc_id, '/in/' || source_file AS source_path, sha256(text) AS source_fingerprint, sha256(text) AS text_fingerprint, true AS is_active FROM corpus WHERE lang <> 'fr'),
 fresh AS (
-  SELECT doc_id, '/in/' || source_file AS source_path, sha256(CASE WHEN doc_key % 3 = 0 THEN text || ' ' ELSE text END) AS source_fingerprint,
-         sha256(CASE WHEN doc_key % 6 = 0 THEN text || ' changed' ELSE text END) AS text_fingerprint, true AS is_active FROM corpus WHERE doc_key % 10 <> 0),
+  SELECT doc_id, '/in/' || source_file AS source_path, sha256(CASE WHEN len(text) > 1500 THEN text || ' ' ELSE text END) AS source_fingerprint,
+         sha256(CASE WHEN len(text) > 3000 THEN text || ' changed' ELSE text END) AS text_fingerprint, true AS is_active FROM corpus WHERE lang <> 'de'),
 changes AS (
   SELECT coalesce(o.doc_id, f.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN f.doc_id IS NULL THEN 'removed' WHEN f.source_fingerprint = o.source_fingerprint THEN 'unchanged'
          WHEN f.text_fingerprint = o.text_fingerprint THEN 'metadata_only' ELSE 'rebuild' END AS change

@@ -87,17 +87,17 @@ def bm25_dup_tokens(spark, d):
     return search.bm25_top(fx.documents(spark, d), fx.benchmark_queries(spark, d).withColumn("text", F.concat_ws(" ", F.col("text"), F.get(words, F.lit(0)), F.get(words, F.lit(1)))))
 
 
-@query(f"{_INDEX}, {fx.QUERIES}, {fx.BM25} {_TOP.format(where=chr(10) + ' WHERE c.doc_key % 7 = s.query_id % 7')}")
+@query(f"{_INDEX}, {fx.QUERIES}, {fx.BM25} {_TOP.format(where=chr(10) + ' WHERE c.lang = (SELECT CASE WHEN len(q.text) > 200 THEN \'en\' ELSE \'fr\' END FROM queries q WHERE q.query_id = s.query_id)')}")
 def bm25_doc_filter(spark, d):
     docs = fx.documents(spark, d)
-    groups = docs.groupBy((F.col("doc_key") % 7).alias("g")).agg(F.collect_list("doc_id").alias("doc_ids"))
-    asked = fx.benchmark_queries(spark, d).join(groups, F.col("query_id") % 7 == F.col("g")).drop("g")
-    return search.bm25_top(docs, asked)
+    groups = fx.with_language(spark, d, docs).groupBy("lang").agg(F.collect_list("doc_id").alias("doc_ids"))
+    wanted = F.when(F.length("text") > 200, "en").otherwise("fr")
+    return search.bm25_top(docs, fx.benchmark_queries(spark, d).join(groups, wanted == F.col("lang")).drop("lang"))
 
 
-@query(f"{_INDEX}, {fx.QUERIES}, {fx.BM25} {_TOP.format(where=chr(10) + ' WHERE c.doc_key % 10 <> 0')}")
+@query(f"{_INDEX}, {fx.QUERIES}, {fx.BM25} {_TOP.format(where=chr(10) + ' WHERE c.lang <> \'es\'')}")
 def bm25_inactive_stats(spark, d):
-    docs = fx.documents(spark, d).withColumn("is_active", F.col("doc_key") % 10 != 0)
+    docs = fx.with_language(spark, d, fx.documents(spark, d)).withColumn("is_active", F.col("lang") != "es")
     return search.bm25_top(docs, fx.benchmark_queries(spark, d))
 
 
@@ -183,9 +183,6 @@ def match_or(spark, d):
     return fx.documents(spark, d).filter(search.matches_any(tx.search_tokens(F.col("text")), fx.FIXED_TOKENS)).select("doc_key")
 
 
-_AND = ["and", "thing", "ntre"]
-
-
 @query(f"WITH {fx.CORPUS}, t AS (SELECT doc_key, {fx.sql_tokens('text')} AS toks FROM corpus) SELECT doc_key FROM t WHERE list_has_all(toks, ['nd', 'th'])")
 def match_and(spark, d):
     return fx.documents(spark, d).filter(search.match_expression(tx.search_tokens(F.col("text")), [["nd"], ["th"]], "and", [])).select("doc_key")
@@ -371,11 +368,12 @@ def block_spans(spark, d):
     return structure.block_spans(fx.structured(spark, d))
 
 
-_UNDERLINED = "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 6 = 0 THEN left(x, 50) || chr(10) || '=====' WHEN i % 4 = 0 THEN chr(10) || left(x, 40) || chr(10) ELSE x END), chr(10))"
+_UNDERLINED = "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 6 = 0 THEN x || chr(10) || 'Part ' || i || chr(10) || '=====' WHEN i % 4 = 0 THEN chr(10) || 'Note ' || i || chr(10) || chr(10) || x ELSE x END), chr(10))"
 
 
 def _underlined(spark, d):
-    shaped = F.transform(F.split("text", "\n"), lambda x, i: F.when((i + 1) % 6 == 0, F.concat(F.substring(x, 1, 50), F.lit("\n====="))).when((i + 1) % 4 == 0, F.concat(F.lit("\n"), F.substring(x, 1, 40), F.lit("\n"))).otherwise(x))
+    number = lambda i: (i + 1).cast("string")
+    shaped = F.transform(F.split("text", "\n"), lambda x, i: F.when((i + 1) % 6 == 0, F.concat(x, F.lit("\nPart "), number(i), F.lit("\n====="))).when((i + 1) % 4 == 0, F.concat(F.lit("\nNote "), number(i), F.lit("\n\n"), x)).otherwise(x))
     return fx.documents(spark, d).withColumn("text", F.array_join(shaped, "\n"))
 
 
@@ -449,12 +447,9 @@ def nfkc_canonical(spark, d):
     return fx.documents(spark, d).select("doc_key", udf.canonical_text(F.col("text")).alias("canonical"))
 
 
-_FRONT = "'---' || chr(10) || 'title: \"' || title || '\"' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || chr(10) || text"
-
-
 @query(f"WITH {fx.CORPUS} SELECT doc_key, title AS front_title, lang AS front_lang, text AS body FROM corpus")
 def frontmatter(spark, d):
-    docs = fx.documents(spark, d).join(fx.table(spark, d, "documents").select(F.col("doc_id").alias("doc_key"), "lang"), "doc_key")
+    docs = fx.with_language(spark, d, fx.documents(spark, d))
     full = F.concat(F.lit('---\ntitle: "'), F.col("title"), F.lit('"\nlang: '), F.col("lang"), F.lit("\n---\n\n"), F.col("text"))
     front = tx.front_matter(full)
     return docs.select("doc_key", front["title"].alias("front_title"), front["lang"].alias("front_lang"), tx.strip_front_matter(full).alias("body"))
@@ -538,30 +533,32 @@ def ir_doc_hash(spark, d):
 
 
 def _some_docs(spark, d):
-    c = fx.table(spark, d, "conversations").select("conv_id").distinct().filter("conv_id % 2 = 0")
+    c = fx.table(spark, d, "conversations").filter("role = 'system'").select("conv_id").distinct()
     base = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_id"), F.concat(F.lit("Talk "), F.col("conv_id").cast("string"), F.lit(" V2")).alias("title"), F.lit("").alias("source_file"), F.lit(1).alias("pos"))
     return base.unionByName(base.withColumn("title", F.lit("old")).withColumn("pos", F.lit(0))).unionByName(spark.range(1).select(F.lit("unused").alias("doc_id"), F.lit("x").alias("title"), F.lit("y").alias("source_file"), F.lit(2).alias("pos")))
 
 
-@query("SELECT DISTINCT 'c' || conv_id AS doc_id, CASE WHEN conv_id % 2 = 0 THEN 'Talk ' || conv_id || ' V2' ELSE 'c' || conv_id END AS title, 'c' || conv_id || '.ir' AS source_file, CASE WHEN conv_id % 2 = 0 THEN 'v2' ELSE 'current' END AS source_version FROM conversations")
+@query("""WITH s AS (SELECT conv_id, bool_or(role = 'system') AS own FROM conversations GROUP BY conv_id)
+SELECT 'c' || conv_id AS doc_id, CASE WHEN own THEN 'Talk ' || conv_id || ' V2' ELSE 'c' || conv_id END AS title, 'c' || conv_id || '.ir' AS source_file, CASE WHEN own THEN 'v2' ELSE 'current' END AS source_version FROM s""")
 def implied_docs(spark, d):
     return nodes.implied_documents(_some_docs(spark, d), fx.nodes(spark, d))
 
 
-@query("""SELECT conv_id || ':' || turn AS node_id, 'c' || conv_id AS doc_id, 'current' AS source_version, '' AS ref_path, 0 AS raw_span_start, len(text) AS raw_span_end,
-  CASE WHEN conv_id % 2 = 0 THEN 'canonical/c' || conv_id ELSE '' END AS canonical_text_path, CASE WHEN conv_id % 2 = 0 THEN sha256('c' || conv_id) ELSE '' END AS canonical_text_sha256 FROM conversations""")
+@query("""WITH s AS (SELECT conv_id, bool_or(role = 'system') AS own FROM conversations GROUP BY conv_id)
+SELECT conv_id || ':' || turn AS node_id, 'c' || conv_id AS doc_id, 'current' AS source_version, '' AS ref_path, 0 AS raw_span_start, len(text) AS raw_span_end,
+  CASE WHEN own THEN 'canonical/c' || conv_id ELSE '' END AS canonical_text_path, CASE WHEN own THEN sha256('c' || conv_id) ELSE '' END AS canonical_text_sha256 FROM conversations JOIN s USING (conv_id)""")
 def locators(spark, d):
     c = fx.table(spark, d, "conversations")
     key = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
     rows = c.select(F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("node_id"), key.alias("doc_id"), F.lit("current").alias("source_version"), F.lit("").alias("ref_path"), F.lit(0).alias("raw_span_start"), F.length("text").cast("long").alias("raw_span_end"))
-    docs = c.select("conv_id").distinct().filter("conv_id % 2 = 0").select(key.alias("doc_id"), F.lit("current").alias("source_version"), F.concat(F.lit("canonical/"), key).alias("canonical_text_path"), F.sha2(key, 256).alias("canonical_text_sha256"))
+    docs = c.filter("role = 'system'").select("conv_id").distinct().select(key.alias("doc_id"), F.lit("current").alias("source_version"), F.concat(F.lit("canonical/"), key).alias("canonical_text_path"), F.sha2(key, 256).alias("canonical_text_sha256"))
     return nodes.locators(rows, docs)
 
 
-@query("SELECT 'c' || conv_id AS doc_id, string_agg(rtrim(text, ' ' || chr(10)), chr(10) || chr(10) ORDER BY turn) AS body FROM conversations WHERE turn % 2 = 0 GROUP BY conv_id")
+@query("SELECT 'c' || conv_id AS doc_id, string_agg(rtrim(text, ' ' || chr(10)), chr(10) || chr(10) ORDER BY turn) AS body FROM conversations WHERE role <> 'system' GROUP BY conv_id")
 def node_references(spark, d):
     c = fx.table(spark, d, "conversations")
-    return nodes.node_references(c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_id"), F.col("turn").alias("pos"), F.col("text").alias("body_md"), (F.col("turn") % 2 == 0).alias("is_active")))
+    return nodes.node_references(c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_id"), F.col("turn").alias("pos"), F.col("text").alias("body_md"), (F.col("role") != "system").alias("is_active")))
 
 
 @query(None)
@@ -569,7 +566,8 @@ def relation_digest(spark, d):
     return nodes.relation_digest(fx.nodes(spark, d), ["doc_id"], ["ordinal", "node_id"])
 
 
-@query(None)
+@query(f"""WITH {fx.CORPUS}, each_ AS (SELECT left(sha256(doc_id), 3) AS bucket, doc_id, sha256(doc_id || chr(10) || title || chr(10) || 'current') AS d FROM corpus),
+buckets AS (SELECT bucket, sha256(string_agg(d, '' ORDER BY doc_id)) AS d FROM each_ GROUP BY bucket) SELECT sha256(string_agg(d, '' ORDER BY bucket)) AS binding FROM buckets""")
 def index_binding(spark, d):
     return nodes.index_binding(fx.documents(spark, d))
 
@@ -578,7 +576,7 @@ def index_binding(spark, d):
 
 
 def _states(spark, d):
-    docs = fx.documents(spark, d)
+    docs = fx.with_language(spark, d, fx.documents(spark, d))
     return fx.snapshot(docs, 1), fx.snapshot(docs, 2)
 
 
@@ -607,9 +605,9 @@ def incremental_apply(spark, d):
     return incremental.apply_changes(old, incremental.change_set(new, old), new).select("doc_id", "text_fingerprint", "source_fingerprint")
 
 
-@query("SELECT count(*) FILTER (WHERE doc_id % 10 <> 0) AS active FROM documents")
+@query("SELECT count(*) FILTER (WHERE lang <> 'es') AS active FROM documents")
 def active_documents(spark, d):
-    return incremental.active_count(fx.documents(spark, d).withColumn("is_active", F.col("doc_key") % 10 != 0))
+    return incremental.active_count(fx.with_language(spark, d, fx.documents(spark, d)).withColumn("is_active", F.col("lang") != "es"))
 
 
 # --- evaluation ------------------------------------------------------------------------
