@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import map_batches, table
 from .kernels import U64, mix, powers, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -254,7 +254,7 @@ def stitches(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
     last = F.floor((F.length("text") - 1) / F.lit(chunk)).cast("int")
     chunks = keyed.select("k1", "k2", "text", F.explode(F.sequence(F.lit(0), last)).alias("nth")).select("k1", "k2", "nth", F.substring("text", F.col("nth") * chunk + 1, F.lit(chunk + overlap)).alias("piece"))
     spread = chunks.repartition("k1", "nth")
-    edges = spread.mapInArrow(_edges(chunk, overlap), "k1 long, k2 long, nth int, head array<long>, tail array<long>")
+    edges = spread.transform(map_batches, _edges(chunk, overlap), "k1 long, k2 long, nth int, head array<long>, tail array<long>")
     ordered = edges.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("nth", "head", "tail"))).alias("chunks"))
     meets = F.transform(F.sequence(F.lit(1), F.size("chunks") - 1), lambda i: F.array_min(F.array_intersect(F.element_at("chunks", i)["tail"], F.element_at("chunks", i + 1)["head"])))
     found = F.coalesce(F.array_position(F.transform("meets", lambda m: m.isNull()), True), F.lit(0))
@@ -271,9 +271,9 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK
     """
     rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    short = rows.filter(F.length("text") <= chunk).mapInArrow(_encode(path, False), schema)
+    short = rows.filter(F.length("text") <= chunk).transform(map_batches, _encode(path, False), schema)
     long = rows.filter(F.length("text") > chunk).select("row", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
-    stitched = long.join(stitches(long, chunk, overlap), ["k1", "k2"], "left").select("row", "text", "cuts").mapInArrow(_encode(path, True), schema)
+    stitched = long.join(stitches(long, chunk, overlap), ["k1", "k2"], "left").select("row", "text", "cuts").transform(map_batches, _encode(path, True), schema)
     empty = rows.filter("text is null").select("row", F.lit(None).cast("array<int>").alias("ids"))
     return short.unionByName(stitched).unionByName(empty)
 
@@ -290,7 +290,7 @@ def _decode(path: str):
 
 def decode_documents(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(row, text) from (row, ids): the bytes of the ids end to end. Null ids give a null text."""
-    return encoded.select("row", "ids").mapInArrow(_decode(path), T.StructType([encoded.schema["row"], T.StructField("text", T.StringType())]))
+    return encoded.select("row", "ids").transform(map_batches, _decode(path), T.StructType([encoded.schema["row"], T.StructField("text", T.StringType())]))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

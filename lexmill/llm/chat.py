@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
 
 BUDGET, HISTORY = 512, 128
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
@@ -107,7 +107,7 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY)
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("user")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = turns.filter("conv_id is not null and turn is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), tokens(F.col("text").cast("string")).alias("n"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(_windower(budget, history), WINDOWS)
+    return ordered.transform(map_batches, _windower(budget, history), WINDOWS)
 
 
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

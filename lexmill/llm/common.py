@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of one Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 2_000
 #: Rows of keys that are sent to every executor; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -47,3 +49,12 @@ def keys_side(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     """``keys`` computed once, and broadcast if there are at most ``limit`` rows."""
     keys = cut(keys)
     return F.broadcast(keys) if keys.count() <= limit else keys
+
+
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` in batches of at most BATCH_ROWS rows, which the session is set to if it has more."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keys_side, table
+from .common import keys_side, map_batches, table
 from .kernels import Words, minhashes, shingles, slices
 
 WIDTH, SAMPLES, THRESHOLD = 5, 64, 0.5
@@ -47,7 +47,7 @@ def _hash_items(width: int):
 
 def index_parts(items: DataFrame, width: int = WIDTH, samples: int = SAMPLES, part_shingles: int = PART_SHINGLES) -> Iterator[dict]:
     """Search indexes over the items, each of at most ``part_shingles`` shingles or of one item."""
-    hashed = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(_hash_items(width), "item_id long, width int, hashes binary")
+    hashed = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).transform(map_batches, _hash_items(width), "item_id long, width int, hashes binary")
     group, held = [], 0
     for row in hashed.toLocalIterator():
         n = len(row.hashes) // 8
@@ -148,7 +148,7 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     """
     spark = docs.sparkSession
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    passes = [texts.mapInArrow(_searcher(spark.sparkContext.broadcast(index), samples, threshold), RESULT) for index in index_parts(items, width, samples, part_shingles)]
+    passes = [texts.transform(map_batches, _searcher(spark.sparkContext.broadcast(index), samples, threshold), RESULT) for index in index_parts(items, width, samples, part_shingles)]
     if not passes:
         return spark.createDataFrame([], RESULT)
     best = F.max(F.struct("containment", "matched", "item_shingles")).alias("best")

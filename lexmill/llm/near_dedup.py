@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keys_side, table
+from .common import cut, keys_side, map_batches, table
 from .kernels import U64, Words, minhashes, mix, shingles, slices
 
 SHINGLE, SAMPLES, BANDS, ROWS, BITS, THRESHOLD = 3, 256, 24, 4, 1024, 0.55
@@ -212,7 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def signatures(docs: DataFrame, width: int = SHINGLE, samples: int = SAMPLES, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
     """(doc_id, d1, d2, bands, sketch) of every document with an id and at least one word."""
-    return docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signer(bands, rows, samples, bits, width), "doc_id long, d1 long, d2 long, bands array<long>, sketch binary")
+    return docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(map_batches, _signer(bands, rows, samples, bits, width), "doc_id long, d1 long, d2 long, bands array<long>, sketch binary")
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, samples: int = SAMPLES, bits: int = BITS, **more: int) -> DataFrame:
@@ -231,10 +231,10 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, samples: int = SA
     signed = cut(signatures(docs, samples=samples, bits=bits, **more))
     nodes = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     banded = nodes.select(F.explode("bands").alias("key"), "rep").repartition("key").sortWithinPartitions("key")
-    buckets = banded.mapInArrow(_bucketer, "bucket long, reps array<long>").groupBy("bucket").agg(F.first("reps").alias("reps"))
+    buckets = banded.transform(map_batches, _bucketer, "bucket long, reps array<long>").groupBy("bucket").agg(F.first("reps").alias("reps"))
     members = buckets.select("bucket", F.explode("reps").alias("rep")).join(nodes.select("rep", "sketch"), "rep")
     candidates = members.repartition("bucket").sortWithinPartitions("bucket")
-    edges = candidates.mapInArrow(_linker(bits, most_differing(samples, bits, threshold)), "a long, b long")
+    edges = candidates.transform(map_batches, _linker(bits, most_differing(samples, bits, threshold)), "a long, b long")
     roots = components(edges)
     folded = signed.groupBy("d1", "d2", "doc_id").agg(F.lit(1).alias("one"))
     reps = folded.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))

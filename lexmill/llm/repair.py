@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, encode_texts, encoder
-from .common import table
+from .common import map_batches, table
 from .kernels import slices
 
 SHARD_TOKENS, MIN_COUNT, ROUND_RULES = 1_000_000, 4, 4096
@@ -184,7 +184,7 @@ def repair_shards(docs: DataFrame, path: str = VOCABULARY, shard_tokens: int = S
     * An empty table gives no shard. A document is never split: a longer one makes a shard of its own size.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(_shards(path, shard_tokens, min_count), SHARD)
+    return texts.transform(map_batches, _shards(path, shard_tokens, min_count), SHARD)
 
 
 def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def restore_documents(shards: DataFrame) -> DataFrame:
     """(doc_id, ids) of every document of the shards."""
-    return shards.mapInArrow(_restore, "doc_id long, ids array<int>")
+    return shards.transform(map_batches, _restore, "doc_id long, ids array<int>")
 
 
 def op8_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

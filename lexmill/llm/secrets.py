@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import map_batches, table
 
 #: Characters on each side of a candidate that prime the compressor.
 AROUND = 2_048
@@ -104,7 +104,7 @@ def secrets(docs: DataFrame, threshold: float = THRESHOLD, keep: list[str] | Non
     * Extra columns stay inside ``row``, so their names cannot clash. An empty table gives an empty result.
     """
     rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scan(threshold), T.StructType([rows.schema["row"], T.StructField("findings", T._parse_datatype_string(FINDINGS))]))
+    return rows.transform(map_batches, _scan(threshold), T.StructType([rows.schema["row"], T.StructField("findings", T._parse_datatype_string(FINDINGS))]))
 
 
 def redact_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, map_batches, table
 from .kernels import U64, mix, powers, slices
 
 ORDER, DISCOUNT, STRENGTH, PRIOR_WORDS = 6, 0.75, 1000.0, 10.0
@@ -130,7 +130,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(counts[:, i]) for i in range(4))], names=["ngram", "c00", "c01", "c10", "c11"])
 
     for batch in batches:
-        for part in slices(batch, "text", 1 << 20):
+        for part in slices(batch, "text"):
             symbols, starts, ends, owner, lang, _ = _once_a_text(part)
             if len(starts) == 0:
                 continue
@@ -251,7 +251,7 @@ def _scorer(shared, crossed: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text"):
                 symbols, starts, ends, owner, lang, hashes = _once_a_text(part)
                 sums, words = np.zeros(part.num_rows), np.bincount(owner, minlength=part.num_rows)
                 if len(starts):
@@ -280,7 +280,7 @@ def _typed(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def count_ngrams(labelled: DataFrame) -> DataFrame:
     """n-gram counts by class and half over all rows of (text, lang, toxic, half)."""
-    counted = labelled.select("text", "lang", F.col("toxic").cast("long").alias("toxic"), F.col("half").cast("long").alias("half")).mapInArrow(_count, STATIC["model"])
+    counted = labelled.select("text", "lang", F.col("toxic").cast("long").alias("toxic"), F.col("half").cast("long").alias("half")).transform(map_batches, _count, STATIC["model"])
     return counted.groupBy("ngram").agg(*(F.sum(c).alias(c) for c in ("c00", "c01", "c10", "c11")))
 
 
@@ -309,9 +309,9 @@ def log_ratios(rows: DataFrame, parts: list, crossed: bool = False) -> DataFrame
     """
     scored = ["text", "lang", "half"] if crossed else ["text", "lang"]
     if len(parts) == 1:
-        return rows.select("row", *scored).mapInArrow(_scorer(parts[0], crossed), T.StructType([rows.schema["row"], T.StructField("log_ratio", T.DoubleType()), T.StructField("words", T.LongType())]))
+        return rows.select("row", *scored).transform(map_batches, _scorer(parts[0], crossed), T.StructType([rows.schema["row"], T.StructField("log_ratio", T.DoubleType()), T.StructField("words", T.LongType())]))
     keyed = rows.select("row", *scored, F.xxhash64(*scored).alias("k1"), F.xxhash64(F.lit(1), *scored).alias("k2"))
-    sums = [keyed.select("k1", "k2", *scored).mapInArrow(_scorer(p, crossed), "k1 long, k2 long, log_ratio double, words long").groupBy("k1", "k2").agg(F.first("log_ratio").alias("log_ratio"), F.first("words").alias("words")) for p in parts]
+    sums = [keyed.select("k1", "k2", *scored).transform(map_batches, _scorer(p, crossed), "k1 long, k2 long, log_ratio double, words long").groupBy("k1", "k2").agg(F.first("log_ratio").alias("log_ratio"), F.first("words").alias("words")) for p in parts]
     total = reduce(DataFrame.unionByName, sums).groupBy("k1", "k2").agg(F.sum("log_ratio").alias("log_ratio"), F.first("words").alias("words"))
     return keyed.select("row", "k1", "k2").join(total, ["k1", "k2"]).select("row", "log_ratio", "words")
 

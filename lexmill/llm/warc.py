@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_subfolder, table
+from .common import map_batches, shared_subfolder, table
 
 CHUNK = 1 << 20
 LEVEL = 6
@@ -196,7 +196,7 @@ def normalise_files(spark: SparkSession, paths: DataFrame, folder: str, level: i
                 stem = os.path.basename(path).removesuffix(".gz").removesuffix(".warc")
                 yield _write_normalised(f"{stem}-{hashlib.sha1(path.encode()).hexdigest()[:12]}", _read(path), folder, level)
 
-    index = paths.filter("path is not null").select("path").distinct().mapInArrow(run, INDEX)
+    index = paths.filter("path is not null").select("path").distinct().transform(map_batches, run, INDEX)
     index.write.mode("overwrite").parquet(f"{folder}/index.parquet")
     return spark.read.schema(INDEX).parquet(f"{folder}/index.parquet")
 
@@ -255,7 +255,7 @@ def normalise_pages(pages: DataFrame, folder: str, level: int = LEVEL, file_byte
     """
     spark = pages.sparkSession
     typed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    typed.mapInArrow(_pages(folder, level, file_bytes), INDEX).write.mode("overwrite").parquet(f"{folder}/index.parquet")
+    typed.transform(map_batches, _pages(folder, level, file_bytes), INDEX).write.mode("overwrite").parquet(f"{folder}/index.parquet")
     return spark.read.schema(INDEX).parquet(f"{folder}/index.parquet")
 
 
