@@ -241,3 +241,8 @@ def glob_pattern(glob: Column) -> Column:
     s = F.regexp_replace(glob, r"([.^$+{}\\|()])", r"\\$1")
     s = F.regexp_replace(F.regexp_replace(s, r"\*", ".*"), r"\?", ".")
     return F.concat(F.lit("^(?s:"), F.regexp_replace(s, r"\[!", "[^"), F.lit(")$"))
+
+
+def leaf_text(plain: Column, markdown: Column) -> Column:
+    """Searchable text of a node: its plain body, else its Markdown made plain, else nothing."""
+    return F.coalesce(F.when(strip(plain) != "", plain), F.when(strip(markdown) != "", markdown_to_plain(markdown)), F.lit(""))

@@ -5,9 +5,11 @@ Only keys and fingerprints are shuffled to find changes; texts move only for wha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 CLASSES = ("new", "unchanged", "metadata_only", "rebuild", "removed")
 
 
@@ -48,8 +50,19 @@ def active_count(docs: DataFrame) -> DataFrame:
 
 def document_ids(inputs: DataFrame) -> DataFrame:
     """(path, pos, base) to (path, doc_id): the first of equal bases keeps it, later ones get a digest of their path."""
-    from pyspark.sql import Window
-
     trimmed = F.coalesce(F.nullif(F.regexp_replace(F.substring("base", 1, 48), "^-+|-+$", ""), F.lit("")), F.lit("doc"))
     nth = F.row_number().over(Window.partitionBy("stem").orderBy("pos"))
     return inputs.withColumn("stem", trimmed).select("path", F.when(nth == 1, F.col("stem")).otherwise(F.concat(F.col("stem"), F.lit("-"), F.substring(F.sha2("path", 256), 1, 12))).alias("doc_id"))
+
+
+def document_texts(docs: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(doc_id, version, title, text): what is indexed; a document without canonical text has an empty line."""
+    joined = docs.select("doc_id", "version", "title").join(canonical.select("doc_id", "version", "canonical"), ["doc_id", "version"], "left")
+    return joined.select("doc_id", "version", "title", tx.markdown_to_plain(F.coalesce("canonical", F.lit(""))).alias("text"))
+
+
+def build_mode(changes: DataFrame, same_tools: bool) -> str:
+    """``full`` if the tools changed or nothing is known, ``none`` if nothing changed, else ``incremental``."""
+    if not same_tools or changes.isEmpty():
+        return "full"
+    return "none" if changes.filter("change <> 'unchanged'").isEmpty() else "incremental"

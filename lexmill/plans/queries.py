@@ -493,6 +493,36 @@ def document_ids(spark, d):
     return incremental.document_ids(t.select(F.concat(F.lit("/in/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("pos"), F.col("source").alias("base")))
 
 
+@query(f"WITH {fx.CORPUS} SELECT doc_key, {_INLINE.format('text')} AS inline FROM corpus")
+def inline_markdown(spark, d):
+    return fx.documents(spark, d).select("doc_key", tx.inline_markdown(F.col("text")).alias("inline"))
+
+
+@query(f"WITH {fx.CORPUS} SELECT doc_key, coalesce(nullif(regexp_replace(regexp_replace(left(text, 1) || '/' || lang || ' ' || source, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'current') AS safe FROM corpus")
+def safe_version(spark, d):
+    docs = fx.with_language(spark, d, fx.documents(spark, d))
+    version = F.concat(F.substring("text", 1, 1), F.lit("/"), F.col("lang"), F.lit(" "), F.split_part("doc_id", F.lit("-"), F.lit(1)))
+    return docs.select("doc_key", tx.safe_version(version).alias("safe"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn > 0 THEN turn ELSE conv_id END AS file_index FROM conversations")
+def file_index(spark, d):
+    return fx.table(spark, d, "conversations").select("conv_id", "turn", tx.file_index(F.concat(F.lit("n"), F.col("conv_id").cast("string")), F.col("turn")).alias("file_index"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'plain' ELSE trim(text, ' ' || chr(10)) || chr(10) END AS leaf FROM conversations")
+def leaf_text(spark, d):
+    c = fx.table(spark, d, "conversations")
+    return c.select("conv_id", "turn", tx.leaf_text(F.when(F.col("role") == "user", "plain"), F.col("text")).alias("leaf"))
+
+
+@query(f"WITH {fx.CORPUS} SELECT doc_id, 'current' AS version, title, CASE WHEN lang = 'en' THEN chr(10) ELSE {_PLAIN} END AS text FROM corpus")
+def document_texts(spark, d):
+    docs = fx.documents(spark, d)
+    canonical = fx.with_language(spark, d, docs).filter("lang <> 'en'").select("doc_id", "version", F.col("text").alias("canonical"))
+    return incremental.document_texts(docs, canonical)
+
+
 # --- lookup tables ---------------------------------------------------------------------
 
 

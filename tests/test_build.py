@@ -72,6 +72,13 @@ def test_change_classes(spark):
     assert kept == {"a": "1", "b": "1", "c": "2", "e": "1"}
 
 
+def test_build_modes(spark):
+    kind = "doc_id string, change string"
+    same, some = spark.createDataFrame([("a", "unchanged")], kind), spark.createDataFrame([("a", "unchanged"), ("b", "new")], kind)
+    assert incremental.build_mode(same, True) == "none" and incremental.build_mode(some, True) == "incremental"
+    assert incremental.build_mode(some, False) == "full" and incremental.build_mode(same.limit(0), True) == "full"
+
+
 def test_shards_split_only_large_prefixes(spark):
     rows = spark.createDataFrame([(k,) for k in ["aa"] * 3 + ["ab"] * 2 + ["b", ""]], "key string")
     got = {(r.key, r.shard) for r in sharding.shard_keys(rows, max_rows=3, max_prefix=2).collect()}
