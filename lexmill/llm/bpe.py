@@ -35,7 +35,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK, OVERLAP = 32_768, 1_024
 #: Pre-tokens that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 OTHER, SPACE, LETTER, NUMBER = 0, 1, 2, 3
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +53,26 @@ def keys_side(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= limit else keys
 
 
+def _give_back() -> None:
+    """Return freed memory of this process to the system, where its allocator can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` in batches of at most BATCH_ROWS rows, which the session is set to if it has more."""
+    """``mapInArrow`` in batches of at most BATCH_ROWS rows, which the session is set to if it has more.
+
+    Workers live on from task to task, so each task ends by giving its memory back.
+    """
+
+    def run(batches):
+        yield from function(batches)
+        _give_back()
+
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(conf.get(name))
     if not 0 < now <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
