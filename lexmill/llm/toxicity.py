@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import cut, map_batches, table
 from .kernels import U64, mix, powers, slices
 
-ORDER, DISCOUNT, STRENGTH, PRIOR_WORDS = 6, 0.75, 1000.0, 10.0
+ORDER, DISCOUNT, CLASS_DISCOUNT, STRENGTH, PRIOR_WORDS = 6, 0.75, 5.0, 1000.0, 40.0
 #: Labels that are sent to the executors whole; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 #: n-grams in one broadcast part of the model (24 bytes each).
@@ -208,6 +208,11 @@ def _picks(half: int | None) -> tuple[list[int], list[int], list[int]]:
     return ([0, 1, 2, 3], [2, 3], [0, 1]) if half is None else ([half, 2 + half], [2 + half], [half])
 
 
+def _discount(pick: list[int]) -> float:
+    """DISCOUNT for columns of both classes, CLASS_DISCOUNT for those of one."""
+    return DISCOUNT if pick[0] < 2 <= pick[-1] else CLASS_DISCOUNT
+
+
 class Model:
     """Counts of one part of the contexts, and the shared distribution."""
 
@@ -217,11 +222,11 @@ class Model:
         first = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1])) if len(ngrams) else np.zeros(0, np.int64)
         self.contexts = contexts[first]
         self.totals = np.add.reduceat(counts, first, axis=0) if len(first) else counts[:0]
-        # kinds of symbol after the context, by the columns counted together
-        self.kinds = {}
+        # what the discount takes from the counts of each context, by the columns counted together
+        self.taken = {}
         for pick in [p for half in (None, 0, 1) for p in _picks(half)]:
-            seen = (counts[:, pick].sum(1) > 0).astype(np.int32)
-            self.kinds[tuple(pick)] = np.add.reduceat(seen, first) if len(first) else seen[:0]
+            off = np.minimum(counts[:, pick].sum(1), _discount(pick))
+            self.taken[tuple(pick)] = np.add.reduceat(off, first) if len(first) else off[:0]
         self._ngram = self._context = None
 
     def log_ratio(self, keys: np.ndarray, half: int | None = None) -> np.ndarray:
@@ -238,8 +243,8 @@ class Model:
 
         def smoothed(pick: list[int], lower: np.ndarray, strength: float) -> np.ndarray:
             c, total = seen[:, pick].sum(1), self.totals[context][:, pick].sum(1)
-            kept = DISCOUNT * self.kinds[tuple(pick)][context] + strength
-            return (np.maximum(c - DISCOUNT, 0) + kept * lower) / (total + strength)
+            back = self.taken[tuple(pick)][context] + strength
+            return (np.maximum(c - _discount(pick), 0) + back * lower) / (total + strength)
 
         both, toxic, ordinary = _picks(half)
         shared = smoothed(both, shared, 1.0)
