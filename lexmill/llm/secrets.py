@@ -5,7 +5,8 @@ it adds to the compressed size of its surroundings: the compressor is primed wit
 dictionary of programming identifiers and the text around the candidate, and the bytes
 for (surroundings + candidate) less the bytes for the surroundings alone are its marginal
 bytes. Words, paths and names repeat what the dictionary or the neighbourhood holds and
-cost little; keys cost nearly their entropy. What stays incompressible is reported.
+cost little; keys cost nearly their entropy. What stays incompressible is reported: what costs
+THRESHOLD bits a character, or holds a piece that costs as much as random strings of its alphabet.
 
 Plan: one narrow Arrow pass over (doc_id, text). A vectorised regular expression drops
 texts without a candidate; only the others are looked at in Python.
@@ -13,6 +14,7 @@ texts without a candidate; only the others are looked at in Python.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 
@@ -28,9 +30,12 @@ from .common import map_batches, table
 #: Characters on each side of a candidate that prime the compressor.
 AROUND = 2_048
 MIN_LENGTH = 16
-#: Marginal compressed bits for each character.
+#: Marginal compressed bits for each character, where literals are not Huffman-coded.
 THRESHOLD = 6.0
+#: Share of the bytes of random strings (the mean of so many) of its own alphabet and length that a key costs at least.
+SHARE, RANDOM = 0.93, 4
 MASK = "[SECRET]"
+PIECE, HEX = re.compile(r"[A-Za-z0-9]{16,}"), re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}")
 CONTEXT = r"(?i)(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passw(?:or)?d|pwd|credential|bearer|auth(?:orization)?)"
 #: A sensitive word, at most 24 characters that are no token characters of a new word, and the candidate.
 CANDIDATE = CONTEXT + r"[A-Za-z0-9_-]{0,16}[\"']?\s{0,4}(?:=>|:=|[=:]|\bis\b)?\s{0,4}[\"'`]?([A-Za-z0-9+/_.~=-]{16,})"
@@ -53,13 +58,33 @@ class Novelty:
     def __init__(self, identifiers: str = IDENTIFIERS):
         self.identifiers = identifiers.encode()
 
+    def _compressor(self, before: str, after: str) -> zstandard.ZstdCompressor:
+        known = zstandard.ZstdCompressionDict(self.identifiers + (after + before).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return zstandard.ZstdCompressor(level=19, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False)
+
     def marginal(self, candidate: str, before: str, after: str) -> int:
         """Bytes that the candidate adds when the identifiers and its surroundings are known."""
-        known = zstandard.ZstdCompressionDict(self.identifiers + (after + before).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        compressor = zstandard.ZstdCompressor(level=19, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False)
-        frame = before[-64:].encode()
+        compressor, frame = self._compressor(before, after), before[-64:].encode()
         return len(compressor.compress(frame + candidate.encode())) - len(compressor.compress(frame))
 
+    def of_random(self, candidate: str, before: str, after: str) -> float:
+        """Mean marginal bytes of random strings of the candidate's length and alphabet, in its place."""
+        compressor, frame = self._compressor(before, after), before[-64:].encode()
+        draw, alphabet = random.Random(len(candidate)), sorted(set(candidate))
+        drawn = ["".join(draw.choices(alphabet, k=len(candidate))).encode() for _ in range(RANDOM)]
+        return sum(len(compressor.compress(frame + x)) for x in drawn) / RANDOM - len(compressor.compress(frame))
+
+    def incompressible(self, candidate: str, before: str, after: str, threshold: float) -> tuple[bool, int]:
+        """Whether the candidate costs ``threshold`` bits a character, or what a random string would; and its marginal bytes."""
+        cost = self.marginal(candidate, before, after)
+        if 8 * cost >= threshold * len(candidate):
+            return True, cost
+        # long strings of a small alphabet are Huffman-coded: even a random one stays below the threshold;
+        # words and paths are cut by their marks, so they have no piece to judge
+        joined = re.sub(r"[^A-Za-z0-9]", "", candidate)
+        pieces = [joined] if HEX.fullmatch(joined) else PIECE.findall(candidate)
+        return any(self.marginal(x, before, after) >= SHARE * self.of_random(x, before, after) > 0 for x in pieces if len(set(x)) > 1), cost
+
 
 def find_secrets(text: str, novelty: Novelty, threshold: float = THRESHOLD, pattern: re.Pattern | None = None) -> list[tuple[int, int, str, int, float]]:
     """(start, stop, text, marginal bytes, bits per character) of each incompressible candidate, in order."""
@@ -72,10 +97,9 @@ def find_secrets(text: str, novelty: Novelty, threshold: float = THRESHOLD, patt
             continue
         # its own repeats say nothing about how guessable it is
         before, after = (x.replace(value, "") for x in (text[max(0, start - AROUND) : start], text[stop : stop + AROUND]))
-        cost = novelty.marginal(value, before, after)
-        bits = 8 * cost / len(value)
-        if bits >= threshold:
-            out.append((start, stop, value, cost, round(bits, 6)))
+        novel, cost = novelty.incompressible(value, before, after, threshold)
+        if novel:
+            out.append((start, stop, value, cost, round(8 * cost / len(value), 6)))
     return out
 
 

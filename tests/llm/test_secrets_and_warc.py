@@ -1,5 +1,6 @@
 import gzip
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +28,18 @@ def test_keys_are_found_and_guessable_strings_are_not():
     assert found("token = short") == []
 
 
+def test_long_keys_of_small_alphabets_are_found():
+    draw = random.Random(7)
+    for alphabet in ("0123456789abcdef", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        for n in (16, 48, 64, 128, 256, 512, 1024):
+            key = "".join(draw.choices(alphabet, k=n))
+            assert found(f'token = "{key}"') == [key]
+            assert found(f'token = "sk_live_{key}"') == [f"sk_live_{key}"]
+    prose = "-".join(open(se.__file__).read().split('"""')[1].replace("-", " ").split())
+    words = "-".join(x for x in prose.split("-") if x.isalpha())
+    assert len(words) > 300 and found(f'token = "{words[:300]}"') == found(f'token = "{"ab" * 60}"') == []
+
+
 def test_known_surroundings_make_a_string_cheap():
     n = se.Novelty()
     name = "customerBillingAddressResolver"
