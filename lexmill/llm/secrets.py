@@ -1,6 +1,7 @@
 """Secret scans: novelty of candidate strings under a dictionary-primed zstandard.
 
-A candidate is a long run of token characters near a sensitive word. Its novelty is what
+A candidate is a long run of token characters at a stated distance from a sensitive
+word, or the body of a private key block. Its novelty is what
 it adds to the compressed size of its surroundings: the compressor is primed with a
 dictionary of programming identifiers and the text around the candidate, and the bytes
 for (surroundings + candidate) less the bytes for the surroundings alone are its marginal
@@ -14,6 +15,7 @@ texts without a candidate; only the others are looked at in Python.
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 from collections.abc import Iterator
@@ -36,9 +38,14 @@ THRESHOLD = 6.0
 SHARE, RANDOM = 0.93, 4
 MASK = "[SECRET]"
 PIECE, HEX = re.compile(r"[A-Za-z0-9]{16,}"), re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}")
-CONTEXT = r"(?i)(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passw(?:or)?d|pwd|credential|bearer|auth(?:orization)?)"
-#: A sensitive word, at most 24 characters that are no token characters of a new word, and the candidate.
-CANDIDATE = CONTEXT + r"[A-Za-z0-9_-]{0,16}[\"']?\s{0,4}(?:=>|:=|[=:]|\bis\b)?\s{0,4}[\"'`]?([A-Za-z0-9+/_.~=-]{16,})"
+CONTEXT = r"(?i:api[\s_-]?key|access[\s_-]?key|private[\s_-]?key|secret|token|pass[\s_-]?(?:word|wd|phrase)|pwd|credential|bearer|auth(?:orization)?)"
+#: Characters at most between a sensitive word and a candidate after it (a few words and marks), or before it ("K is the token").
+NEAR, NEAR_AHEAD = 40, 16
+RUN = r"[A-Za-z0-9+/_.~=-]{16,}"
+#: A key block: all its lines are one candidate, up to its end mark or as far as they look like base64.
+PEM = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+PEM_BODY = re.compile(PEM + r"(?:\s|\\[nr])*((?s:.{16,65536}?)(?=-----END)|(?:[A-Za-z0-9+/=]|\s|\\[nr]){16,})")
+CANDIDATE = rf"(?s){CONTEXT}.{{0,{NEAR}}}?{RUN}|{RUN}.{{0,{NEAR_AHEAD}}}?{CONTEXT}|{PEM}"
 IDENTIFIERS = (
     "true false null none self this return import from class function public private static final const let var async await "
     "config settings environment variable default example placeholder changeme your_api_key_here access_key secret_key client_secret "
@@ -86,26 +93,50 @@ class Novelty:
         return any(self.marginal(x, before, after) >= SHARE * self.of_random(x, before, after) > 0 for x in pieces if len(set(x)) > 1), cost
 
 
-def find_secrets(text: str, novelty: Novelty, threshold: float = THRESHOLD, pattern: re.Pattern | None = None) -> list[tuple[int, int, str, int, float]]:
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """(start, stop) of each run of token characters near a sensitive word and of each body of a key block, in order."""
+    blocks = []
+    for m in PEM_BODY.finditer(text):
+        body = re.sub(r"(?:\s|\\[nr])+$", "", m[1])
+        blocks.append((m.start(), m.end(), m.start(1), m.start(1) + len(body)))
+    words = [m.span() for m in re.finditer(CONTEXT, text)]
+    spans = [(a, b) for _, _, a, b in blocks]
+    for m in re.finditer(RUN, text):
+        start, stop = m.span()
+        if any(a < stop and start < b for a, b, _, _ in blocks):
+            continue
+        # the name in name=value belongs to the surroundings
+        for named in re.finditer(CONTEXT + r"[A-Za-z0-9_-]*=+", text[start:stop]):
+            start = m.start() + named.end()
+        at = bisect.bisect_left(words, (start, 0))
+        before = at > 0 and start - words[at - 1][1] <= NEAR
+        after = at < len(words) and words[at][0] - stop <= NEAR_AHEAD
+        if before or after:
+            spans.append((start, stop))
+    yield from sorted(spans)
+
+
+def find_secrets(text: str, novelty: Novelty, threshold: float = THRESHOLD) -> list[tuple[int, int, str, int, float]]:
     """(start, stop, text, marginal bytes, bits per character) of each incompressible candidate, in order."""
     out = []
-    for m in (pattern or re.compile(CANDIDATE)).finditer(text):
-        start, stop = m.span(1)
+    for start, stop in candidates(text):
         value = text[start:stop].rstrip(".=-~")
         stop = start + len(value)
-        if len(value) < MIN_LENGTH:
+        # the line ends of a key block are no part of its key
+        key = re.sub(r"\s|\\[nr]", "", value)
+        if len(key) < MIN_LENGTH:
             continue
         # its own repeats say nothing about how guessable it is
         before, after = (x.replace(value, "") for x in (text[max(0, start - AROUND) : start], text[stop : stop + AROUND]))
-        novel, cost = novelty.incompressible(value, before, after, threshold)
+        novel, cost = novelty.incompressible(key, before, after, threshold)
         if novel:
-            out.append((start, stop, value, cost, round(8 * cost / len(value), 6)))
+            out.append((start, stop, value, cost, round(8 * cost / len(key), 6)))
     return out
 
 
 def _scan(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty, pattern = Novelty(), re.compile(CANDIDATE)
+        novelty = Novelty()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("text", pa.string()), ("marginal_bytes", pa.int32()), ("bits", pa.float64())]))
         for batch in batches:
             texts = batch.column("text")
@@ -113,7 +144,7 @@ def _scan(threshold: float):
             found: list = [[] for _ in maybe]
             for i, yes in enumerate(maybe):
                 if yes:
-                    found[i] = [dict(zip(("start", "stop", "text", "marginal_bytes", "bits"), x)) for x in find_secrets(texts[i].as_py(), novelty, threshold, pattern)]
+                    found[i] = [dict(zip(("start", "stop", "text", "marginal_bytes", "bits"), x)) for x in find_secrets(texts[i].as_py(), novelty, threshold)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, kind)], names=["row", "findings"])
 
     return run

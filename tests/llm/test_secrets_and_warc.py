@@ -1,6 +1,7 @@
 import gzip
 import os
 import random
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,25 @@ def test_long_keys_of_small_alphabets_are_found():
     assert len(words) > 300 and found(f'token = "{words[:300]}"') == found(f'token = "{"ab" * 60}"') == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["API key: K", "api key is K", "secret key: K", "access key = K", "private key: K", "password for admin: K", "token value = K", "<token>K</token>", 'set_token("K")', "auth=(K)", 'x-api-key": ["K"]', "K is the api key", "api_key=K&x=1"],
+)
+def test_keys_near_a_sensitive_word_are_found(text):
+    key = "q7Rt2mXv9LpZk4WcY8sNbD3fHj6GaE1u"
+    assert found(text.replace("K", key)) == [key]
+
+
+def test_key_blocks_are_found_over_all_lines(spark):
+    draw = random.Random(9)
+    lines = ["".join(draw.choices(string.ascii_letters + string.digits + "+/", k=64 if i < 9 else 20)) for i in range(10)]
+    for end in ("\n", "\\n"):
+        body = end.join(lines)
+        text = f'private_key = "-----BEGIN RSA PRIVATE KEY-----{end}{body}{end}-----END RSA PRIVATE KEY-----"'
+        assert found(text) == found(text.split("-----END")[0]) == [body]
+        assert body not in se.redact_secrets(h.docs(spark, [(1, text)])).first().text
+
+
 def test_known_surroundings_make_a_string_cheap():
     n = se.Novelty()
     name = "customerBillingAddressResolver"
