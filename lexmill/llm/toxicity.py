@@ -4,6 +4,8 @@ Both models predict each symbol of a word from the ORDER - 1 symbols before it (
 word's start is padded). Their discounted mass backs off to one shared distribution:
 the counts of both classes together, which back off to Kneser-Ney continuation counts
 of both. A symbol that only the larger class shows thus says little against the other.
+Counts are kept by language; a context that the text's language never showed is judged
+by the counts of all languages, and so is all of a text without a labelled language.
 Each distinct word of a document counts once, in training and in scoring, so repeated
 lines weigh no more than others. The score of a document is the difference of the two
 log-likelihoods of its distinct words, divided by their number plus PRIOR_WORDS; it is toxic when the score reaches the cut that does best
@@ -36,6 +38,8 @@ BROADCAST_LABELS = 2_000_000
 #: n-grams in one broadcast part of the model (24 bytes each).
 PART_NGRAMS = 4_000_000
 SYMBOLS = 64
+#: The bits of an n-gram without its language.
+ANY_LANGUAGE = (1 << 36) - 1
 STATIC = {"model": "ngram long, c00 long, c01 long, c10 long, c11 long"}
 
 
@@ -213,11 +217,11 @@ def _discount(pick: list[int]) -> float:
     return DISCOUNT if pick[0] < 2 <= pick[-1] else CLASS_DISCOUNT
 
 
-class Model:
-    """Counts of one part of the contexts, and the shared distribution."""
+class Counts:
+    """n-grams with their counts, contexts and lookups."""
 
-    def __init__(self, ngrams: np.ndarray, counts: np.ndarray, shared: np.ndarray):
-        self.ngrams, self.counts, self.shared = ngrams, counts, shared
+    def __init__(self, ngrams: np.ndarray, counts: np.ndarray):
+        self.ngrams, self.counts = ngrams, counts
         contexts = ngrams >> 6
         first = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1])) if len(ngrams) else np.zeros(0, np.int64)
         self.contexts = contexts[first]
@@ -229,26 +233,49 @@ class Model:
             self.taken[tuple(pick)] = np.add.reduceat(off, first) if len(first) else off[:0]
         self._ngram = self._context = None
 
-    def log_ratio(self, keys: np.ndarray, half: int | None = None) -> np.ndarray:
-        """log p(toxic) - log p(ordinary) at each n-gram; ``half``: by that half of the labels alone."""
+    def log_ratio(self, keys: np.ndarray, shared: np.ndarray, half: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the keys whose context was counted, and the log-ratios there."""
         if self._ngram is None:
             self._ngram, self._context = Lookup(self.ngrams), Lookup(self.contexts)
-        out = np.zeros(len(keys))
+        both, toxic, ordinary = _picks(half)
         context = self._context(keys >> 6)
         known = np.flatnonzero(context >= 0)
+        known = known[self.totals[context[known]][:, both].sum(1) > 0]
         keys, context = keys[known], context[known]
         at = self._ngram(keys)
         seen = np.where((at >= 0)[:, None], self.counts[np.maximum(at, 0)], 0)
-        shared = self.shared[(keys >> 12) & 63, (keys >> 6) & 63, keys & 63]
+        shared = shared[(keys >> 12) & 63, (keys >> 6) & 63, keys & 63]
 
         def smoothed(pick: list[int], lower: np.ndarray, strength: float) -> np.ndarray:
             c, total = seen[:, pick].sum(1), self.totals[context][:, pick].sum(1)
             back = self.taken[tuple(pick)][context] + strength
             return (np.maximum(c - _discount(pick), 0) + back * lower) / (total + strength)
 
-        both, toxic, ordinary = _picks(half)
         shared = smoothed(both, shared, 1.0)
-        out[known] = np.log(smoothed(toxic, shared, STRENGTH)) - np.log(smoothed(ordinary, shared, STRENGTH))
+        return known, np.log(smoothed(toxic, shared, STRENGTH)) - np.log(smoothed(ordinary, shared, STRENGTH))
+
+
+class Model:
+    """Counts of one part of the contexts, by language and over all languages, and the shared distribution."""
+
+    def __init__(self, ngrams: np.ndarray, counts: np.ndarray, shared: np.ndarray):
+        self.own, self.shared = Counts(ngrams, counts), shared
+        self._pooled = None  # made by each worker, so that it is not sent
+
+    def log_ratio(self, keys: np.ndarray, half: int | None = None) -> np.ndarray:
+        """log p(toxic) - log p(ordinary) at each n-gram, by its language or else by all languages.
+
+        ``half``: by that half of the labels alone.
+        """
+        if self._pooled is None:
+            ngrams = self.own.ngrams & ANY_LANGUAGE
+            self._pooled = Counts(*(_compact(ngrams, self.own.counts) if len(ngrams) else (ngrams, self.own.counts)))
+        out = np.zeros(len(keys))
+        known, ratio = self.own.log_ratio(keys, self.shared, half)
+        out[known] = ratio
+        rest = np.delete(np.arange(len(keys)), known)
+        known, ratio = self._pooled.log_ratio(keys[rest] & ANY_LANGUAGE, self.shared, half)
+        out[rest[known]] = ratio
         return out
 
 
@@ -290,16 +317,16 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
 
 
 def broadcast_parts(counts: DataFrame, part_ngrams: int = PART_NGRAMS) -> list:
-    """The model in broadcast parts of about ``part_ngrams`` n-grams, split by context."""
+    """The model in broadcast parts of about ``part_ngrams`` n-grams, split by context; all languages of one lie in one part."""
     last = F.col("ngram").bitwiseAND(F.lit((1 << 18) - 1))
-    kinds = counts.select(F.col("ngram").bitwiseAND(F.lit((1 << 36) - 1)).alias("ngram")).distinct().groupBy(last.alias("last")).agg(F.count("*").alias("n")).toArrow()
+    kinds = counts.select(F.col("ngram").bitwiseAND(F.lit(ANY_LANGUAGE)).alias("ngram")).distinct().groupBy(last.alias("last")).agg(F.count("*").alias("n")).toArrow()
     trigrams = np.zeros(SYMBOLS**3)
     trigrams[kinds.column("last").to_numpy()] = kinds.column("n").to_numpy()
     backoff = shared_backoff(trigrams.reshape(SYMBOLS, SYMBOLS, SYMBOLS))
     n_parts = max(1, -(-counts.count() // part_ngrams))
     parts = []
     for p in range(n_parts):
-        rows = counts.filter(F.pmod(F.xxhash64(F.shiftright("ngram", 6)), F.lit(n_parts)) == p).toArrow()
+        rows = counts.filter(F.pmod(F.xxhash64(F.shiftright(F.col("ngram").bitwiseAND(F.lit(ANY_LANGUAGE)), 6)), F.lit(n_parts)) == p).toArrow()
         keys = rows.column("ngram").to_numpy()
         order = np.argsort(keys)
         columns = np.stack([rows.column(c).to_numpy() for c in ("c00", "c01", "c10", "c11")], 1).astype(np.int32)
@@ -342,7 +369,8 @@ def best_cut(scored: DataFrame) -> float:
 def toxicity(docs: DataFrame, labels: DataFrame, part_ngrams: int = PART_NGRAMS, broadcast_labels: int = BROADCAST_LABELS, keep: list[str] | None = None) -> DataFrame:
     """One row (row, score, is_toxic) for each row of ``docs``; ``row`` is a struct of its columns, or of those to ``keep``.
 
-    * A null or empty text has score 0; a null language is a language of its own.
+    * A null or empty text has score 0; a null language is a language of its own, and like every
+      language without labels it is judged by the counts of all.
     * Labels with a null, and labels of unknown documents, are ignored; of several labels of one
       document the toxic one counts. Repeated rows of a document are scored alike.
     * Without labels of both classes nothing is toxic. An empty table gives an empty result.

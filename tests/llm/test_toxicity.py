@@ -37,6 +37,18 @@ def test_held_out_accuracy(spark):
     assert right >= 0.97 * len(held)
 
 
+def test_unlabelled_languages_are_judged_by_all(spark):
+    rows, marks = corpus(3, 300)
+    known = labels(spark, [(i, 1, m) for (i, _), m in zip(rows, marks)])
+    full = [(i, t, "en", "src0", len(t)) for i, t in rows]
+    full += [(1000 * k + i, t, lang, "src0", len(t)) for k, lang in enumerate((None, "EN", "xx"), 1) for i, t in rows]
+    df = spark.createDataFrame(full, h.DOCS)
+    for more in ({}, {"part_ngrams": 100}):
+        got = {r.row.doc_id: (r.score, r.is_toxic) for r in tox.toxicity(df, known, **more).collect()}
+        assert all(got[1000 * k + i] == got[i] for k in (1, 2, 3) for i in range(300))
+        assert np.mean([got[1000 + i][1] == bool(m) for i, m in enumerate(marks)]) >= 0.97
+
+
 def test_given_labels_are_mostly_met(spark):
     got = {r.doc_id: r.is_toxic for r in tox.op9_toxicity(spark, "/root/testdata/sf0.01").collect()}
     truth = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
