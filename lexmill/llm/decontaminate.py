@@ -156,10 +156,16 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the documents that hold a test item; rows without an id stay."""
-    hit = keys_side(contamination(docs, items, **settings).select(F.col("doc_id").alias("id")).distinct())
+    """``docs`` without the documents that hold a test item; rows without an id are searched by a digest of their text."""
     rows = docs.select(F.struct("*").alias("row"))  # one column, so that no name clashes with the key's
-    return rows.join(hit, F.col("row.doc_id") == F.col("id"), "left_anti").select("row.*")
+    own, text = F.col("row.doc_id"), F.col("row.text").cast("string")
+    hit = keys_side(contamination(docs, items, **settings).select(F.col("doc_id").alias("id")).distinct())
+    left = rows.join(hit, own == F.col("id"), "left_anti")
+    unnamed = rows.filter(own.isNull() & text.isNotNull()).select(F.xxhash64(text).alias("doc_id"), text.alias("text"))
+    if not unnamed.isEmpty():
+        keys = keys_side(contamination(unnamed, items, **settings).select(F.col("doc_id").alias("key")).distinct())
+        left = left.join(keys, own.isNull() & (F.xxhash64(text) == F.col("key")), "left_anti")
+    return left.select("row.*")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

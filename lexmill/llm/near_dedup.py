@@ -247,12 +247,17 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, samples: int = SA
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one document of each near-duplicate group.
 
-    All columns and all rows without an id stay. Of rows that repeat one doc_id and text, one stays.
+    All columns stay. Of rows that repeat one doc_id and text, one stays. A row without an id goes
+    by a digest of its text, above 2**62 so that rows with an id are kept first; it stays if it has no word.
     The texts are not shuffled as long as the keys to drop are few enough to be broadcast.
     """
     rows = docs.select(F.struct("*").alias("row"))  # one column, so that no name clashes with a key's
-    own, text_key = F.col("row.doc_id"), F.xxhash64("row.text")
-    dropped = keys_side(near_groups(docs, **settings).filter("not keep").select(F.col("doc_id").alias("id")))
+    text = F.col("row.text").cast("string")
+    digest = F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    own = F.coalesce(F.col("row.doc_id").cast("long"), F.when(text.rlike(r"[A-Za-z0-9]|[^\x00-\x7F]"), digest))
+    text_key = F.xxhash64("row.text")
+    named = rows.select(own.alias("doc_id"), text.alias("text"))
+    dropped = keys_side(near_groups(named, **settings).filter("not keep").select(F.col("doc_id").alias("id")))
     left = rows.join(dropped, own == F.col("id"), "left_anti")
     repeated = keys_side(rows.filter(own.isNotNull()).groupBy(own.alias("id"), text_key.alias("key")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     if not repeated.isEmpty():

@@ -63,3 +63,10 @@ def test_edges_of_the_input(spark):
     assert dc.contamination(df.limit(0), items(spark, tests)).count() == 0
     assert dc.contamination(df, items(spark, [])).count() == 0
     assert SMALL
+
+
+def test_rows_without_an_id_are_searched(spark):
+    df = h.clashing(h.docs(spark, [(None, f"before {h.sentence(2)} after"), (None, h.sentence(3)), (None, None), (1, h.sentence(2)), (2, h.sentence(4))]))
+    kept = dc.drop_contaminated(df, items(spark, [(1, h.sentence(2))]))
+    assert kept.columns == df.columns
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(None, h.sentence(3)), (None, None), (2, h.sentence(4))}

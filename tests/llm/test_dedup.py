@@ -89,3 +89,13 @@ def test_edges_of_the_input(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 6, 7, 8] and ids.count(None) == 2
     assert nd.near_groups(df.limit(0)).count() == 0 and nd.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_copies_without_an_id_are_dropped(spark):
+    rows = [(None, h.sentence(1)), (None, h.sentence(1)), (None, h.sentence(1) + " more"), (None, h.sentence(2)), (9, h.sentence(2)), (None, h.sentence(3)), (None, None), (None, ""), (None, "")]
+    df = h.clashing(h.docs(spark, rows))
+    kept = nd.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    first = [x for x in left if (x[1] or "").startswith(h.sentence(1))]
+    assert len(first) == 1 and sorted((x for x in left if x not in first), key=str) == sorted([(9, h.sentence(2)), (None, h.sentence(3)), (None, None), (None, ""), (None, "")], key=str)
