@@ -19,6 +19,11 @@ SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\
 _BLANKS = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
+def bound(value: Column, function) -> Column:
+    """``function`` of a value that is computed once, however often the function uses it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
@@ -237,10 +242,23 @@ def tolerant_pattern(literal: str) -> str:
 
 
 def glob_pattern(glob: Column) -> Column:
-    """The regular expression of a case-sensitive shell pattern with * and ? and character sets."""
-    s = F.regexp_replace(glob, r"([.^$+{}\\|()])", r"\\$1")
-    s = F.regexp_replace(F.regexp_replace(s, r"\*", ".*"), r"\?", ".")
-    return F.concat(F.lit("^(?s:"), F.regexp_replace(s, r"\[!", "[^"), F.lit(")$"))
+    """The regular expression of a case-sensitive shell pattern with * and ? and character sets; an unclosed [ is itself."""
+
+    def one(x: Column) -> Column:
+        body = F.regexp_replace(F.regexp_replace(F.substring(x, 2, 1 << 30), r"\]$", ""), r"([\\\[\]&^~])", r"\\$1")
+        chosen = F.concat(F.lit("["), F.regexp_replace(body, "^!", "^"), F.lit("]"))
+        return F.when(x == "*", ".*").when(x == "?", ".").when(F.length(x) > 1, chosen).otherwise(F.regexp_replace(x, r"([^A-Za-z0-9_])", r"\\$1"))
+
+    parts = F.regexp_extract_all(glob, F.lit(r"(?s)\[!?\]?[^\]]*\]|."), F.lit(0))
+    return F.concat(F.lit("^(?s:"), F.array_join(F.transform(parts, one), ""), F.lit(")$"))
+
+
+_NAME = r"[a-z0-9](?:[a-z0-9-]{0,62}[a-z0-9])?"
+
+
+def valid_name(name: Column) -> Column:
+    """Whether a knowledge base may have the name: lower-case letters and digits, in parts joined by single hyphens, at most 64."""
+    return name.rlike(f"^{_NAME}$") & ~F.contains(name, F.lit("--"))
 
 
 def leaf_text(plain: Column, markdown: Column) -> Column:

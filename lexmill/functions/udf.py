@@ -23,7 +23,7 @@ ENCODINGS = ("utf-8", "utf-8-sig", "gb18030", "cp1252", "latin-1")
 @F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode normal form KC."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
 def canonical_text(text: Column) -> Column:
@@ -32,9 +32,32 @@ def canonical_text(text: Column) -> Column:
 
 
 def alias_form(text: Column) -> Column:
+    """Lower case, only ASCII letters, digits and CJK, of the NFKC form."""
     return tx.alias_form(nfkc(text))
 
 
+_NO_ALIAS = re.compile("[^0-9a-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in tx._RANGES) + "]+")
+
+
+def alias(text: str) -> str:
+    """``alias_form`` of one text, for queries on the driver."""
+    return _NO_ALIAS.sub("", unicodedata.normalize("NFKC", text).lower())
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def distinct_aliases(lists: pd.Series) -> pd.Series:
+    """Of each list the aliases that are not blank, stripped; of those with equal normal form the first."""
+
+    def one(items):
+        kept: dict[str, str] = {}
+        for item in items:
+            if item is not None and (form := alias(item.strip())):
+                kept.setdefault(form, item.strip())
+        return list(kept.values())
+
+    return lists.map(lambda x: None if x is None else one(x))
+
+
 def decoded(data: bytes) -> str:
     """Text of a file by the first encoding that takes all of it."""
     for name in ENCODINGS:

@@ -18,13 +18,3 @@ def corpus(docs: DataFrame) -> DataFrame:
     base = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc_key"), stem.alias("doc_id"), F.concat(stem, F.lit(".txt")).alias("source_file"), F.col("text"))
     titled = base.withColumn("title", tx.document_title(F.col("text"), F.col("doc_id")))
     return titled.select("doc_key", "doc_id", "title", "source_file", tx.source_version(F.col("doc_id"), F.col("title")).alias("version"), F.lit(True).alias("is_active"), "text")
-
-
-def doc_lines(docs: DataFrame, key: str = "doc_key") -> DataFrame:
-    """(key, line, text): lines numbered from 1."""
-    return docs.select(key, F.posexplode(tx.lines(F.col("text"))).alias("at", "text")).select(key, (F.col("at") + 1).cast("long").alias("line"), "text")
-
-
-def section_start(text):
-    """Whether a line begins a section: a heading, a numbered line or a chapter mark."""
-    return text.rlike(r"^#{1,6}\s") | text.rlike(r"^#{0,2}\s*(?:第[一二三四五六七八九十百千\d]+[章节回]|[0-9]+(?:\.[0-9]+)*\s)")

@@ -6,21 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .search import MAX_TOKENS, batch_side, query_rows, search
+from .index import Index
+from .search import MAX_TOKENS, POOL, Batch, batch, candidates, read_candidates, reranked
 
 MAX_LINES, SHOWN, LONG = 10, 5, 3
 
 
 def line_hits(line: Column, tokens: Column) -> Column:
     """Tokens found in the line, repeats included."""
-    return F.size(F.filter(tokens, lambda t: F.contains(F.lower(line), t))).cast("long")
+    return lowered_hits(F.lower(line), tokens)
+
+
+def lowered_hits(low: Column, tokens: Column) -> Column:
+    return F.size(F.filter(tokens, lambda t: F.contains(low, t))).cast("long")
 
 
 def matching_lines(text: Column, tokens: Column, most: int = MAX_LINES) -> Column:
     """array<(line, text)>: the lines with the most hits, earlier lines first among equals."""
-    every = F.transform(tx.lines(text), lambda x, i: F.struct((-line_hits(x, tokens)).alias("order"), (i + 1).cast("long").alias("line"), tx.rstrip(x).alias("text")))
+    # each line is lowered once, before the tokens are tried; only the best lines are cut to what is shown
+    rows = F.transform(tx.lines(text), lambda x, i: F.struct(F.lower(x).alias("low"), (i + 1).cast("long").alias("line"), x.alias("text")))
+    every = F.transform(rows, lambda r: F.struct((-lowered_hits(r["low"], tokens)).alias("order"), r["line"].alias("line"), r["text"].alias("text")))
     best = F.slice(F.array_sort(F.filter(every, lambda m: m["order"] < 0)), 1, most)
-    return F.transform(best, lambda m: F.struct(m["line"].alias("line"), m["text"].alias("text")))
+    return F.transform(best, lambda m: F.struct(m["line"].alias("line"), tx.rstrip(m["text"]).alias("text")))
 
 
 def in_scope(tokens: Column, matches: Column) -> Column:
@@ -29,25 +36,30 @@ def in_scope(tokens: Column, matches: Column) -> Column:
     return (F.size(long) == 0) | F.exists(matches, lambda m: F.exists(long, lambda t: F.contains(F.lower(m["text"]), t)))
 
 
-def results(docs: DataFrame, queries: DataFrame, rerank: bool = True) -> DataFrame:
-    """(query_id, rank, doc_key, doc_id, title, source_file, score, matches): search results with their lines."""
-    found = search(docs, queries, rerank)
-    asked = query_rows(queries).select("query_id", "tokens")
-    return (
-        docs.select("doc_key", "doc_id", "title", "source_file", "text")
-        .join(batch_side(found.join(asked, "query_id"), queries), "doc_key")
-        .select("query_id", "rank", "doc_key", "doc_id", "title", "source_file", "score", matching_lines(tx.strip(F.col("text")), F.col("tokens")).alias("matches"))
-    )
+def results(index: Index, queries: DataFrame | Batch, rerank: bool = True) -> DataFrame:
+    """(query_id, rank, doc_key, doc_id, title, source_file, score, matches): search results with their lines.
+
+    The texts of the candidates are read once, for rerank and lines alike.
+    """
+    asked = batch(queries)
+    rows = read_candidates(index, asked, candidates(index, asked, POOL if rerank else 1))
+    found = matching_lines(tx.strip(F.col("text")), F.col("tokens")).alias("matches")
+    if not rerank:
+        return rows.select("query_id", "rank", "doc_key", "doc_id", "title", "source_file", F.round("score", 6).alias("score"), found)
+    # the texts of a few candidates a query go through the ranking, so that lines are sought in what stays alone
+    best = reranked(rows, *map(F.col, ("doc_id", "title", "source_file", "tokens", "text")))
+    return best.select("query_id", "rank", "doc_key", "doc_id", "title", "source_file", "score", found)
 
 
-def answers(docs: DataFrame, queries: DataFrame, rerank: bool = True) -> DataFrame:
+def answers(index: Index, queries: DataFrame | Batch, rerank: bool = True) -> DataFrame:
     """One row for each query: status, next_action, match expression and results in order.
 
     An empty query, or one without results, has no_hits. If no long token stands in a retained
     line, the query is out of scope and its results are dropped.
     """
-    asked = query_rows(queries)
-    rows = results(docs, queries, rerank)
+    asked_batch = batch(queries)
+    asked = asked_batch.rows
+    rows = results(index, asked_batch, rerank)
     gathered = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "title", "source_file", "score", "matches"))).alias("found"))
     joined = asked.join(gathered, "query_id", "left").withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<rank:bigint,doc_id:string,title:string,source_file:string,score:double,matches:array<struct<line:bigint,text:string>>>>)")))
     every = F.flatten(F.transform("found", lambda r: r["matches"]))
@@ -104,4 +116,4 @@ def summary_markdown(answered: DataFrame) -> DataFrame:
 def first_score(scored: DataFrame) -> DataFrame:
     """Scores of each query relative to the absolute score of its first row."""
     first = F.abs(F.first("score").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return scored.withColumn("score", F.when(first > 0, F.round(F.col("score") / first, 6)).otherwise(F.col("score")))
+    return scored.withColumn("score", F.round(F.when(first > 0, F.col("score") / first).otherwise(F.col("score")), 6))

@@ -61,6 +61,15 @@ def document_texts(docs: DataFrame, canonical: DataFrame) -> DataFrame:
     return joined.select("doc_id", "version", "title", tx.markdown_to_plain(F.coalesce("canonical", F.lit(""))).alias("text"))
 
 
+def keep_ids(fresh: DataFrame, previous: DataFrame) -> DataFrame:
+    """``fresh`` documents with the previous doc_id of a known path; a new one whose id another path holds gets a digest of its path."""
+    known = previous.select("source_path", F.col("doc_id").alias("old_id"))
+    taken = previous.select(F.col("doc_id").alias("taken")).distinct()
+    joined = fresh.join(known, "source_path", "left").join(taken, F.col("doc_id") == F.col("taken"), "left")
+    other = F.concat("doc_id", F.lit("-"), F.substring(F.sha2("source_path", 256), 1, 12))
+    return joined.withColumn("doc_id", F.coalesce("old_id", F.when(F.col("taken").isNotNull(), other).otherwise(F.col("doc_id")))).select(fresh.columns)
+
+
 def build_mode(changes: DataFrame, same_tools: bool) -> str:
     """``full`` if the tools changed or nothing is known, ``none`` if nothing changed, else ``incremental``."""
     if not same_tools or changes.isEmpty():

@@ -1,66 +1,156 @@
-"""The inverted index: postings with weighted frequencies, document lengths, corpus statistics.
+"""The inverted index: postings with weighted frequencies, document lengths, corpus statistics, and their stored form.
 
-Plan: one shuffle by (doc_key, token) for the postings; lengths come from the token arrays
-without a shuffle, the statistics from one small aggregate. A stored index is
-bucketed by token, so a search reads only the buckets of its tokens.
+Plan: one narrow Arrow pass over the texts makes the postings, counted inside the row, so nothing is
+shuffled to count. Stored, they are laid out in buckets of tokens, sorted by token; the store's rebalance
+splits a bucket that a frequent token fills. A posting carries the length of its document, so scores need neither texts
+nor lengths. Document frequencies and the two statistics are stored beside.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
+from ..functions import tokens as tk
+from ..functions import udf
+from ..sources.storage import Files, shared_subfolder
 
+POSTINGS = "doc_key long, is_active boolean, dl long, token string, tf_title long, tf_body long"
+STORED = f"{POSTINGS}, bucket int"
+#: Stored bytes of documents for each bucket of postings, and the bounds of their number.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 64 << 20, 8, 8_192
+#: Files of documents that a search names one by one; more are read as a folder.
+NAMED_FILES = 1_000
 
-def tokenised(docs: DataFrame) -> DataFrame:
-    """(doc_key, is_active, dl, title_tokens, body_tokens); dl is the number of tokens in title and body."""
-    tokens = docs.select("doc_key", "is_active", tx.index_tokens(F.col("title")).alias("title_tokens"), tx.index_tokens(F.col("text")).alias("body_tokens"))
-    return tokens.select("doc_key", "is_active", (F.size("title_tokens") + F.size("body_tokens")).cast("long").alias("dl"), "title_tokens", "body_tokens")
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """What is indexed: the column ``indexed`` where there is one, else the text."""
+    text = F.col("indexed" if "indexed" in docs.columns else "text")
+    return docs.select(F.col("doc_key").cast("long").alias("doc_key"), "is_active", "title", text.alias("text"))
 
-def _occurrences(tokens: DataFrame, keep: list[str]) -> DataFrame:
-    """One row for each token of each document: the kept columns, token, title (1 in the title, 0 in the body)."""
-    tagged = lambda c, title: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(title).alias("title")))
-    both = F.concat(tagged("title_tokens", 1), tagged("body_tokens", 0))
-    return tokens.select(*keep, F.explode(both).alias("p")).select(*keep, "p.token", "p.title")
 
+def postings(docs: DataFrame) -> DataFrame:
+    """(doc_key, is_active, dl, token, tf_title, tf_body); dl is the number of tokens in title and body."""
+    return _texts(docs).mapInArrow(tk.postings, POSTINGS)
 
-def _counted(occurrences: DataFrame, keys: list[str]) -> DataFrame:
-    return occurrences.groupBy(*keys, "token").agg(F.sum("title").cast("long").alias("tf_title"), F.sum(1 - F.col("title")).cast("long").alias("tf_body"))
 
+def doc_lengths(docs: DataFrame) -> DataFrame:
+    """(doc_key, is_active, dl) of every document, also of those without a token."""
+    return _texts(docs).mapInArrow(tk.lengths, "doc_key long, is_active boolean, dl long")
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """(doc_key, token, tf_title, tf_body)."""
-    return _counted(_occurrences(tokens, ["doc_key"]), ["doc_key"])
 
+def corpus_stats(lengths: DataFrame) -> DataFrame:
+    """One row (n_docs, avgdl) over all documents, active or not."""
+    return lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
-def matching_postings(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_key, is_active, dl, token, tf_title, tf_body) of the tokens in ``wanted`` (token) alone.
 
-    Other tokens are dropped before the shuffle, and the length travels with the posting, so no
-    join with the documents is needed.
-    """
-    keys = ["doc_key", "is_active", "dl"]
-    return _counted(_occurrences(tokens, keys).join(wanted, "token", "left_semi"), keys)
+def document_frequency(post: DataFrame) -> DataFrame:
+    return post.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def doc_lengths(tokens: DataFrame) -> DataFrame:
-    """(doc_key, is_active, dl)."""
-    return tokens.select("doc_key", "is_active", "dl")
+def index_texts(docs: DataFrame) -> DataFrame:
+    """(doc_key, tokens): the searchable form of each text."""
+    return docs.select(F.col("doc_key").cast("long").alias("doc_key"), "text").mapInArrow(tk.index_texts, "doc_key long, tokens string")
 
 
-def corpus_stats(lengths: DataFrame) -> DataFrame:
-    """One row (n_docs, avgdl) over all documents, active or not."""
-    return lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+def bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def document_frequency(post: DataFrame) -> DataFrame:
-    return post.groupBy("token").agg(F.count("*").alias("df"))
+def names(docs: DataFrame) -> DataFrame:
+    """(doc_key, doc_id, is_active, a, b, file): identifiers in the form in which they are compared, and the file of the document."""
+    return docs.select("doc_key", "doc_id", "is_active", udf.alias_form(F.col("doc_id")).alias("a"), udf.alias_form(F.col("title")).alias("b"), F.col("_metadata.file_name").alias("file"))
+
 
+@dataclass
+class Index:
+    """A stored index: ``docs`` with texts, ``names``, ``postings`` by bucket, ``terms`` (token, df), and statistics."""
 
-def write_index(docs: DataFrame, name: str, buckets: int = 64) -> None:
-    """Store postings bucketed and sorted by token, and lengths bucketed by document, as tables."""
-    tokens = tokenised(docs)
-    postings(tokens).write.mode("overwrite").bucketBy(buckets, "token").sortBy("token").saveAsTable(f"{name}_postings")
-    doc_lengths(tokens).write.mode("overwrite").bucketBy(buckets, "doc_key").sortBy("doc_key").saveAsTable(f"{name}_lengths")
+    spark: SparkSession
+    folder: str
+    buckets: int
+    n_docs: int
+    avgdl: float
+    #: Lengths below 4 of the identifiers in ``names``.
+    short_names: tuple[int, ...]
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    @property
+    def docs(self) -> DataFrame:
+        return self._table("docs")
+
+    @property
+    def names(self) -> DataFrame:
+        return self._table("names")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.schema(STORED).parquet(f"{self.folder}/postings")  # an empty one has no file to tell its schema
+
+    @property
+    def terms(self) -> DataFrame:
+        return self._table("terms")
+
+    def postings_of(self, tokens: list[str] | None) -> DataFrame:
+        """Postings; of a list of tokens only the buckets that hold them are listed."""
+        rows = self.postings
+        if tokens is None:
+            return rows
+        asked = self.spark.createDataFrame(pa.table({"token": pa.array(tokens, pa.string())})).select(bucket(F.col("token"), self.buckets).alias("b"))
+        wanted = sorted({r.b for r in asked.collect()})
+        return rows if len(wanted) == self.buckets else rows.filter(F.col("bucket").isin(wanted))
+
+    def texts(self, files: list[str] | None) -> DataFrame:
+        """Documents; of a list of files only those."""
+        if files is None or len(files) > NAMED_FILES:
+            return self.docs
+        return self.spark.read.schema(self.docs.schema).parquet(*(f"{self.folder}/docs/{f}" for f in files)) if files else self.docs.limit(0)
+
+
+def write(docs: DataFrame, folder: str) -> None:
+    """Store documents and their index in ``folder``. The texts are read once and not shuffled; statistics come from what is stored."""
+    docs.write.mode("overwrite").parquet(f"{folder}/docs")
+    write_index(docs.sparkSession, folder)
+
+
+def write_index(spark: SparkSession, folder: str, old: Index | None = None, kept: DataFrame | None = None) -> None:
+    """Index the documents stored in ``folder``/docs.
+
+    Of documents in ``kept`` (doc_key) the postings are taken from the ``old`` index, so only the others are tokenised.
+    """
+    stored = spark.read.parquet(f"{folder}/docs")
+    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, size // BUCKET_BYTES))
+    names(stored).write.mode("overwrite").parquet(f"{folder}/names")
+    if old is None:
+        rows = postings(stored)
+    else:
+        rows = postings(stored.join(kept, "doc_key", "left_anti")).unionByName(old.postings.drop("bucket").join(kept, "doc_key", "left_semi"))
+    placed = rows.withColumn("bucket", bucket(F.col("token"), buckets))
+    placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "doc_key").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    post = spark.read.schema(STORED).parquet(f"{folder}/postings")
+    document_frequency(post).write.mode("overwrite").parquet(f"{folder}/terms")
+    total = post.agg(F.coalesce(F.sum(F.col("tf_title") + F.col("tf_body")), F.lit(0)).alias("n")).first().n
+    short = lambda n: F.max((F.length("a") == n) | (F.length("b") == n)).alias(f"s{n}")
+    held = spark.read.parquet(f"{folder}/names").agg(F.count("*").alias("n"), short(1), short(2), short(3)).first()
+    facts = {"buckets": buckets, "n_docs": held.n, "tokens": total, "short_names": [n for n in (1, 2, 3) if held[f"s{n}"]]}
+    Files(spark).write_text(f"{folder}/index.json", json.dumps(facts))
+
+
+def read(spark: SparkSession, folder: str) -> Index:
+    """A stored index."""
+    facts = json.loads(Files(spark).read_text(f"{folder}/index.json"))
+    return Index(spark, folder, facts["buckets"], facts["n_docs"], facts["tokens"] / max(1, facts["n_docs"]), tuple(facts["short_names"]))
+
+
+def temporary(docs: DataFrame) -> Index:
+    """An index of ``docs`` in the shared folder, for searches in texts that have no stored one."""
+    folder = shared_subfolder(docs.sparkSession, "index")
+    write(docs, folder)
+    return read(docs.sparkSession, folder)

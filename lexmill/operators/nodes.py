@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from ..functions import text as tx
+from ..functions import udf
 
 KINDS = ("doc", "chapter", "section", "article", "item", "block", "clause", "table", "figure", "chunk")
 
@@ -18,16 +20,30 @@ def _or_null(c):
     return F.nullif(c, F.lit(""))
 
 
+def _flag(rows: DataFrame, name: str):
+    """A flag as text for ``parse_flag``: a number is true unless it is 0."""
+    if name not in rows.columns:
+        return F.lit(None).cast("string")
+    kind = rows.schema[name].dataType
+    return F.when(F.col(name) != 0, "true").when(F.col(name) == 0, "false") if isinstance(kind, NumericType) else F.col(name).cast("string")
+
+
+def _alias_list(rows: DataFrame):
+    """Aliases as a list; a text is one alias."""
+    if "aliases" not in rows.columns:
+        return F.lit(None).cast("array<string>")
+    return F.when(F.col("aliases").isNotNull(), F.array("aliases")) if isinstance(rows.schema["aliases"].dataType, StringType) else F.col("aliases")
+
+
 def typed_nodes(rows: DataFrame) -> DataFrame:
     """Node records with defaults; an empty parent, prev or next is null, confidence 0 is 1.0."""
     have = set(rows.columns)
     col = lambda n, kind="string": F.col(n) if n in have else F.lit(None).cast(kind)
-    base = rows.select(*(col(n).alias(n) for n in ("doc_id", "node_id", "kind", "title", "label", "parent_id", "prev_id", "next_id", "ref_path", "source_version", "body_md", "body")), col("ordinal", "int").alias("ordinal"), *(col(n).cast("string").alias(n) for n in ("is_leaf", "is_active")), col("confidence", "double").alias("confidence"), col("aliases", "array<string>").alias("aliases"))
+    base = rows.select(*(col(n).alias(n) for n in ("doc_id", "node_id", "kind", "title", "label", "parent_id", "prev_id", "next_id", "ref_path", "source_version", "body_md", "body")), col("ordinal", "int").alias("ordinal"), *(_flag(rows, n).alias(n) for n in ("is_leaf", "is_active")), col("confidence", "double").alias("confidence"), _alias_list(rows).alias("aliases"))
     title, label = _or_null(_clean("title")), _or_null(_clean("label"))
     named = F.coalesce(title, label, _clean("node_id"))
     body = F.coalesce(F.concat(tx.rstrip(F.coalesce("body_md", "body")), F.lit("\n")), F.lit(""))
-    kept = F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), tx.strip), lambda a: tx.alias_form(a) != "")
-    first = F.filter(kept, lambda a, i: ~F.exists(F.slice(kept, 1, i), lambda b: tx.alias_form(b) == tx.alias_form(a)))
+    first = udf.distinct_aliases(F.coalesce("aliases", F.array().cast("array<string>")))
     return base.select(
         _clean("doc_id").alias("doc_id"),
         _clean("node_id").alias("node_id"),
@@ -99,7 +115,8 @@ def relation_digest(rows: DataFrame, keys: list[str], order: list[str]) -> DataF
 def index_binding(docs: DataFrame) -> DataFrame:
     """One digest over the active documents, as a tree: documents, at most 4,096 buckets by id, the whole.
 
-    No task holds more than its bucket, and the last one the buckets.
+    No task holds more than its bucket, and the last one the buckets. A flat digest over all sorted rows would need
+    them in one place, so the value differs from one made that way; it serves to tell builds apart.
     """
     digest = F.sha2(F.concat_ws("\n", "doc_id", "title", "version"), 256)
     each = docs.filter("is_active").select(F.substring(F.sha2("doc_id", 256), 1, 3).alias("bucket"), "doc_id", "version", digest.alias("d"))

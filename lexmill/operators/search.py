@@ -1,65 +1,105 @@
-"""Batched search: exact identifiers, BM25, merging, rank normalisation and window-density rerank.
+"""Batched search over a stored index: exact identifiers, BM25, merging, rank normalisation and window-density rerank.
 
 Queries are rows (query_id, text, top_k, doc_ids); all operators work on the whole batch in one
-plan. A batch of at most BROADCAST_QUERIES queries is broadcast with its candidates, so texts are
-not shuffled; a larger one is joined by a shuffle.
+plan. The batch is computed once: a small one (``small``) becomes a local table with its tokens, whose
+derivatives are broadcast; a larger one is written to the shared folder and joined by shuffles.
+Scores read the postings of the batch's tokens alone; texts are read for candidates alone, from the files that hold them.
 
 bm25(d) = - sum over query tokens, repeats included, of
     idf * f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avgdl)),   f = 10 tf_title + tf_body
     idf = ln((N - n + 0.5) / (n + 0.5)), or 1e-6 where that is not positive
+The parts are added as whole multiples of 1 / UNITS, so the sum is the same in any order and equal documents tie.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .index import corpus_stats, doc_lengths, matching_postings, tokenised
+from ..functions import udf
+from ..functions.text import bound
+from ..functions.tokens import search_tokens
+from ..sources.storage import cut
+from .index import Index
 
-K1, B, TITLE_WEIGHT, BODY_WEIGHT = 1.2, 0.75, 10.0, 1.0
+K1, B, TITLE_WEIGHT, BODY_WEIGHT, UNITS = 1.2, 0.75, 10.0, 1.0, 1e12
 MAX_TOKENS, POOL, EXACT_SCORE, MIN_IDENTIFIER = 64, 3, -100.0, 4
 WINDOW, STEP, MIN_ASCII = 20, 5, 4
-BROADCAST_QUERIES = 10_000
+#: A batch is small up to so many queries, and so many characters, document ids and (five-fold) results asked for.
+BROADCAST_QUERIES, BROADCAST_UNITS = 10_000, 2_000_000
+#: Distinct tokens of a small batch up to which the buckets of postings are chosen by token.
+NAMED_TOKENS = 2_000
+DISPLAYED = 6
 
 
-def query_rows(queries: DataFrame) -> DataFrame:
-    """(query_id, text, top_k, doc_ids, tokens) with defaults for what is missing."""
-    have = set(queries.columns)
-    top_k = F.greatest(F.coalesce("top_k", F.lit(10)), F.lit(1)) if "top_k" in have else F.lit(10)
-    only = F.col("doc_ids") if "doc_ids" in have else F.lit(None).cast("array<string>")
-    return queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"), top_k.cast("int").alias("top_k"), only.alias("doc_ids"), tx.search_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+@dataclass
+class Batch:
+    """Queries with their tokens: ``rows`` (query_id, text, top_k, doc_ids, tokens, q); q is the text as an identifier."""
 
+    rows: DataFrame
+    small: bool
+    #: Whether any query has a list of documents.
+    restricted: bool
+    #: The distinct indexed tokens, if there are at most NAMED_TOKENS.
+    named: list[str] | None = None
 
-def query_tokens(queries: DataFrame) -> DataFrame:
-    """(query_id, token, times): the first MAX_TOKENS tokens of each query with their repeats; an
-    underscored token stands for its parts."""
-    first = queries.select("query_id", F.explode(F.slice("tokens", 1, MAX_TOKENS)).alias("whole"))
-    parts = first.select("query_id", F.explode(F.filter(F.split("whole", "_"), lambda t: t != "")).alias("token"))
-    return parts.groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    def side(self, rows: DataFrame) -> DataFrame:
+        """A table whose size the batch bounds: broadcast if the batch is small."""
+        return F.broadcast(rows) if self.small else rows
 
+    def tokens(self) -> DataFrame:
+        """(query_id, token, times): the first MAX_TOKENS tokens of each query with their repeats; an
+        underscored token stands for its parts."""
+        first = self.rows.select("query_id", F.explode(F.slice("tokens", 1, MAX_TOKENS)).alias("whole"))
+        parts = first.select("query_id", F.explode(F.filter(F.split("whole", "_"), lambda t: t != "")).alias("token"))
+        return parts.groupBy("query_id", "token").agg(F.count("*").alias("times"))
 
-def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_key, score) of every active document that holds a query token.
 
-    Document frequencies and scores share one shuffle by token, over the postings of query tokens alone.
+def query_rows(queries: DataFrame) -> DataFrame:
+    """(query_id, text, top_k, doc_ids) with defaults for what is missing."""
+    have = set(queries.columns)
+    top_k = F.greatest(F.coalesce("top_k", F.lit(10)), F.lit(1)) if "top_k" in have else F.lit(10)
+    only = F.filter(F.transform("doc_ids", tx.strip), lambda d: d != "") if "doc_ids" in have else F.lit(None).cast("array<string>")
+    return queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"), top_k.cast("int").alias("top_k"), F.when(F.size(only) > 0, only).alias("doc_ids"))
+
+
+def batch(queries: DataFrame | Batch) -> Batch:
+    """The queries, computed once."""
+    if isinstance(queries, Batch):
+        return queries
+    spark, asked = queries.sparkSession, query_rows(queries)
+    size = asked.agg(F.count("*").alias("n"), F.count("doc_ids").alias("restricted"), F.coalesce(F.sum(F.length("text") + F.coalesce(F.size("doc_ids"), F.lit(0)) + 5 * F.col("top_k")), F.lit(0)).alias("units")).first()
+    if size.n <= BROADCAST_QUERIES and size.units <= BROADCAST_UNITS:
+        rows = asked.toArrow()
+        texts = rows.column("text").to_pylist()
+        tokens = [search_tokens(t) for t in texts]
+        rows = rows.append_column("tokens", pa.array(tokens, pa.list_(pa.string())))
+        distinct = {t for words in tokens for w in words[:MAX_TOKENS] for t in w.split("_") if t}
+        local = spark.createDataFrame(rows.append_column("q", pa.array([udf.alias(t) for t in texts], pa.string())))
+        return Batch(local, True, size.restricted > 0, sorted(distinct) if len(distinct) <= NAMED_TOKENS else None)
+    return Batch(cut(asked.withColumns({"tokens": tx.search_tokens(F.col("text")), "q": udf.alias_form(F.col("text"))})), False, size.restricted > 0)
+
+
+def bm25_scores(index: Index, queries: DataFrame | Batch) -> DataFrame:
+    """(query_id, doc_key, score) of every active document that holds a query token, not rounded.
+
+    The weights of the batch's tokens join the postings, so a frequent token is never one task's work, and parts add up before the
+    shuffle by (query_id, doc_key).
     """
-    tokens = tokenised(docs)
-    stats = corpus_stats(doc_lengths(tokens))
-    asked = query_tokens(queries)
-    post = matching_postings(tokens, asked.select("token").distinct())
-    counted = post.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("is_active")
-    raw_idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = batch(queries)
+    tokens = asked.tokens()
+    raw_idf = F.log((F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw_idf > 0, raw_idf).otherwise(F.lit(1e-6))
+    weights = index.terms.join(asked.side(tokens), "token").select("query_id", "token", "times", idf.alias("idf"))
     f = F.lit(TITLE_WEIGHT) * F.col("tf_title") + F.lit(BODY_WEIGHT) * F.col("tf_body")
-    part = F.col("times") * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = counted.join(asked, "token").crossJoin(F.broadcast(stats)).select("query_id", "doc_key", part.alias("part"))
-    return scored.groupBy("query_id", "doc_key").agg(F.round(-F.sum("part"), 6).alias("score"))
-
-
-def batch_side(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """``rows`` of a query batch, broadcast if the batch has at most BROADCAST_QUERIES queries."""
-    return F.broadcast(rows) if queries.count() <= BROADCAST_QUERIES else rows
+    part = F.col("times") * F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))
+    post = index.postings_of(asked.named).filter("is_active")
+    scored = post.join(asked.side(weights), "token").select("query_id", "doc_key", F.round(part * UNITS).cast("long").alias("part"))
+    return scored.groupBy("query_id", "doc_key").agg((-F.sum("part") / F.lit(UNITS)).alias("score"))
 
 
 def ranked(scores: DataFrame, order: list[Column], limit: Column) -> DataFrame:
@@ -68,50 +108,76 @@ def ranked(scores: DataFrame, order: list[Column], limit: Column) -> DataFrame:
     return scores.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
-def wanted_document(doc_ids: Column, doc_id: Column) -> Column:
-    """Whether a query asks for a document; no list, or one of blanks, asks for all."""
-    clean = F.filter(F.transform(doc_ids, tx.strip), lambda d: d != "")
-    return F.coalesce(F.size(clean) <= 0, F.lit(True)) | F.array_contains(clean, doc_id)
+def _restricted(rows: DataFrame, index: Index, asked: Batch) -> DataFrame:
+    """``rows`` (query_id, doc_key, restricted, ...) without the documents that a query's list leaves out, by equal keys."""
+    wanted = asked.rows.filter("doc_ids is not null").select("query_id", F.explode("doc_ids").alias("doc_id")).distinct()
+    allowed = index.names.select("doc_key", "doc_id").join(asked.side(wanted), "doc_id").select("query_id", "doc_key", F.lit(True).alias("allowed"))
+    return rows.join(allowed, ["query_id", "doc_key"], "left").filter(~F.col("restricted") | F.col("allowed")).drop("allowed")
+
+
+def _best(index: Index, asked: Batch, pool: int) -> DataFrame:
+    """(query_id, doc_key, score, rank): the best ``pool`` * top_k documents; ties by doc_key."""
+    limits = asked.rows.select("query_id", "top_k", F.col("doc_ids").isNotNull().alias("restricted"))
+    scores = bm25_scores(index, asked).join(asked.side(limits), "query_id")
+    if asked.restricted:
+        scores = _restricted(scores, index, asked)
+    return ranked(scores, [F.col("score"), F.col("doc_key")], F.col("top_k") * pool).select("query_id", "doc_key", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, pool: int = 1) -> DataFrame:
+def bm25_top(index: Index, queries: DataFrame | Batch, pool: int = 1) -> DataFrame:
     """(query_id, doc_key, doc_id, score, rank): the best ``pool`` * top_k documents; ties by doc_key."""
-    asked = query_rows(queries)
-    scores = bm25_scores(docs, asked).join(batch_side(asked.select("query_id", "doc_ids", "top_k"), queries), "query_id")
-    names = docs.select("doc_key", "doc_id")
-    if "doc_ids" in queries.columns:
-        scores = scores.join(names, "doc_key").filter(wanted_document(F.col("doc_ids"), F.col("doc_id"))).drop("doc_id")
-    best = ranked(scores.drop("doc_ids"), [F.col("score"), F.col("doc_key")], F.col("top_k") * pool)
-    return names.join(batch_side(best, queries), "doc_key").select("query_id", "doc_key", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    asked = batch(queries)
+    best = _best(index, asked, pool)
+    return index.names.select("doc_key", "doc_id").join(asked.side(best), "doc_key").select("query_id", "doc_key", "doc_id", F.round("score", DISPLAYED).alias("score"), "rank")
 
 
-def exact_matches(docs: DataFrame, queries: DataFrame, normal=tx.alias_form) -> DataFrame:
+def exact_matches(index: Index, queries: DataFrame | Batch) -> DataFrame:
     """(query_id, doc_key, rank): active documents whose id or title contains the normalised query or lies in it.
 
     Queries of fewer than MIN_IDENTIFIER characters match nothing. The first top_k documents
-    count, by doc_key. A containment test has no equal key: the query side is broadcast if small.
+    count, by doc_key. Candidates share a key of MIN_IDENTIFIER characters, the last ones of the name or of the query.
     """
-    asked = query_rows(queries).withColumn("q", normal(F.col("text"))).filter(F.length("q") >= MIN_IDENTIFIER)
-    names = docs.filter("is_active").select("doc_key", "doc_id", normal(F.col("doc_id")).alias("a"), normal(F.col("title")).alias("b"))
-    side = lambda c: (F.length(c) > 0) & (F.contains(F.col("q"), F.col(c)) | F.contains(F.col(c), F.col("q")))
-    pairs = names.join(batch_side(asked, queries), side("a") | side("b"))
-    kept = pairs.filter(wanted_document(F.col("doc_ids"), F.col("doc_id")))
+    asked = batch(queries)
+    texts = asked.rows.filter(F.length("q") >= MIN_IDENTIFIER).select("query_id", "q")
+    n = MIN_IDENTIFIER
+    parts = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (k - 1))), lambda i: F.substring(F.col(c), i, F.lit(k)))
+    # a name lies in a query: its last characters, or the whole of a short name, stand somewhere in it
+    inner = texts.select("query_id", F.explode(F.array_distinct(F.flatten(F.array(*(parts("q", k) for k in (*index.short_names, n)))))).alias("key"), F.lit(True).alias("inside"))
+    # a name holds the query, and so its last characters
+    outer = texts.select("query_id", F.right("q", F.lit(n)).alias("key"), F.lit(False).alias("inside"))
+    active = index.names.filter("is_active").select("doc_key", F.explode(F.array_distinct(F.array("a", "b"))).alias("name")).filter(F.length("name") > 0)
+    keyed = active.select("doc_key", "name", F.explode(F.array_distinct(parts("name", n))).alias("key"))
+    met = keyed.join(asked.side(inner.unionByName(outer)), "key").filter(~F.col("inside") | (F.col("key") == F.right("name", F.lit(n)))).select("query_id", "doc_key", "name", "inside")
+    held = F.when(F.col("inside"), F.contains("q", F.col("name"))).otherwise(F.contains("name", F.col("q")))
+    pairs = met.join(asked.side(texts), "query_id").filter(held).select("query_id", "doc_key").distinct()
+    limits = asked.rows.select("query_id", "top_k", F.col("doc_ids").isNotNull().alias("restricted"))
+    kept = pairs.join(asked.side(limits), "query_id")
+    if asked.restricted:
+        kept = _restricted(kept, index, asked)
     return ranked(kept, [F.col("doc_key")], F.col("top_k")).select("query_id", "doc_key", F.col("rank").cast("long").alias("rank"))
 
 
-def merged(docs: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
-    """Exact matches first, then BM25 without them, at most ``pool`` * top_k; scores relative to the first.
+def candidates(index: Index, asked: Batch, pool: int) -> DataFrame:
+    """(query_id, doc_key, rank, score, top_k): exact matches first, then BM25 without them, at most ``pool`` * top_k.
 
-    (query_id, doc_key, rank, score). A query without tokens keeps its exact matches at EXACT_SCORE.
+    Scores are relative to the first, and not rounded. A query without tokens keeps its exact matches at EXACT_SCORE. Written to the shared folder, so that
+    what follows does not repeat the search.
     """
-    asked = query_rows(queries)
-    exact = exact_matches(docs, queries).select("query_id", "doc_key", F.lit(0).alias("kind"), F.col("rank").alias("at"), F.lit(EXACT_SCORE).alias("score"))
-    found = bm25_top(docs, queries, pool).join(exact.select("query_id", "doc_key"), ["query_id", "doc_key"], "left_anti").select("query_id", "doc_key", F.lit(1).alias("kind"), F.col("rank").alias("at"), "score")
-    both = exact.unionByName(found).join(asked.select("query_id", "top_k", F.size("tokens").alias("n_tokens")), "query_id")
-    kept = ranked(both, [F.col("kind"), F.col("at")], F.col("top_k") * pool)
-    first = F.abs(F.first("score").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    relative = F.when((F.col("n_tokens") > 0) & (first > 0), F.col("score") / first).otherwise(F.col("score"))
-    return kept.select("query_id", "doc_key", F.col("rank").cast("long").alias("rank"), F.round(relative, 6).alias("score"), "top_k")
+    exact = exact_matches(index, asked).select("query_id", "doc_key", F.lit(0).alias("kind"), F.col("rank").alias("at"), F.lit(EXACT_SCORE).alias("score"))
+    found = _best(index, asked, pool).select("query_id", "doc_key", F.lit(1).alias("kind"), F.col("rank").alias("at"), "score")
+    # of a document that is found both ways the exact match counts
+    first = F.min(F.struct("kind", "at", "score"))
+    both = exact.unionByName(found).groupBy("query_id", "doc_key").agg(first.alias("m")).select("query_id", "doc_key", "m.*")
+    limited = both.join(asked.side(asked.rows.select("query_id", "top_k", F.size("tokens").alias("n_tokens"))), "query_id")
+    kept = ranked(limited, [F.col("kind"), F.col("at")], F.col("top_k") * pool)
+    top = F.abs(F.first("score").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    relative = F.when((F.col("n_tokens") > 0) & (top > 0), F.col("score") / top).otherwise(F.col("score"))
+    return cut(kept.select("query_id", "doc_key", F.col("rank").cast("long").alias("rank"), relative.alias("score"), "top_k"))
+
+
+def merged(index: Index, queries: DataFrame | Batch, pool: int = POOL) -> DataFrame:
+    """(query_id, doc_key, rank, score, top_k) of the candidates."""
+    return candidates(index, batch(queries), pool).withColumn("score", F.round("score", DISPLAYED))
 
 
 def window_density(text: Column, tokens: Column, window: int = WINDOW, step: int = STEP) -> Column:
@@ -120,37 +186,57 @@ def window_density(text: Column, tokens: Column, window: int = WINDOW, step: int
     A text of at most ``window`` lines counts as one window, in which a token also counts as a
     substring. Windows begin at every ``step``-th line as long as they are whole.
     """
-    rows = F.split(text, "\n")
+    def held(low: Column) -> Column:
+        return F.array_intersect(tokens, F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)))
+
+    def short(low: Column) -> Column:
+        return F.greatest(F.size(F.filter(tokens, lambda t: F.contains(low, t))), F.size(held(low)))
 
-    def words(s: Column) -> Column:
-        return F.regexp_extract_all(F.lower(s), F.lit("[a-z]+"), F.lit(0))
+    def densest(each: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(each) - window + 1, F.lit(step))
+        return F.array_max(F.transform(starts, lambda s: F.size(F.array_distinct(F.flatten(F.slice(each, s, window))))))
 
-    short = F.greatest(F.size(F.filter(tokens, lambda t: F.contains(F.lower(text), t))), F.size(F.array_intersect(tokens, words(text))))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(rows) - window + 1), F.lit(step))
-    counts = F.transform(starts, lambda s: F.size(F.array_intersect(tokens, words(F.array_join(F.slice(rows, s, window), "\n")))))
-    best = F.when(F.size(rows) <= window, short).otherwise(F.array_max(counts))
-    return F.when((F.size(tokens) == 0) | (text == ""), F.lit(0)).otherwise(best)
+    low = F.lower(text)
+    n_rows = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
+    # the tokens of each line are taken once; a window unites those of its lines
+    long = bound(F.transform(F.split(low, "\n"), held), densest)
+    return F.when((F.size(tokens) == 0) | (text == ""), F.lit(0)).when(n_rows <= window, bound(low, short)).otherwise(long)
 
 
-def search(docs: DataFrame, queries: DataFrame, rerank: bool = True) -> DataFrame:
-    """(query_id, doc_key, rank, score, density): the final top_k of each query.
+def read_candidates(index: Index, asked: Batch, pool: DataFrame) -> DataFrame:
+    """The documents of ``pool`` with its columns, the query's tokens, and their texts, read from the files that hold them.
+
+    Texts stay where they are if the batch is small.
+    """
+    rows = pool.join(asked.side(asked.rows.select("query_id", "tokens")), "query_id")
+    files = None
+    if asked.small:
+        named = index.names.select("doc_key", "file").join(F.broadcast(pool.select("doc_key").distinct()), "doc_key").select("file").distinct()
+        files = [r.file for r in named.limit(1_001).collect()]  # more are read as the whole folder
+    return index.texts(files).select("doc_key", "doc_id", "title", "source_file", "text").join(asked.side(rows), "doc_key")
+
+
+def reranked(rows: DataFrame, *kept: Column) -> DataFrame:
+    """The final top_k of each query from candidates with texts: (query_id, doc_key, rank, score, density, kept).
 
     Queries with at least MIN_ASCII distinct ASCII tokens and more than one candidate are ordered by window
-    density, ties by merged rank; scores stay those of the merged list. Texts join only
-    the candidates.
+    density, ties by their rank so far; scores stay. ``kept`` are further columns to carry.
     """
-    asked = query_rows(queries)
-    if not rerank:
-        return merged(docs, queries, 1).select("query_id", "doc_key", "rank", "score", F.lit(None).cast("long").alias("density"))
-    pool = merged(docs, queries)
     ascii_tokens = F.array_distinct(F.filter("tokens", lambda t: t.rlike(r"^[\x00-\x7F]+$")))
-    context = asked.select("query_id", ascii_tokens.alias("ascii"))
+    density = F.when((F.size(ascii_tokens) >= MIN_ASCII), window_density(F.col("text"), ascii_tokens))
+    scored = rows.select("query_id", "doc_key", F.col("rank").alias("pool_rank"), F.col("score").alias("raw"), "top_k", density.cast("long").alias("each"), *kept)
     several = F.count("*").over(Window.partitionBy("query_id")) > 1
-    dense = pool.join(context, "query_id").withColumn("dense", several & (F.size("ascii") >= MIN_ASCII))
-    joined = docs.select("doc_key", "text").join(batch_side(dense, queries), "doc_key")  # texts stay where they are
-    density = F.when(F.col("dense"), window_density(F.col("text"), F.col("ascii")))
-    scored = joined.select("query_id", "doc_key", F.col("rank").alias("pool_rank"), "score", "top_k", density.cast("long").alias("density"))
-    return ranked(scored, [F.coalesce("density", F.lit(0)).desc(), F.col("pool_rank")], F.col("top_k")).select("query_id", "doc_key", F.col("rank").cast("long").alias("rank"), "score", "density")
+    shown = scored.withColumn("density", F.when(several, F.col("each"))).withColumn("score", F.round("raw", DISPLAYED)).drop("each", "raw")
+    best = ranked(shown, [F.coalesce("density", F.lit(0)).desc(), F.col("pool_rank")], F.col("top_k"))
+    return best.withColumn("rank", F.col("rank").cast("long")).drop("pool_rank", "top_k")
+
+
+def search(index: Index, queries: DataFrame | Batch, rerank: bool = True) -> DataFrame:
+    """(query_id, doc_key, rank, score, density): the final top_k of each query. Texts are read for the candidates alone."""
+    asked = batch(queries)
+    if not rerank:
+        return merged(index, asked, 1).select("query_id", "doc_key", "rank", "score", F.lit(None).cast("long").alias("density"))
+    return reranked(read_candidates(index, asked, candidates(index, asked, POOL))).select("query_id", "doc_key", "rank", "score", "density")
 
 
 def matches_any(tokens: Column, wanted: list[str], limit: int = MAX_TOKENS) -> Column:

@@ -2,52 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lines as ln
 from ..functions import text as tx
+from ..functions.text import bound
 
 KEYWORDS, MIN_FREQUENCY, LONGEST = 8, 2, 6
 
 
 def line_offsets(docs: DataFrame) -> DataFrame:
     """(doc_key, line, offset): character offset of every line of the plain text, and of what follows the last line end."""
-    each = docs.select("doc_key", F.posexplode(F.split("text", "\n")).alias("at", "part"))
-    before = Window.partitionBy("doc_key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return each.select("doc_key", (F.col("at") + 1).cast("long").alias("line"), F.coalesce(F.sum(F.length("part") + 1).over(before), F.lit(0)).alias("offset"))
+    return ln.each(docs, ["doc_key"], ln.offset_rows, "line long, offset long")
 
 
 def headings(docs: DataFrame) -> DataFrame:
     """(doc_key, line, level, title, start, stop): headings with their character span, line end included."""
-    each = docs.select("doc_key", F.length("text").alias("total"), F.posexplode(F.split("text", "\n")).alias("at", "part"))
-    before = Window.partitionBy("doc_key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    spanned = each.withColumn("start", F.coalesce(F.sum(F.length("part") + 1).over(before), F.lit(0)))
-    lead = F.regexp_replace("part", rf"^{tx.SPACE}+", "")
-    marks = F.regexp_extract(lead, r"^(#{1,6})\s+(.+)", 1)
-    found = spanned.select("doc_key", "at", "part", "start", "total", F.length(marks).alias("level"), tx.strip(F.regexp_extract(lead, r"^(#{1,6})\s+(.+)", 2)).alias("title")).filter("level > 0")
-    return found.select("doc_key", (F.col("at") + 1).cast("long").alias("line"), F.col("level").cast("long").alias("level"), "title", "start", F.least(F.col("start") + F.length("part") + 1, F.col("total")).cast("long").alias("stop"))
+    return ln.each(docs, ["doc_key"], ln.heading_rows, "line long, level long, title string, start long, stop long")
 
 
 def block_spans(docs: DataFrame) -> DataFrame:
     """(doc_key, doc_id, reading_order, start, stop, span_id): maximal runs of lines that are not blank."""
-    each = docs.select("doc_key", "doc_id", F.length("text").alias("total"), F.posexplode(F.split("text", "\n")).alias("at", "part"))
-    by_doc = Window.partitionBy("doc_key").orderBy("at")
-    before = by_doc.rowsBetween(Window.unboundedPreceding, -1)
-    marked = each.select("doc_key", "doc_id", "at", "total", F.length("part").alias("n"), (tx.strip(F.col("part")) == "").alias("blank"), F.coalesce(F.sum(F.length("part") + 1).over(before), F.lit(0)).alias("start"))
-    island = marked.withColumn("island", F.sum(F.col("blank").cast("int")).over(by_doc)).filter("not blank")
-    runs = island.groupBy("doc_key", "doc_id", "island").agg(F.min("start").alias("start"), F.max(F.least(F.col("start") + F.col("n") + 1, F.col("total"))).cast("long").alias("stop"))
-    order = F.row_number().over(Window.partitionBy("doc_key").orderBy("start")) - 1
-    return runs.select("doc_key", "doc_id", order.cast("long").alias("reading_order"), "start", "stop", tx.span_id(F.col("doc_id"), F.col("start"), F.col("stop")).alias("span_id"))
+    runs = ln.each(docs, ["doc_key", "doc_id"], ln.block_rows, "reading_order long, start long, stop long")
+    return runs.withColumn("span_id", tx.span_id(F.col("doc_id"), F.col("start"), F.col("stop")))
 
 
-def infer_headings(docs: DataFrame) -> DataFrame:
-    """(doc_key, text): plain text with headings marked.
+def inferred_headings(text: Column) -> Column:
+    """Plain text with headings marked.
 
     First a line of ``=`` or ``-`` turns the line before it into a heading of level 1 or 2. Then a line between blank
     ones becomes a heading: chapters level 1, numbered lines by their depth, other lines of fewer than 60
     characters that are no list items level 3.
     """
-    rows = F.transform(tx.lines(F.col("text")), lambda x: tx.rstrip(x))
+    rows = F.transform(tx.lines(text), lambda x: tx.rstrip(x))
 
     def underline(acc: Column, x: Column) -> Column:
         s = tx.strip(x)
@@ -57,21 +45,29 @@ def infer_headings(docs: DataFrame) -> DataFrame:
         return F.when(level.isNotNull() & (F.size(acc) > 0), popped).otherwise(F.concat(acc, F.array(F.when(s == "", "").otherwise(x))))
 
     # only texts with an underline pay for the fold
-    folded = F.when(F.exists(rows, lambda x: tx.strip(x).rlike("^(={3,}|-{3,})$")), F.aggregate(rows, F.array().cast("array<string>"), underline)).otherwise(F.transform(rows, lambda x: F.when(tx.strip(x) == "", "").otherwise(x)))
-    first = docs.select("doc_key", folded.alias("rows"))
+    def folded(r: Column) -> Column:
+        return F.when(F.exists(r, lambda x: tx.strip(x).rlike("^(={3,}|-{3,})$")), F.aggregate(r, F.array().cast("array<string>"), underline)).otherwise(F.transform(r, lambda x: F.when(tx.strip(x) == "", "").otherwise(x)))
 
-    def mark(x: Column, i: Column) -> Column:
-        s = tx.strip(x)
-        blank = lambda at: F.coalesce(tx.strip(F.get("rows", at)) == "", F.lit(True))
-        alone = (s != "") & ~s.startswith("#") & F.when(i == 0, True).otherwise(blank(i - 1)) & blank(i + 1)
-        number = F.regexp_extract(s, r"^(\d+(?:\.\d+)+)\s+\S", 1)
-        depth = F.least(F.size(F.split(number, r"\.")), F.lit(6))
-        item = s.rlike(r"^[-*•·]\s") | (s.rlike(r"^\d+\.\s") & ~s.rlike(r"^\d+\.\d+"))
-        prefix = F.when(s.rlike(r"(?i)^Chapter\s+") | s.rlike(r"^第[一二三四五六七八九十百千万\d]+[章节篇部]"), "# ").when(number != "", F.concat(F.repeat(F.lit("#"), depth), F.lit(" "))).when((F.length(s) < 60) & ~item, "### ")
-        return F.when(alone & prefix.isNotNull(), F.concat(prefix, s)).otherwise(x)
+    def marked(r: Column) -> Column:
+        def mark(x: Column, i: Column) -> Column:
+            s = tx.strip(x)
+            blank = lambda at: F.coalesce(tx.strip(F.get(r, at)) == "", F.lit(True))
+            alone = (s != "") & ~s.startswith("#") & F.when(i == 0, True).otherwise(blank(i - 1)) & blank(i + 1)
+            number = F.regexp_extract(s, r"^(\d+(?:\.\d+)+)\s+\S", 1)
+            depth = F.least(F.size(F.split(number, r"\.")), F.lit(6))
+            item = s.rlike(r"^[-*•·]\s") | (s.rlike(r"^\d+\.\s") & ~s.rlike(r"^\d+\.\d+"))
+            prefix = F.when(s.rlike(r"(?i)^Chapter\s+") | s.rlike(r"^第[一二三四五六七八九十百千万\d]+[章节篇部]"), "# ").when(number != "", F.concat(F.repeat(F.lit("#"), depth), F.lit(" "))).when((F.length(s) < 60) & ~item, "### ")
+            return F.when(alone & prefix.isNotNull(), F.concat(prefix, s)).otherwise(x)
+
+        return F.transform(r, mark)
 
-    joined = F.array_join(F.transform("rows", mark), "\n")
-    return first.select("doc_key", F.when(joined.endswith("\n"), joined).otherwise(F.concat(joined, F.lit("\n"))).alias("text"))
+    joined = F.array_join(bound(bound(rows, folded), marked), "\n")
+    return F.when(joined.endswith("\n"), joined).otherwise(F.concat(joined, F.lit("\n")))
+
+
+def infer_headings(docs: DataFrame) -> DataFrame:
+    """(doc_key, text): plain text with headings marked."""
+    return docs.select("doc_key", inferred_headings(F.col("text")).alias("text"))
 
 
 def keywords(docs: DataFrame, top: int = KEYWORDS, least: int = MIN_FREQUENCY) -> DataFrame:
@@ -107,14 +103,19 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_key", F.size(F.split(text, "\n")).cast("long").alias("line_count"), F.length(text).cast("long").alias("char_count"), F.size(heads).cast("long").alias("heading_count"))
 
 
-def reference_text(docs: DataFrame) -> DataFrame:
-    """(doc_key, reference): a document with front matter, title, table of contents, figures and its text."""
-    text = tx.canonical_line_ends(F.col("text"))
+def reference_column(doc_id: Column, title: Column, version: Column, text: Column) -> Column:
+    """A document with front matter, title, table of contents, figures and its text."""
+    text = tx.canonical_line_ends(text)
     lead = lambda x: F.regexp_replace(x, rf"^{tx.SPACE}+", "")
     heads = F.filter(F.transform(F.split(text, "\n"), lead), lambda x: x.rlike(r"^#{1,6}\s+."))
     level = lambda x: F.length(F.regexp_extract(x, "^(#+)", 1))
     entry = lambda x: F.concat(F.repeat(F.lit("  "), level(x) - 1), F.lit("- "), tx.strip(F.regexp_replace(x, r"^#{1,6}\s+", "")))
     toc = F.when(F.size(heads) > 0, F.concat(F.lit("## 目录\n\n"), F.array_join(F.transform(heads, entry), "\n"), F.lit("\n\n"))).otherwise("")
     figures = F.concat(F.lit("## 统计\n\n- 行数: "), F.size(F.split(text, "\n")).cast("string"), F.lit("\n- 字符数: "), F.length(text).cast("string"), F.lit("\n\n"))
-    front = F.concat(F.lit("---\ndoc_id: "), F.col("doc_id"), F.lit("\ntitle: "), F.col("title"), F.lit("\nsource_version: "), F.col("version"), F.lit("\nkind: doc\n---\n\n"))
-    return docs.select("doc_key", F.concat(front, F.lit("# "), F.col("title"), F.lit("\n\n"), toc, figures, F.lit("---\n\n\n"), tx.rstrip(text), F.lit("\n\n")).alias("reference"))
+    front = F.concat(F.lit("---\ndoc_id: "), doc_id, F.lit("\ntitle: "), title, F.lit("\nsource_version: "), version, F.lit("\nkind: doc\n---\n\n"))
+    return F.concat(front, F.lit("# "), title, F.lit("\n\n"), toc, figures, F.lit("---\n\n\n"), tx.rstrip(text), F.lit("\n\n"))
+
+
+def reference_text(docs: DataFrame) -> DataFrame:
+    """(doc_key, reference): the rendered form of each document."""
+    return docs.select("doc_key", reference_column(F.col("doc_id"), F.col("title"), F.col("version"), F.col("text")).alias("reference"))

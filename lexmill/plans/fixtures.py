@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import ENGLISH
-from ..operators.corpus import corpus, doc_lines
+from ..operators import index
+from ..operators.corpus import corpus
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spread(table(spark, sf_dir, "documents")))
 
 
+_stored: dict[tuple, index.Index] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, kind: str = "all", docs: DataFrame | None = None) -> index.Index:
+    """The index of the documents (or of ``docs``, by its name), built once a session into the shared folder and read from there by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _stored:
+        _stored[key] = index.temporary(documents(spark, sf_dir) if docs is None else docs)
+    return _stored[key]
+
+
 def with_language(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     return docs.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), "lang"), "doc_key")
 
@@ -51,7 +63,7 @@ BM25 = f"""asked AS (SELECT query_id, token, count(*) AS times FROM (
   SELECT query_id, unnest(string_split(w, '_')) AS token FROM (SELECT query_id, unnest(({sql_tokens("text")})[1:64]) AS w FROM queries)) WHERE token <> '' GROUP BY ALL),
 weights AS (SELECT query_id, a.token, times, CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) > 0 THEN ln((n_docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM asked a JOIN frequency f ON f.token = a.token, stats),
 scores AS (
-  SELECT query_id, doc_key, round(-sum(times * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  SELECT query_id, doc_key, -sum(round(times * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)) * 1e12)::BIGINT)::DOUBLE / 1e12 AS score
   FROM (SELECT w.query_id, p.doc_key, times, idf, (10 * tf_title + tf_body)::DOUBLE AS f, dl FROM weights w JOIN postings p ON p.token = w.token JOIN lengths l ON l.doc_key = p.doc_key), stats
   GROUP BY query_id, doc_key)"""
 
@@ -92,10 +104,6 @@ LINES = """slines AS (
       SELECT doc_key, string_split(text, chr(10)) AS parts, string_split(text, chr(10))[-1] AS last FROM structured)))"""
 
 
-def structured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_lines(structured(spark, sf_dir))
-
-
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as document trees: a conversation is a document, its turns are nodes."""
     c = table(spark, sf_dir, "conversations")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import udf
 from ..operators import evaluate, evidence, incremental, index, nodes, reader, search, sharding, structure
-from ..operators.corpus import doc_lines
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +37,7 @@ def _strip(sql: str) -> str:
 
 @query(f"WITH {fx.CORPUS} SELECT doc_key, array_to_string({fx.sql_tokens('text')}, ' ') AS tokens FROM corpus")
 def fts_tokens(spark, d):
-    return fx.documents(spark, d).select("doc_key", tx.index_text(F.col("text")).alias("tokens"))
+    return index.index_texts(fx.documents(spark, d))
 
 
 @query(f"WITH {fx.CORPUS} SELECT doc_key, len(regexp_extract_all(text, '[A-Za-z0-9_]{{2,}}')) AS words, len({fx.sql_tokens('text')}) AS kept FROM corpus")
@@ -49,33 +48,33 @@ def stopword_filter(spark, d):
 
 @query(f"WITH {fx.CORPUS}, {fx.POSTINGS} SELECT doc_key, token, tf_title, tf_body FROM postings")
 def postings(spark, d):
-    return index.postings(index.tokenised(fx.documents(spark, d)))
+    return index.postings(fx.documents(spark, d)).select("doc_key", "token", "tf_title", "tf_body")
 
 
 @query(f"WITH {fx.CORPUS}, {fx.POSTINGS} SELECT token, df FROM frequency")
 def token_df(spark, d):
-    return index.document_frequency(index.postings(index.tokenised(fx.documents(spark, d))))
+    return index.document_frequency(index.postings(fx.documents(spark, d)))
 
 
 @query(f"WITH {fx.CORPUS}, {fx.POSTINGS} SELECT n_docs, round(avgdl, 6) AS avgdl FROM stats")
 def doc_length_stats(spark, d):
-    return index.corpus_stats(index.doc_lengths(index.tokenised(fx.documents(spark, d)))).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return index.corpus_stats(index.doc_lengths(fx.documents(spark, d))).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 # --- search ----------------------------------------------------------------------------
 
-_TOP = "SELECT query_id, doc_key, doc_id, score, rank FROM (SELECT s.*, c.doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score, s.doc_key) AS rank FROM scores s JOIN corpus c ON c.doc_key = s.doc_key {where}) WHERE rank <= 10"
+_TOP = "SELECT query_id, doc_key, doc_id, round(score, 6) AS score, rank FROM (SELECT s.*, c.doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score, s.doc_key) AS rank FROM scores s JOIN corpus c ON c.doc_key = s.doc_key {where}) WHERE rank <= 10"
 _INDEX = f"WITH {fx.CORPUS}, {fx.POSTINGS}"
 
 
 @query(f"{_INDEX}, {fx.FIXED_QUERY}, {fx.BM25} {_TOP.format(where='')}")
 def bm25_topk(spark, d):
-    return search.bm25_top(fx.documents(spark, d), fx.fixed_query(spark))
+    return search.bm25_top(fx.stored(spark, d), fx.fixed_query(spark))
 
 
 @query(f"{_INDEX}, {fx.QUERIES}, {fx.BM25} {_TOP.format(where='')}")
 def bm25_batch_topk(spark, d):
-    return search.bm25_top(fx.documents(spark, d), fx.benchmark_queries(spark, d))
+    return search.bm25_top(fx.stored(spark, d), fx.benchmark_queries(spark, d))
 
 
 _TWICE = fx.QUERIES.replace("SELECT item_id AS query_id, text,", "SELECT item_id AS query_id, text || ' ' || string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] AS text,")
@@ -84,7 +83,7 @@ _TWICE = fx.QUERIES.replace("SELECT item_id AS query_id, text,", "SELECT item_id
 @query(f"{_INDEX}, {_TWICE}, {fx.BM25} {_TOP.format(where='')}")
 def bm25_dup_tokens(spark, d):
     words = F.split("text", " ")
-    return search.bm25_top(fx.documents(spark, d), fx.benchmark_queries(spark, d).withColumn("text", F.concat_ws(" ", F.col("text"), F.get(words, F.lit(0)), F.get(words, F.lit(1)))))
+    return search.bm25_top(fx.stored(spark, d), fx.benchmark_queries(spark, d).withColumn("text", F.concat_ws(" ", F.col("text"), F.get(words, F.lit(0)), F.get(words, F.lit(1)))))
 
 
 @query(f"{_INDEX}, {fx.QUERIES}, {fx.BM25} {_TOP.format(where=chr(10) + ' WHERE c.lang = (SELECT CASE WHEN len(q.text) > 200 THEN \'en\' ELSE \'fr\' END FROM queries q WHERE q.query_id = s.query_id)')}")
@@ -92,13 +91,13 @@ def bm25_doc_filter(spark, d):
     docs = fx.documents(spark, d)
     groups = fx.with_language(spark, d, docs).groupBy("lang").agg(F.collect_list("doc_id").alias("doc_ids"))
     wanted = F.when(F.length("text") > 200, "en").otherwise("fr")
-    return search.bm25_top(docs, fx.benchmark_queries(spark, d).join(groups, wanted == F.col("lang")).drop("lang"))
+    return search.bm25_top(fx.stored(spark, d), fx.benchmark_queries(spark, d).join(groups, wanted == F.col("lang")).drop("lang"))
 
 
 @query(f"{_INDEX}, {fx.QUERIES}, {fx.BM25} {_TOP.format(where=chr(10) + ' WHERE c.lang <> \'es\'')}")
 def bm25_inactive_stats(spark, d):
     docs = fx.with_language(spark, d, fx.documents(spark, d)).withColumn("is_active", F.col("lang") != "es")
-    return search.bm25_top(docs, fx.benchmark_queries(spark, d))
+    return search.bm25_top(fx.stored(spark, d, "without es", docs), fx.benchmark_queries(spark, d))
 
 
 _IDENTIFIERS = "idents AS (SELECT row_number() OVER (ORDER BY source) AS query_id, upper(source) || ' ' || min(doc_id) AS text, 10 AS top_k FROM documents GROUP BY source)"
@@ -118,14 +117,14 @@ def _identifiers(spark, d):
 
 @query(f"WITH {fx.CORPUS}, {_IDENTIFIERS}, {_EXACT.format(queries='idents')} SELECT * FROM exact")
 def exact_identifier(spark, d):
-    return search.exact_matches(fx.documents(spark, d), _identifiers(spark, d))
+    return search.exact_matches(fx.stored(spark, d), _identifiers(spark, d))
 
 
 _MIXED = """queries AS (SELECT query_id, text, 10 AS top_k FROM idents UNION ALL SELECT 1000000 + item_id, text, 10 FROM benchmark)"""
 _MERGED = """pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_key) AS place FROM scores QUALIFY place <= 30),
 both_ AS (SELECT query_id, doc_key, 0 AS kind, rank AS place, -100.0::DOUBLE AS score FROM exact
   UNION ALL SELECT p.query_id, p.doc_key, 1, p.place, p.score FROM pool p WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.query_id = p.query_id AND e.doc_key = p.doc_key)),
-merged AS (SELECT query_id, doc_key, row_number() OVER w AS rank, round(score / abs(first_value(score) OVER w), 6) AS score FROM both_ WINDOW w AS (PARTITION BY query_id ORDER BY kind, place) QUALIFY rank <= 30)"""
+merged AS (SELECT query_id, doc_key, row_number() OVER w AS rank, score / abs(first_value(score) OVER w) AS score FROM both_ WINDOW w AS (PARTITION BY query_id ORDER BY kind, place) QUALIFY rank <= 30)"""
 _SEARCH = f"{_INDEX}, {_IDENTIFIERS}, {_MIXED}, {_EXACT.format(queries='queries')}, {fx.BM25}, {_MERGED}"
 
 
@@ -134,14 +133,15 @@ def _mixed(spark, d):
     return _identifiers(spark, d).unionByName(items)
 
 
-@query(f"{_SEARCH} SELECT query_id, doc_key, rank, score FROM merged")
+@query(f"{_SEARCH} SELECT query_id, doc_key, rank, round(score, 6) AS score FROM merged")
 def search_merged(spark, d):
-    return search.merged(fx.documents(spark, d), _mixed(spark, d)).select("query_id", "doc_key", "rank", "score")
+    return search.merged(fx.stored(spark, d), _mixed(spark, d)).select("query_id", "doc_key", "rank", "score")
 
 
-@query(f"{_INDEX}, {fx.QUERIES}, {fx.BM25} SELECT query_id, doc_key, rank, round(score / abs(first_value(score) OVER (PARTITION BY query_id ORDER BY rank)), 6) AS score FROM ({_TOP.format(where='')})")
+@query(f"{_INDEX}, {fx.QUERIES}, {fx.BM25} SELECT query_id, doc_key, rank, round(score / abs(first_value(score) OVER (PARTITION BY query_id ORDER BY rank)), 6) AS score FROM ({_TOP.format(where='').replace('round(score, 6) AS score', 'score')})")
 def score_normalised(spark, d):
-    top = search.bm25_top(fx.documents(spark, d), fx.benchmark_queries(spark, d))
+    scores = search.bm25_scores(fx.stored(spark, d), fx.benchmark_queries(spark, d))
+    top = search.ranked(scores, [F.col("score"), F.col("doc_key")], F.lit(10)).withColumn("rank", F.col("rank").cast("long"))
     return evidence.first_score(top).select("query_id", "doc_key", "rank", "score")
 
 
@@ -168,14 +168,14 @@ def window_density_small(spark, d):
 
 
 _RERANK = f"""{_SEARCH}, asciis AS (SELECT query_id, list_distinct({fx.sql_tokens("text")}) AS toks FROM queries),
-dense AS (SELECT m.query_id, m.doc_key, m.rank AS pool_rank, m.score, CASE WHEN len(toks) >= 4 AND count(*) OVER (PARTITION BY m.query_id) > 1 THEN {_density_sql(20, "toks")} END AS density
+dense AS (SELECT m.query_id, m.doc_key, m.rank AS pool_rank, round(m.score, 6) AS score, CASE WHEN len(toks) >= 4 AND count(*) OVER (PARTITION BY m.query_id) > 1 THEN {_density_sql(20, "toks")} END AS density
   FROM merged m JOIN asciis a ON a.query_id = m.query_id JOIN corpus c ON c.doc_key = m.doc_key),
 final AS (SELECT query_id, doc_key, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(density, 0) DESC, pool_rank) AS rank, score, density FROM dense QUALIFY rank <= 10)"""
 
 
 @query(f"{_RERANK} SELECT query_id, doc_key, rank, score, density FROM final")
 def rerank_topk(spark, d):
-    return search.search(fx.documents(spark, d), _mixed(spark, d))
+    return search.search(fx.stored(spark, d), _mixed(spark, d))
 
 
 @query(f"WITH {fx.CORPUS}, t AS (SELECT doc_key, list_distinct({fx.sql_tokens('text')}) AS toks FROM corpus) SELECT doc_key FROM t WHERE list_has_any(toks, {_FIXED_LIST})")
@@ -228,7 +228,7 @@ answers AS (SELECT a.query_id, any_value(a.query) AS query, any_value(a.toks) AS
 
 @query(f"{_EVIDENCE} SELECT query_id, scope AS in_scope FROM answers")
 def long_token_gate(spark, d):
-    a = evidence.answers(fx.documents(spark, d), _mixed(spark, d))
+    a = evidence.answers(fx.stored(spark, d), _mixed(spark, d))
     return a.select("query_id", (~F.col("out_of_scope")).alias("in_scope"))
 
 
@@ -236,13 +236,13 @@ def long_token_gate(spark, d):
   CASE WHEN n > 0 AND NOT scope THEN 'out_of_scope' WHEN n = 0 THEN 'retry_broader_or_stop' ELSE 'read_file_at_lines' END AS next_action,
   CASE WHEN n = 0 THEN '' ELSE array_to_string(list_transform(toks[1:64], lambda t: '"' || t || '"'), ' OR ') END AS match, CASE WHEN scope THEN n ELSE 0 END AS results FROM answers""")
 def query_status(spark, d):
-    a = evidence.answers(fx.documents(spark, d), _mixed(spark, d))
+    a = evidence.answers(fx.stored(spark, d), _mixed(spark, d))
     return a.select("query_id", "status", "next_action", "match", F.size("results").cast("long").alias("results"))
 
 
 @query(f"""{_EVIDENCE} SELECT e.query_id, e.rank, e.doc_id, e.title, e.source_file, e.score, {_flat("e.matches")} AS matches FROM evidence e""")
 def query_results(spark, d):
-    return evidence.results(fx.documents(spark, d), _mixed(spark, d)).select("query_id", "rank", "doc_id", "title", "source_file", "score", _shown(F.col("matches")).alias("matches"))
+    return evidence.results(fx.stored(spark, d), _mixed(spark, d)).select("query_id", "rank", "doc_id", "title", "source_file", "score", _shown(F.col("matches")).alias("matches"))
 
 
 _INLINE = "replace(replace({}, '`', chr(39)), chr(10), ' ')"
@@ -254,17 +254,17 @@ _INLINE = "replace(replace({}, '`', chr(39)), chr(10), ' ')"
   SELECT a.query_id, '# Query Results' || chr(10) || chr(10) || '- query: `' || {_INLINE.format("query")} || '`' || chr(10) || '- documents: ' || CASE WHEN scope THEN n ELSE 0 END || chr(10) || chr(10)
     || CASE WHEN n = 0 OR NOT scope THEN '*No matching documents found.*' || chr(10) || chr(10) ELSE b END AS markdown FROM answers a LEFT JOIN blocks b ON b.query_id = a.query_id""")
 def query_markdown(spark, d):
-    return evidence.markdown(evidence.answers(fx.documents(spark, d), _mixed(spark, d)))
+    return evidence.markdown(evidence.answers(fx.stored(spark, d), _mixed(spark, d)))
 
 
 @query(None)
 def evidence_summary(spark, d):
-    return evidence.summary_markdown(evidence.answers(fx.documents(spark, d), _mixed(spark, d)))
+    return evidence.summary_markdown(evidence.answers(fx.stored(spark, d), _mixed(spark, d)))
 
 
 @query(None)
 def compact_payload(spark, d):
-    return evidence.compact(evidence.answers(fx.documents(spark, d), _mixed(spark, d)))
+    return evidence.compact(evidence.answers(fx.stored(spark, d), _mixed(spark, d)))
 
 
 # --- reading ---------------------------------------------------------------------------
@@ -279,7 +279,7 @@ def _requests(spark, d):
 @query(f"{_READ} SELECT doc_key AS req_id, doc_key, line, rtrim(text) AS text FROM slines WHERE line >= 1 + doc_key % 5 AND line < 1 + doc_key % 5 + 4")
 def read_range(spark, d):
     asked = _requests(spark, d).select("req_id", "doc_key", (F.col("doc_key") % 5 + 1).alias("start"), F.lit(4).alias("count"))
-    return reader.read_range(fx.structured_lines(spark, d), asked).select("req_id", "doc_key", "line", "text")
+    return reader.read_range(fx.structured(spark, d), asked).select("req_id", "doc_key", "line", "text")
 
 
 _SECTIONS = """begins AS (SELECT *, CASE WHEN coalesce(max((trim(text) <> '')::INT) OVER (PARTITION BY doc_key ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 THEN trim(text) <> ''
@@ -289,7 +289,7 @@ sections AS (SELECT doc_key, row_number() OVER w AS nth, line, coalesce(lead(lin
 
 @query(f"{_READ}, {_SECTIONS} SELECT *, end_line - line + 1 AS line_count FROM sections WHERE nth <= 200")
 def read_sections(spark, d):
-    return reader.section_list(fx.structured_lines(spark, d))
+    return reader.section_list(fx.structured(spark, d))
 
 
 @query(f"""{_READ}, {_SECTIONS}, asked AS (SELECT doc_key, 1 + doc_key % 17 AS around, doc_key % 3 AS expand FROM structured),
@@ -300,21 +300,21 @@ ranges AS (SELECT doc_key, coalesce(a, greatest(1, around - 10)) AS first, coale
 SELECT l.doc_key AS req_id, l.doc_key, l.line, rtrim(l.text) AS text FROM slines l JOIN ranges r ON r.doc_key = l.doc_key WHERE l.line >= first AND l.line < first + n""")
 def read_around(spark, d):
     asked = _requests(spark, d).select("req_id", "doc_key", (F.col("doc_key") % 17 + 1).alias("around"), (F.col("doc_key") % 3).alias("expand"))
-    return reader.read_around(fx.structured_lines(spark, d), asked).select("req_id", "doc_key", "line", "text")
+    return reader.read_around(fx.structured(spark, d), asked).select("req_id", "doc_key", "line", "text")
 
 
 @query(f"""{_READ}, hit AS (SELECT doc_key, min(line) AS place FROM slines WHERE line > doc_key % 4 AND contains(lower(text), 'thing') GROUP BY doc_key)
 SELECT l.doc_key AS req_id, l.doc_key, l.line, rtrim(l.text) AS text FROM slines l JOIN hit h ON h.doc_key = l.doc_key WHERE l.line >= greatest(1, place - 2) AND l.line < greatest(1, place - 2) + 5""")
 def read_find(spark, d):
     asked = _requests(spark, d).select("req_id", "doc_key", F.lit("Thing").alias("find"), (F.col("doc_key") % 4).alias("after"), F.lit(2).alias("context"))
-    return reader.read_find(fx.structured_lines(spark, d), asked).select("req_id", "doc_key", "line", "text")
+    return reader.read_find(fx.structured(spark, d), asked).select("req_id", "doc_key", "line", "text")
 
 
 @query(f"""{_READ}, ranges AS (SELECT unnest([0, 1]) AS part, unnest([2, 6]) AS first, unnest([3, 2]) AS n)
 SELECT l.doc_key AS req_id, part, l.doc_key, l.line, rtrim(l.text) AS text FROM slines l, ranges WHERE l.line >= first AND l.line < first + n""")
 def read_jump(spark, d):
     asked = _requests(spark, d).select("req_id", "doc_key", F.lit("2-4, 6").alias("jump"), F.lit(2).alias("count"))
-    return reader.read_jump(fx.structured_lines(spark, d), asked).select("req_id", F.col("part").cast("int").alias("part"), "doc_key", "line", "text")
+    return reader.read_jump(fx.structured(spark, d), asked).select("req_id", F.col("part").cast("int").alias("part"), "doc_key", "line", "text")
 
 
 @query(f"""WITH {fx.CORPUS}, hits AS (SELECT doc_key, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line FROM corpus),
@@ -323,7 +323,7 @@ SELECT doc_key AS req_id, doc_key, count(*) AS read_lines, sum(h)::BIGINT AS tot
 def mark_hits(spark, d):
     docs = fx.documents(spark, d)
     asked = docs.select(F.col("doc_key").alias("req_id"), "doc_key", F.lit(1).alias("start"), F.lit(1_000_000_000).alias("count"))
-    s = reader.summaries(reader.mark_hits(reader.read_range(doc_lines(docs), asked), fx.FIXED_TOKENS))
+    s = reader.summaries(reader.mark_hits(reader.read_range(docs, asked), fx.FIXED_TOKENS))
     return s.withColumn("hit_lines", F.when(F.size("hit_lines") > 0, F.array_join(F.transform("hit_lines", lambda x: x.cast("string")), ",")))
 
 
@@ -333,7 +333,7 @@ SELECT doc_key AS req_id, doc_key, '## ' || any_value(doc_id) || ' (range, ' ||
 def read_markdown(spark, d):
     docs = fx.structured(spark, d)
     asked = docs.select(F.col("doc_key").alias("req_id"), "doc_key", F.lit(1).alias("start"), F.lit(5).alias("count"))
-    return reader.read_markdown(reader.mark_hits(reader.read_range(doc_lines(docs), asked), fx.FIXED_TOKENS), docs, "range")
+    return reader.read_markdown(reader.mark_hits(reader.read_range(docs, asked), fx.FIXED_TOKENS), docs, "range")
 
 
 # --- text ------------------------------------------------------------------------------
@@ -645,7 +645,7 @@ def active_documents(spark, d):
 
 def _records(spark, d):
     docs, items = fx.documents(spark, d), fx.benchmark_queries(spark, d)
-    found = search.search(docs, items).join(docs.select("doc_key", "doc_id"), "doc_key")
+    found = search.search(fx.stored(spark, d), items).join(docs.select("doc_key", "doc_id"), "doc_key")
     hits = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("hits"))
     truth = docs.select("doc_id", "text").join(F.broadcast(items.select(F.col("query_id"), F.col("text").alias("q"))), F.contains("text", F.col("q"))).groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("patterns"))
     chars = items.select("query_id", F.col("text").alias("query"), F.length("text").cast("double").alias("elapsed_ms"), F.length("text").cast("long").alias("bundle_chars"))

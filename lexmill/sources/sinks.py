@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import udf
 from ..operators import index, nodes, sharding, structure
+from .storage import Files
 
-PROTECTED = ("manifest.json", "build_state.json", "docs", "postings", "lengths")
+PROTECTED = ("manifest", "build_state.json", "index.json", "docs", "names", "postings", "terms", "state", "export")
 
 
 def guarded_path(root: str, name: str) -> str:
@@ -27,14 +27,6 @@ def guarded_path(root: str, name: str) -> str:
     return path
 
 
-def write_tables(docs: DataFrame, folder: str) -> None:
-    """Documents, postings and lengths as Parquet; postings are sorted by token within files, so few row groups are read for a token."""
-    docs.write.mode("overwrite").parquet(f"{folder}/docs")
-    tokens = index.tokenised(docs)
-    index.postings(tokens).repartitionByRange("token").sortWithinPartitions("token", "doc_key").write.mode("overwrite").parquet(f"{folder}/postings")
-    index.doc_lengths(tokens).write.mode("overwrite").parquet(f"{folder}/lengths")
-
-
 def write_references(docs: DataFrame, folder: str) -> None:
     """One rendered text for each document, with its id."""
     structure.reference_text(docs).join(docs.select("doc_key", "doc_id"), "doc_key").select("doc_id", "reference").write.mode("overwrite").parquet(f"{folder}/references")
@@ -74,30 +66,44 @@ def export_relations(docs: DataFrame, tree: DataFrame) -> dict[str, DataFrame]:
     """Documents, nodes and locators of an export; edges and aliases have rows only where nodes bring them."""
     documents = docs.select("doc_id", F.col("version").alias("source_version"), "title", "source_file", "is_active", F.concat(F.lit("canonical_text/"), F.col("doc_id"), F.lit("--"), tx.safe_version(F.col("version")), F.lit(".txt")).alias("canonical_text_path"), tx.content_hash(tx.canonical_line_ends(F.col("text"))).alias("canonical_text_sha256"))
     spans = tree.withColumns({"raw_span_start": F.lit(0).cast("long"), "raw_span_end": F.length("body_md").cast("long"), "node_hash": tx.content_hash(F.col("body_md"))})
-    aliases = tree.select("doc_id", "source_version", F.explode("aliases").alias("alias"), F.col("node_id").alias("target_node_id"), "is_active").withColumn("normalized_alias", tx.alias_form(F.col("alias")))
+    aliases = tree.select("doc_id", "source_version", F.explode("aliases").alias("alias"), F.col("node_id").alias("target_node_id"), "is_active").withColumn("normalized_alias", udf.alias_form(F.col("alias")))
     edges = tree.filter("parent_id is not null").select("doc_id", "source_version", F.lit("parent").alias("edge_type"), F.col("parent_id").alias("from_node_id"), F.col("node_id").alias("to_node_id"), "is_active")
     return {"documents": documents, "nodes": spans, "edges": edges, "aliases": aliases, "locators": nodes.locators(spans, documents)}
 
 
-def write_state(path: str, state: dict) -> None:
-    """Build state as JSON, put in place whole."""
-    draft = f"{path}.{uuid.uuid4().hex}"
-    with open(draft, "w", encoding="utf-8") as file:
-        json.dump(state, file, ensure_ascii=False, indent=2, sort_keys=True)
-    os.replace(draft, path)
+def write_export(docs: DataFrame, tree: DataFrame | None, folder: str) -> None:
+    """The relations of an export, one folder each, and in ``export/digests`` a digest of each by document."""
+    spark = docs.sparkSession
+    if tree is None:
+        tree = nodes.typed_nodes(spark.createDataFrame([], "doc_id string, node_id string"))
+    for name, rows in export_relations(docs, tree).items():
+        rows.write.mode("overwrite").parquet(f"{folder}/export/{name}")
+        stored = spark.read.schema(rows.schema).parquet(f"{folder}/export/{name}")
+        order = [c for c in ("doc_id", "node_id", "to_node_id", "alias", "target_node_id", "source_version") if c in rows.columns]
+        nodes.relation_digest(stored, ["doc_id"], order).withColumn("relation", F.lit(name)).write.mode("append").parquet(f"{folder}/export/digests")
+
+
+def state_table(docs: DataFrame) -> DataFrame:
+    """What an incremental build compares: one row for each document, its text by digest alone."""
+    return docs.select("doc_id", "version", "source_path", "source_fingerprint", "text_fingerprint", "title", "is_active")
+
+
+def write_state(spark: SparkSession, path: str, state: dict) -> None:
+    """Facts of a build as JSON, put in place whole; rows of documents are in the table beside it."""
+    Files(spark).write_text(path, json.dumps(state, ensure_ascii=False, indent=2, sort_keys=True))
 
 
-def swap(finished: str, target: str) -> None:
+def swap(spark: SparkSession, finished: str, target: str) -> None:
     """Put a finished build in the place of ``target``; if that fails the old one comes back."""
-    kept = f"{target}.{uuid.uuid4().hex}.old"
-    there = os.path.exists(target)
+    files, kept = Files(spark), f"{target}.{uuid.uuid4().hex}.old"
+    there = files.exists(target)
     if there:
-        os.rename(target, kept)
+        files.rename(target, kept)
     try:
-        os.rename(finished, target)
-    except OSError:
+        files.rename(finished, target)
+    except Exception:
         if there:
-            os.rename(kept, target)
+            files.rename(kept, target)
         raise
     if there:
-        shutil.rmtree(kept, ignore_errors=True)
+        files.delete(kept)

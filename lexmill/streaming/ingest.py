@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def follow(stream: DataFrame, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Store a stream of (doc_id, is_active, ...) rows; ``once`` takes what is there and stops."""
+def follow(stream: DataFrame, folder: str, checkpoint: str, once: bool = True, order: str | None = None) -> StreamingQuery:
+    """Store a stream of (doc_id, is_active, ...) rows; ``once`` takes what is there and stops.
+
+    Of several rows of a document in one micro-batch the last by the column ``order`` counts. Without such a column their
+    order is unknown, and a deletion (is_active false) wins over other rows, as it does among rows of equal order.
+    """
 
     def store(batch: DataFrame, number: int) -> None:
-        newest = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("is_active").desc(), *[F.col(c) for c in batch.columns if c not in ("doc_id", "is_active")]))
+        later = [F.col(order).desc_nulls_last()] if order else []
+        rest = [F.col(c) for c in batch.columns if c not in ("doc_id", "is_active", order)]
+        newest = F.row_number().over(Window.partitionBy("doc_id").orderBy(*later, F.col("is_active").asc(), *rest))
         batch.withColumn("__n", newest).filter("__n = 1").drop("__n").write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)

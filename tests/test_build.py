@@ -1,12 +1,13 @@
 import io
 import json
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill import cli
-from lexmill.operators import evaluate, incremental, nodes, sharding, structure
+from lexmill import build, cli
+from lexmill.operators import evaluate, incremental, index, nodes, sharding, structure
 from lexmill.sources import files, records, sinks
 from lexmill.streaming import ingest
 
@@ -101,25 +102,75 @@ def test_evaluation(spark):
 def test_command_line_round_trip(spark, tmp_path, capsys):
     source = tmp_path / "in"
     source.mkdir()
-    (source / "one.md").write_text("# One\n\nthe zebra runs\nzebra sleeps\n")
+    (source / "one.md").write_text("# One\n\nthe zebra runs\nzebra sleeps\n## Two\nlion\nend\n")
     (source / "two.txt").write_text("a lion sleeps")
     base = str(tmp_path / "base")
-    assert cli.build(spark, [str(source)], base) == 2
-    assert cli.build(spark, [str(source)], base) == 2  # swapped in place
-    capsys.readouterr()
-    cli.main(["query", base, "zebra", "--out", "runs.md"])
-    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert out["status"] == "high_confidence" and json.loads(out["results"])[0]["doc_id"] == "one"
-    cli.main(["read", base, "one", "--count", "40", "--tokens", "zebra"])
-    assert "zebra sleeps **← HIT**" in capsys.readouterr().out
-    assert records.read_state(base + "/build_state.json")["documents"].keys() == {"one", "two"}
-    assert records.state_rows(spark, records.read_state(base + "/build_state.json")).count() == 2
-    assert records.read_state(base + "/nothing.json") == {}
+    assert build.build(spark, [str(source)], base)["documents"] == 2
+    with pytest.raises(build.BuildError):
+        build.build(spark, [str(source)], base)
+    with pytest.raises(build.BuildError):
+        build.build(spark, [str(source)], str(tmp_path / "No Name"))
+    assert build.build(spark, [str(source)], base, force=True)["mode"] == "full"
+    assert build.verify(spark, base)
+
+    def run(*argv):
+        capsys.readouterr()
+        assert cli.main(list(argv)) == 0
+        return capsys.readouterr().out.strip()
+
+    out = json.loads(run("query", base, "zebra").splitlines()[-1])
+    assert out["status"] == "high_confidence" and out["results"][0]["doc_id"] == "one" and out["out_path"] == "runs/query.md"
+    assert "zebra sleeps" in (tmp_path / "base" / "runs" / "query.md").read_text()
+    full = json.loads(run("query", base, "zebra", "--out", "").splitlines()[-1])
+    assert "status" not in full and full["results"][0]["matches"][0]["text"] == "the zebra runs"
+    assert json.loads(run("query", base, "lion", "--doc-ids", "two", "--stdout", "compact"))["results"][0]["doc_id"] == "two"
+    assert "zebra sleeps **← HIT**" in run("read", base, "one", "--count", "40", "--tokens", "zebra")
+    sections = run("read", base, "one,nothing", "--sections")
+    assert "## Two" in sections and "Document not found: nothing" in sections
+    line = int(re.search(r"- L(\d+)-.*: ## Two$", sections, re.M)[1])
+    assert f"L{line + 1}: lion" in run("read", base, "one", "--around", str(line))
+    assert "L" in run("read", base, "one", "--find", "SLEEPS", "--context", "1") and "nothing found" in run("read", base, "one", "--find", "unicorn")
+    assert run("read", base, "one", "--jump", f"{line}, {line + 1}", "--count", "1", "--out", "runs/r.md").count("L") >= 2
+    told = json.loads(run("--describe"))
+    assert {a["flag"] for a in told["commands"]["read"]} >= {"--sections", "--around", "--find", "--jump"}
+    assert records.read_state(spark, base + "/build_state.json")["active"] == 2
+    assert records.read_state(spark, base + "/nothing.json") == {}
     for bad in ("../x", "docs/x", "."):
         with pytest.raises(ValueError):
             sinks.guarded_path(base, bad)
 
 
+def test_incremental_builds(spark, tmp_path):
+    source, base = tmp_path / "in", str(tmp_path / "base")
+    source.mkdir()
+    texts = {"paper-a.md": "# Paper A\nzebra", "paper-b.md": "# Paper B\nlion", "paper-c.md": "# Paper C\ntiger", "paper-d.md": "# Paper D\ngrass"}
+    for name, text in texts.items():
+        (source / name).write_text(text)
+    assert build.build(spark, [str(source)], base)["documents"] == 4
+    assert build.build(spark, [str(source)], base, update=True)["mode"] == "none"
+    (source / "paper-b.md").write_text("# Paper B\nlion water")  # another text
+    (source / "paper-c.md").write_bytes(b"# Paper C\r\ntiger")  # the same canonical text
+    (source / "paper-a.md").rename(source / "paper-e.md")  # a new document and a removed one
+    (source / "paper-d.md").unlink()
+    done = build.build(spark, [str(source)], base, update=True)
+    assert done["mode"] == "incremental" and done["documents"] == 3
+    assert done["changes"] == {"rebuild": 1, "metadata_only": 1, "new": 1, "removed": 2}
+    assert build.verify(spark, base)
+    stored = index.read(spark, base)
+    fresh = index.temporary(stored.docs)  # all of it tokenised anew
+    key = ["doc_key", "token", "is_active", "dl", "tf_title", "tf_body"]
+    assert sorted(stored.postings.select(key).collect()) == sorted(fresh.postings.select(key).collect())
+    assert (stored.n_docs, stored.avgdl) == (fresh.n_docs, fresh.avgdl)
+    found = lambda q: [r["doc_id"] for r in cli.ask(spark, base, q).first().results]
+    assert found("water") == ["paper-b"] and found("zebra") == ["paper-e"] and found("grass") == []
+    (source / "paper-d.md").write_text("# Paper D\ngrass")
+    assert build.build(spark, [str(source)], base, update=True)["documents"] == 4 and found("grass") == ["paper-d"]
+    state = records.read_state(spark, base + "/build_state.json")
+    sinks.write_state(spark, base + "/build_state.json", state | {"tools": "other"})
+    assert build.build(spark, [str(source)], base, update=True)["mode"] == "full"
+    assert spark.read.parquet(base + "/export/documents").count() == 4
+
+
 def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a", "Tea and cake", "a.md", "current", True, "# H\nx"), (2, "b", "Tea", "b.md", "v 2", True, "y")], "doc_key long, doc_id string, title string, source_file string, version string, is_active boolean, text string")
     sinks.write_shards(sharding.keyword_rows(docs), str(tmp_path), "kw", "keyword")
@@ -146,6 +197,39 @@ def test_stream_keeps_the_newest_row(spark, tmp_path):
     assert [(r.doc_id, r.text) for r in ingest.current(spark, folder).select("doc_id", "text").collect()] == [("a", "2")]
 
 
+def test_stream_orders_rows_within_a_batch(spark, tmp_path):
+    kind = "doc_id string, is_active boolean, text string, at int"
+    rows = [("a", True, "1", 1), ("a", False, "2", 2), ("b", False, "1", 1), ("b", True, "2", 2), ("c", True, "1", 1), ("c", False, "1", 1)]
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "s"))
+    for order, want in (("at", {"b"}), (None, set())):
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "s"))
+        folder = str(tmp_path / f"f{order}")
+        ingest.follow(stream, folder, str(tmp_path / f"c{order}"), order=order).awaitTermination(60)
+        assert {r.doc_id for r in ingest.current(spark, folder).collect()} == want
+
+
+def test_docx_images(spark):
+    data, w = io.BytesIO(), "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><w:body><w:p><w:r><w:t>Figure (1.2)</w:t><a:blip r:embed="i1"/></w:r></w:p><w:p><w:r><w:t>plain</w:t><a:blip r:embed="i1"/></w:r></w:p></w:body></w:document>')
+        z.writestr("word/_rels/document.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="i1" Type="http://x/relationships/image" Target="media/a.png"/></Relationships>')
+    assert files.docx_to_markdown(data.getvalue()) == "Figure (1.2) [[IMAGE:media/a.png]]\n\nplain\n"
+
+
+def test_names_globs_and_odd_records(spark, tmp_path):
+    from lexmill.functions import text as tx
+
+    got = [r.y for r in spark.createDataFrame([("ab-1",), ("a",), ("a--b",), ("-a",), ("a-",), ("A",), ("",)], "x string").select(tx.valid_name(F.col("x")).alias("y")).collect()]
+    assert got == [True, True, False, False, False, False, False]
+    cases = [("a[b", "a[b", True), ("a[!b]c", "axc", True), ("a[!b]c", "abc", False), ("[]x]", "]", True), ("*.m?", "x\ny.md", True), ("[*]", "*", True), ("[*]", "a", False), ("a.b", "axb", False), ("[a-c]1", "b1", True)]
+    df = spark.createDataFrame(cases, "g string, s string, want boolean")
+    assert [r.y for r in df.select(F.regexp("s", tx.glob_pattern(F.col("g"))).alias("y")).collect()] == [c[2] for c in cases]
+    rows = [{"doc_id": "d", "node_id": f"n{i}", "kind": "item", "is_leaf": v, "aliases": a} for i, (v, a) in enumerate([(2, "One alias"), (0, [" A ", "ａ", 5]), ("2", 7), (None, None), (True, ""), (0.5, ["x"])])]
+    (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    tree = {r.node_id: (r.is_leaf, r.aliases) for r in records.read_records(spark, str(tmp_path / "r.jsonl"))[1].collect()}
+    assert tree == {"n0": (True, ["One alias"]), "n1": (False, ["A", "5"]), "n2": (False, []), "n3": (True, []), "n4": (True, []), "n5": (True, ["x"])}
+
+
 def test_unit_of_typed_flags(spark):
     from lexmill.functions import text as tx
 
