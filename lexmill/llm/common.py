@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import ctypes
-import tempfile
-import uuid
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
-BATCH_ROWS = 2_000
+from ..functions.kernels import give_back
+from ..sources.storage import cut, shared_folder, shared_subfolder
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "BROADCAST_KEYS", "cut", "keys_side", "map_batches", "shared_folder", "shared_subfolder", "table"]
+
+#: Rows and bytes of one Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 #: Rows of keys that are sent to every executor; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -20,59 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where the session names none (tests on one machine) a folder of our own is set.
-    """
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = context.getCheckpointDir()
-        if not folder:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-"))
-            folder = context.getCheckpointDir()
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def shared_subfolder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def keys_side(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     """``keys`` computed once, and broadcast if there are at most ``limit`` rows."""
     keys = cut(keys)
     return F.broadcast(keys) if keys.count() <= limit else keys
 
 
-def _give_back() -> None:
-    """Return freed memory of this process to the system, where its allocator can."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` in batches of at most BATCH_ROWS rows, which the session is set to if it has more.
+    """``mapInArrow`` in batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes, to which the session is set if it has more.
 
     Workers live on from task to task, so each task ends by giving its memory back.
     """
 
     def run(batches):
         yield from function(batches)
-        _give_back()
-
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(conf.get(name))
-    if not 0 < now <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+        give_back()
+
+    conf = df.sparkSession.conf
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+    now = conf.get(size, None)  # older sessions have no such bound
+    if now is not None and not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        conf.set(size, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)

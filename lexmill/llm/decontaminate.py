@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keys_side, map_batches, table
-from .kernels import Words, minhashes, shingles, slices
+from .kernels import WORDS_SQL, Words, minhashes, shingles, slices
 
 WIDTH, SAMPLES, THRESHOLD = 5, 64, 0.5
 #: Shingles of one broadcast part of the item index (8 bytes each and as much for samples).
@@ -174,12 +174,12 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 OP2_SQL = f"""
 WITH item_words AS (
-  SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+  SELECT item_id, {WORDS_SQL('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
 item_shingles AS (
   SELECT DISTINCT item_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS s
   FROM (SELECT item_id, w, least({WIDTH}, len(w)) AS width FROM item_words WHERE len(w) > 0)),
 doc_words AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+  SELECT doc_id, {WORDS_SQL('text')} AS w FROM documents WHERE doc_id IS NOT NULL),
 doc_shingles AS (
   SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS s
   FROM doc_words, (SELECT DISTINCT width FROM item_shingles) WHERE len(w) >= width),

@@ -1,106 +1,88 @@
 """Vectorised text kernels shared by the operators of this subpackage.
 
-A *word* is a maximal run of ASCII letters, digits and non-ASCII characters of
-the lower-cased text. The kernels work on the UTF-8 buffer of an Arrow string
+A *word* is a maximal run of Unicode letters, marks and digits of the lower-cased text; each character of a script
+that is written without blanks (Han, kana, Thai, Lao, Khmer, Myanmar) is a word of its own. Everything else, punctuation and
+blanks of any width among it, parts words. The kernels work on the UTF-8 buffer of an Arrow string
 array, so no Python object is made per word. Slices are bounded in bytes, which
-bounds the memory of a worker; a single longer text makes a slice of its own and
-is processed whole.
+bounds the memory of a worker; the words of a single longer text are hashed piece by piece.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-
-U64 = np.uint64
-SLICE_BYTES = 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-WORD_BYTE = np.zeros(256, bool)
-WORD_BYTE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown and kept per worker."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, SLICE_BYTES * 2), base, U64)
-        steps[0] = 1
-        have = _powers[base] = np.cumprod(steps)
-    return have[:n]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser of splitmix64."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
-
-
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of a batch whose texts hold at most ``limit`` bytes, or one text."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    start, held = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > start and held + n > limit:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
-def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts and the n + 1 offsets of the texts; a null is empty."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    if len(texts) == 0:
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, offsets, data = texts.buffers()
-    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return raw[ends[0] : ends[-1]], ends - ends[0]
-
-
-def spans(flags: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of maximal runs of True that stay inside one text."""
-    if len(flags) == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    filled = offsets[:-1][offsets[1:] > offsets[:-1]]
-    before = np.empty(len(flags), bool)
-    before[0] = False
-    before[1:] = flags[:-1]
-    before[filled] = False
-    starts = np.flatnonzero(flags & ~before)
-    after = np.empty(len(flags), bool)
-    after[-1] = False
-    after[:-1] = flags[1:]
-    after[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = False
-    return starts, np.flatnonzero(flags & ~after) + 1
-
-
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, by differences of one prefix sum."""
-    if len(starts) == 0:
-        return np.zeros(0, U64)
-    prefix = np.zeros(len(raw) + 1, U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * powers(_BASE, len(raw)), out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * powers(_BASE_INVERSE, len(raw))[starts]
-    return mix(h ^ ((ends - starts).astype(U64) << U64(56)))
+import regex
+
+from ..functions.kernels import SLICE_BYTES, U64, buffer, first_of_each, mix, powers, span_hashes, spans
+from ..functions.tokens import pieces, slices
+
+__all__ = ["SLICE_BYTES", "U64", "WORDS_SQL", "Words", "buffer", "first_of_each", "minhashes", "mix", "pieces", "powers", "shingles", "slices", "span_hashes", "spans"]
+
+ALONE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_WORD_BYTE = np.zeros(256, np.uint8)
+_WORD_BYTE[[*range(48, 58), *range(97, 123)]] = 1
+_table: list[np.ndarray] = []
+
+
+def WORDS_SQL(text: str) -> str:  # noqa: N802 - SQL of the same words
+    return rf"regexp_extract_all(regexp_replace(lower({text}), '([{ALONE}])', ' \1 ', 'g'), '[\p{{L}}\p{{M}}\p{{N}}]+')"
+
+
+def word_classes() -> np.ndarray:
+    """Class of every code point: 0 in no word, 1 in a word, 2 a word of its own."""
+    if not _table:
+        out = np.zeros(0x110000, np.uint8)
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        for kind, what in ((1, r"[\p{L}\p{M}\p{N}]+"), (2, rf"[{ALONE}]+")):
+            for m in regex.finditer(what, every):
+                a, b = (x if x < 0xD800 else x + 0x800 for x in m.span())
+                out[a:b] = np.where(out[a:b] > 0, kind, 0) if kind == 2 else kind
+        _table.append(out)
+    return _table[0]
+
+
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in the bytes of lower-cased texts."""
+    kinds = _WORD_BYTE[raw]
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead) == 0:
+        return spans(kinds > 0, offsets)
+    b0 = raw[lead].astype(np.int32)
+    wide = np.where(b0 >= 0xF0, 4, np.where(b0 >= 0xE0, 3, 2))
+    point = np.where(wide == 4, b0 & 7, np.where(wide == 3, b0 & 15, b0 & 31))
+    for k in (1, 2, 3):
+        more = wide > k
+        point[more] = (point[more] << 6) | (raw[lead[more] + k] & 63)
+    kind = word_classes()[np.minimum(point, 0x10FFFF)]
+    for k in range(4):
+        reach = wide > k
+        kinds[lead[reach] + k] = kind[reach]
+    alone = lead[kind == 2]
+    if len(alone) == 0:
+        return spans(kinds > 0, offsets)
+    starts, ends = spans(kinds == 1, offsets)
+    starts, ends = np.concatenate([starts, alone]), np.concatenate([ends, alone + wide[kind == 2]])
+    order = np.argsort(starts, kind="stable")
+    return starts[order], ends[order]
 
 
 class Words:
-    """Words of some texts: spans in ``raw``, hashes, and the word offsets of the texts."""
+    """Words of some texts: their hashes, and the n + 1 word offsets of the texts."""
 
     def __init__(self, texts: pa.Array):
-        self.raw, self.text_offsets = buffer(pc.utf8_lower(pc.fill_null(texts, "")))
-        self.starts, self.ends = spans(WORD_BYTE[self.raw], self.text_offsets)
-        self.hashes = span_hashes(self.raw, self.starts, self.ends)
-        self.offsets = np.searchsorted(self.starts, self.text_offsets)
+        raw, offsets = buffer(pc.utf8_lower(pc.fill_null(texts, "")))
+        if len(texts) == 1 and len(raw) > 2 * SLICE_BYTES:
+            parts = []
+            for a, b in pieces(raw):
+                starts, ends = word_spans(raw[a:b], np.array([0, b - a]))
+                parts.append(span_hashes(raw[a:b], starts, ends))
+            self.hashes = np.concatenate(parts)
+            self.offsets = np.array([0, len(self.hashes)])
+            return
+        starts, ends = word_spans(raw, offsets)
+        self.hashes = span_hashes(raw, starts, ends)
+        self.offsets = np.searchsorted(starts, offsets)
 
     @property
     def counts(self) -> np.ndarray:

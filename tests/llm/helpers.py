@@ -1,9 +1,10 @@
 """Small tables for edge cases."""
 
-import re
+import regex
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-WORDS = re.compile(r"[a-z0-9\u0080-\U0010ffff]+")
+_ALONE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+WORDS = regex.compile(rf"(?V1)[{_ALONE}]|[[\p{{L}}\p{{M}}\p{{N}}]--[{_ALONE}]]+")
 
 
 def docs(spark, rows):
