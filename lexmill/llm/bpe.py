@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_batches, table
-from .kernels import U64, mix, powers, slices
+from .kernels import SLICE_BYTES, U64, mix, powers, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -193,16 +193,39 @@ def encode_pieces(text: str, cuts: list[int], code: Encoder) -> np.ndarray:
 
     A piece is read with the three characters behind it, which the pattern may look at.
     """
-    points, _ = code_points([text])
-    borders = [0, *cuts, len(points)]
+    borders = [0, *cuts, len(text)]
     out = []
     for a, b in zip(borders, borders[1:]):
-        seen = points[a : b + 3]
+        seen, _ = code_points([text[a : b + 3]])
         starts = boundaries(seen, np.array([0, len(seen)]))
-        out.append(code(points[a:b], starts[starts < b - a])[0])
+        out.append(code(seen[: b - a], starts[starts < b - a])[0])
     return np.concatenate(out)
 
 
+def cuts_within(text: str, window: int = SLICE_BYTES) -> list[int]:
+    """Pre-token starts that part a long text into pieces of about ``window`` characters, found from left to right."""
+    out, at, reach = [], 0, window
+    while len(text) - at > reach:
+        points, offsets = code_points([text[at : at + reach]])
+        starts = boundaries(points, offsets)
+        starts = starts[(starts > 0) & (starts <= reach - 3)]  # the last three characters may read on
+        if len(starts):
+            at += int(starts[-1])
+            out.append(at)
+            reach = window
+        else:
+            reach *= 2
+    return out
+
+
+def encode_bounded(texts: list[str], code: Encoder) -> tuple[np.ndarray, np.ndarray]:
+    """``encode_texts``, but a single long text is encoded piece by piece."""
+    if len(texts) == 1 and len(texts[0]) > 2 * SLICE_BYTES:
+        ids = encode_pieces(texts[0], cuts_within(texts[0]), code)
+        return ids, np.array([0, len(ids)])
+    return encode_texts(texts, code)
+
+
 def _id_lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
 

@@ -2,7 +2,7 @@
 
 Documents are encoded to token ids and gathered into shards. In each shard frequent id
 pairs are replaced by nonterminals, round after round, until no pair occurs MIN_COUNT
-times or the 16-bit symbol space is used up. A pair never reaches over the end of a
+times. Symbols are stored in as many bits as the largest of them needs, so neither the vocabulary nor the number of rules is bounded. A pair never reaches over the end of a
 document. The nonterminals of one round do not overlap: no symbol is the left half of
 one and the right half of another. Every rule keeps its expansion length, so a token
 position is found by summing lengths, and only the symbols that cover it are expanded.
@@ -20,13 +20,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import VOCABULARY, encode_texts, encoder
+from .bpe import VOCABULARY, encode_bounded, encoder
 from .common import map_batches, table
 from .kernels import slices
 
-SHARD_TOKENS, MIN_COUNT, ROUND_RULES = 1_000_000, 4, 4096
-SYMBOL_SPACE = 1 << 16
-SHARD = "shard string, doc_ids array<long>, starts array<int>, lengths array<int>, base int, rules binary, expansions binary, symbols binary"
+#: A rule costs two symbols and a length, so rarer pairs would add more than they save.
+SHARD_TOKENS, MIN_COUNT, ROUND_RULES = 1_000_000, 12, 4096
+SHARD = "shard string, doc_ids array<long>, starts array<int>, lengths array<int>, base int, bits int, n_symbols int, n_rules int, expansion_bits int, rules binary, expansions binary, symbols binary"
+
+
+def pack(symbols: np.ndarray, bits: int) -> bytes:
+    """Symbols of ``bits`` bits each, lowest bit first."""
+    out = [((part[:, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel() for part in np.array_split(symbols.astype(np.int64), max(1, len(symbols) // 65_536))]
+    return np.packbits(np.concatenate(out), bitorder="little").tobytes()
+
+
+def unpack(data: bytes, bits: int, start: int, stop: int) -> np.ndarray:
+    """Symbols [start, stop); only the bytes that hold them are looked at."""
+    first, last = start * bits // 8, -(-stop * bits // 8)
+    flags = np.unpackbits(np.frombuffer(data, np.uint8)[first:last], bitorder="little")
+    skip = start * bits - 8 * first
+    return flags[skip : skip + (stop - start) * bits].reshape(-1, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def symbol_bits(base: int, rules: int) -> int:
+    return max(1, int(base + rules - 1).bit_length())
 
 
 def _choose(pairs: np.ndarray, counts: np.ndarray, room: int, space: int) -> list[int]:
@@ -50,14 +68,15 @@ def _choose(pairs: np.ndarray, counts: np.ndarray, room: int, space: int) -> lis
     return chosen
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, base: int, min_count: int = MIN_COUNT, space: int = SYMBOL_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, starts: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, starts of the documents in them, rules): rule i is what symbol base + i stands for."""
     seq, rules = ids.astype(np.int64), []
     owner_end = np.zeros(len(seq) + 1, bool)
     owner_end[starts] = True
     first = owner_end[: len(seq)]  # first symbol of a document
     empty = np.diff(np.append(starts, len(ids))) == 0
-    while len(seq) > 1 and base + len(rules) < space:
+    while len(seq) > 1:
+        space = base + len(rules) + 1
         keys = seq[:-1] * space + seq[1:]
         joined = ~first[1:]
         ordered = np.sort(keys[joined])
@@ -72,7 +91,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, min_count: int = MI
         floor = max(min_count, int(counts.max()) // 1024)  # rarer pairs wait for a later round
         strong = counts >= floor
         pairs, counts = pairs[strong], counts[strong]
-        chosen = np.array(_choose(pairs, counts, min(ROUND_RULES, space - base - len(rules)), space))
+        chosen = np.array(_choose(pairs, counts, ROUND_RULES, space))
         chosen = np.sort(pairs[chosen])
         is_left, is_right = np.zeros(space, bool), np.zeros(space, bool)
         is_left[chosen // space] = True
@@ -122,23 +141,39 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return symbols
 
 
+def grammar(shard) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, expansion lengths) of the rules of a shard row."""
+    n = shard["n_rules"]
+    return unpack(shard["rules"], shard["bits"], 0, 2 * n).reshape(-1, 2), unpack(shard["expansions"], shard["expansion_bits"], 0, n)
+
+
 def read_tokens(shard, document: int, start: int = 0, stop: int | None = None) -> np.ndarray:
-    """Token ids [start, stop) of the document at that place in a shard row; expands only what covers them."""
-    rules = np.frombuffer(shard["rules"], np.int32).reshape(-1, 2)
-    base = shard["base"]
-    symbols = np.frombuffer(shard["symbols"], np.uint16)
-    starts = shard["starts"]
-    own = symbols[starts[document] : starts[document + 1] if document + 1 < len(starts) else len(symbols)]
+    """Token ids [start, stop) of the document at that place in a shard row; unpacks its symbols and expands only what covers the span."""
+    rules, expansions = grammar(shard)
+    base, bits, starts = shard["base"], shard["bits"], shard["starts"]
+    end = starts[document + 1] if document + 1 < len(starts) else shard["n_symbols"]
+    own = unpack(shard["symbols"], bits, starts[document], end)
     stop = shard["lengths"][document] if stop is None else min(stop, shard["lengths"][document])
     if stop <= start:
         return np.zeros(0, np.int64)
-    lengths = np.concatenate([np.ones(base, np.int64), np.frombuffer(shard["expansions"], np.int32)])
-    ends = np.cumsum(lengths[own])
+    lengths = np.ones(len(own), np.int64)
+    made = own >= base
+    lengths[made] = expansions[own[made] - base]
+    ends = np.cumsum(lengths)
     a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
     before = ends[a - 1] if a else 0
     return expand(own[a:b], rules, base)[start - before : stop - before]
 
 
+def shard_row(name: str, doc_ids: list, ids: np.ndarray, counts: np.ndarray, base: int, min_count: int = MIN_COUNT) -> dict:
+    """A shard of documents with ``counts`` token ids each, end to end in ``ids``."""
+    symbols, starts, rules = compress(ids, np.cumsum(counts) - counts, base, min_count)
+    lengths = expansion_lengths(rules, base)
+    bits, wide = symbol_bits(base, len(rules)), symbol_bits(int(lengths.max(initial=1)), 1)
+    sizes = {"starts": starts.astype(np.int32), "lengths": counts.astype(np.int32), "base": base, "bits": bits, "n_symbols": len(symbols), "n_rules": len(rules), "expansion_bits": wide}
+    return {"shard": name, "doc_ids": doc_ids} | sizes | {"rules": pack(rules.ravel(), bits), "expansions": pack(lengths, wide), "symbols": pack(symbols, bits)}
+
+
 def _shards(path: str, shard_tokens: int, min_count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
@@ -151,19 +186,16 @@ def _shards(path: str, shard_tokens: int, min_count: int):
 
         def shard() -> pa.RecordBatch:
             nonlocal made, size
-            counts = np.concatenate(lengths)
-            symbols, starts, rules = compress(np.concatenate(held), np.cumsum(counts) - counts, base, min_count)
-            row = {"shard": [f"{task:06d}-{made:04d}"], "doc_ids": [list(doc_ids)], "starts": [starts.astype(np.int32)], "lengths": [counts.astype(np.int32)], "base": [base]}
-            row |= {"rules": [rules.astype(np.int32).tobytes()], "expansions": [expansion_lengths(rules, base).astype(np.int32).tobytes()], "symbols": [symbols.astype(np.uint16).tobytes()]}
+            row = shard_row(f"{task:06d}-{made:04d}", list(doc_ids), np.concatenate(held), np.concatenate(lengths), base, min_count)
             made += 1
             doc_ids.clear(), held.clear(), lengths.clear()
             size = 0
-            types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types)], names=list(row))
+            types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int32()] * 5, *[pa.binary()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types)], names=list(row))
 
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, offsets = encode_texts(part.column("text").to_pylist(), code)
+                ids, offsets = encode_bounded(part.column("text").to_pylist(), code)
                 doc_ids += part.column("doc_id").to_pylist()
                 held.append(ids)
                 lengths.append(np.diff(offsets))
@@ -177,11 +209,11 @@ def _shards(path: str, shard_tokens: int, min_count: int):
 
 
 def repair_shards(docs: DataFrame, path: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS, min_count: int = MIN_COUNT) -> DataFrame:
-    """One row for each shard: its documents in order, grammar and symbols (little-endian int32 and uint16).
+    """One row for each shard: its documents in order, grammar and symbols, packed: pairs and symbols in ``bits`` bits each, expansion lengths in ``expansion_bits``.
 
     * A null text is stored like an empty one, with no symbols; a null doc_id stays null in ``doc_ids``.
     * Repeated rows are stored each. Other columns are ignored, whatever their names.
-    * An empty table gives no shard. A document is never split: a longer one makes a shard of its own size.
+    * Any vocabulary is taken: the width of the symbols follows the largest. An empty table gives no shard. A document is never split: a longer one makes a shard of its own size.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.transform(map_batches, _shards(path, shard_tokens, min_count), SHARD)
@@ -190,8 +222,8 @@ def repair_shards(docs: DataFrame, path: str = VOCABULARY, shard_tokens: int = S
 def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            rules = np.frombuffer(row["rules"], np.int32).reshape(-1, 2)
-            ids = expand(np.frombuffer(row["symbols"], np.uint16), rules, row["base"]).astype(np.int32)
+            rules, _ = grammar(row)
+            ids = expand(unpack(row["symbols"], row["bits"], 0, row["n_symbols"]), rules, row["base"]).astype(np.int32)
             offsets = np.concatenate([[0], np.cumsum(row["lengths"])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["doc_id", "ids"])
 

@@ -50,6 +50,12 @@ def test_stitched_chunks_equal_whole_texts(spark, code, chunk, overlap):
     assert got == {i: None if t is None else code.coding.encode_ordinary(t) for i, t in enumerate(many)}
 
 
+def test_a_very_long_text_is_encoded_piece_by_piece(code):
+    for text in ("".join(texts(9, 1, 40_000)) * 40, "x" * 1_200_000, " " * 1_100_000 + "y"):
+        assert bpe.encode_bounded([text], code)[0].tolist() == bpe.encode_texts([text], code)[0].tolist()
+        assert all(a < b for a, b in zip(bpe.cuts_within(text), bpe.cuts_within(text)[1:]))
+
+
 def test_round_trip_of_given_documents(spark, code):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     coded = bpe.encode_documents(docs, chunk=4000, overlap=200, keep=["doc_id"]).cache()
@@ -67,22 +73,68 @@ def test_encoding_edges(spark, code):
     assert bpe.encode_documents(df.limit(0)).count() == 0 and bpe.decode_documents(bpe.encode_documents(df)).filter("text is null").count() == 2
 
 
-def test_grammar_round_trip_and_random_access():
+def naive_size(ids, starts, base, min_count):
+    """Symbols and rules of plain Re-Pair: one most frequent pair at a time, counted without overlap."""
+    docs = [list(ids[a:b]) for a, b in zip(starts, [*starts[1:], len(ids)])]
+    rules = 0
+    while True:
+        counts = {}
+        for d in docs:
+            last = None
+            for i in range(len(d) - 1):
+                pair = (d[i], d[i + 1])
+                if pair[0] == pair[1] and last == i - 1 and counts.get("last") == pair:
+                    last, counts["last"] = None, None
+                    continue
+                counts[pair] = counts.get(pair, 0) + 1
+                last, counts["last"] = i, pair
+        counts.pop("last", None)
+        best = max(counts, key=lambda p: (counts[p], p), default=None)
+        if best is None or counts[best] < min_count:
+            return sum(map(len, docs)), rules
+        new, rules = base + rules, rules + 1
+        for k, d in enumerate(docs):
+            out, i = [], 0
+            while i < len(d):
+                two = i + 1 < len(d) and (d[i], d[i + 1]) == best
+                out.append(new if two else d[i])
+                i += 2 if two else 1
+            docs[k] = out
+
+
+@pytest.mark.parametrize("shift", [0, 70_000, 5_000_000])
+def test_grammar_round_trip_and_random_access(shift):
     random.seed(7)
-    for _ in range(200):
+    for _ in range(120):
         v, n = random.choice([2, 3, 10]), random.randint(0, 300)
-        ids = np.array([random.randrange(v) for _ in range(n)], np.int32)
+        ids = np.array([shift + random.randrange(v) for _ in range(n)], np.int32)
         starts = np.array(sorted([0, *(random.randint(0, n) for _ in range(random.randint(0, 7)))]))
-        symbols, new, rules = rp.compress(ids, starts, v, 2, space=200)
-        assert (rp.expand(symbols, rules, v) == ids).all()
         lengths = np.diff(np.append(starts, n))
-        shard = {"rules": rules.astype(np.int32).tobytes(), "base": v, "symbols": symbols.astype(np.uint16).tobytes(), "starts": new.tolist(), "lengths": lengths.tolist(), "expansions": rp.expansion_lengths(rules, v).astype(np.int32).tobytes()}
+        shard = rp.shard_row("s", list(range(len(starts))), ids, lengths, shift + v, 2)
+        rules, _ = rp.grammar(shard)
+        assert (rp.expand(rp.unpack(shard["symbols"], shard["bits"], 0, shard["n_symbols"]), rules, shift + v) == ids).all()
         for d, (a, k) in enumerate(zip(starts, lengths)):
             i = random.randint(0, k)
             j = random.randint(i, k)
             assert (rp.read_tokens(shard, d, i, j) == ids[a + i : a + j]).all()
 
 
+def test_a_wide_vocabulary_is_kept(spark):
+    rng = np.random.default_rng(3)
+    ids = np.minimum(rng.zipf(1.3, 200_000), 100_000).astype(np.int32) - 1
+    shard = rp.shard_row("s", [1], ids, np.array([len(ids)]), 100_000)
+    assert (rp.read_tokens(shard, 0) == ids).all() and shard["bits"] > 16
+
+
+def test_size_is_near_that_of_plain_repair():
+    random.seed(8)
+    words = [[random.randrange(40) for _ in range(random.randint(2, 5))] for _ in range(60)]
+    ids = np.array([i for _ in range(900) for i in random.choice(words)], np.int32)
+    symbols, _, rules = rp.compress(ids, np.array([0]), 40, 4)
+    n, k = naive_size(ids.tolist(), [0], 40, 4)
+    assert len(symbols) + 2 * len(rules) <= 1.1 * (n + 2 * k)
+
+
 def test_frequent_pairs_are_replaced():
     ids = np.tile(np.array([1, 2, 3, 4], np.int32), 500)
     symbols, _, rules = rp.compress(ids, np.array([0]), 10, 4)
@@ -102,5 +154,5 @@ def test_shards_hold_every_document(spark, code):
 def test_shards_of_given_documents_shrink(spark):
     shards = rp.op8_repair_shards(spark, "/root/testdata/sf0.01").collect()
     tokens = sum(sum(s.lengths) for s in shards)
-    assert sum(len(s.symbols) // 2 + len(s.rules) // 4 for s in shards) < 0.8 * tokens
+    assert sum(len(s.symbols) + len(s.rules) + len(s.expansions) for s in shards) < 2 * 0.8 * tokens
     assert sum(len(s.doc_ids) for s in shards) == 1000
