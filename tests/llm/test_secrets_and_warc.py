@@ -27,6 +27,65 @@ def test_keys_are_found_and_guessable_strings_are_not():
         assert found(f'token = "{plain}"') == []
     assert found(f"checksum {KEY}") == []  # not a sensitive context
     assert found("token = short") == []
+    for plain in ('password = "correcthorse"', 'password = "correct horse battery 1"', "the token is environment-dependent-value", "api_key = os.environ.get('API_KEY')", "token 是一种用于身份验证的字符串它没有空格也不是密钥", "pass words around, 123456789", "secret: true", "auth: https://github.com/usr/local/lib"):
+        assert found(plain) == [], plain
+
+
+def test_values_reach_to_their_end():
+    for key in ("Zq8vK2pLx9WmT4rYbN!c7Hd&Jf3Gs", "a9$Kq2%Lz8#Xv7^Wp5*Tr4", "pL0#x9!Qz", "Tr0ub4dor&3zq", "q7Rt2mXv9LpZk4WcY8sNbD3fHj6GaE1u=="):
+        assert found(f'password = "{key}"') == [key] and found(f"db_password: '{key}', user") == [key]
+    assert found(f'"client_secret_for_production_environment": "{KEY}"') == [KEY]
+    assert found(f"AWS_SECRET_ACCESS_KEY_FOR_THE_STAGING_CLUSTER={KEY}") == [KEY]
+    assert found(f'{{\\"token\\": \\"{KEY}\\"}}') == [KEY]
+    assert found(f"the token is {KEY}.") == [KEY]
+
+
+def test_no_character_of_a_secret_is_left(spark):
+    draw = random.Random(11)
+    alphabet = string.ascii_letters + string.digits + "+/_.~=-!#$%&*?@^|"
+    rows = []
+    for i in range(300):
+        key = draw.choice(string.ascii_letters) + "".join(draw.choices(alphabet, k=draw.choice([14, 20, 40, 80]))) + draw.choice(string.digits)
+        name = draw.choice(["password", "api_key", "client_secret_for_the_production_cluster", "AUTH_TOKEN"])
+        form = draw.choice(['{n} = "{k}"', "{n}: '{k}'", '"{n}": "{k}",', "export {n}={k}\n", "<{n}>{k}</{n}>"])
+        rows.append((i, "some text before " + form.format(n=name, k=key) + " and after it", key))
+    out = {r.doc_id: r.text for r in se.redact_secrets(h.docs(spark, [r[:2] for r in rows])).collect()}
+    for i, text, key in rows:
+        assert not any(key[a : a + 5] in out[i] for a in range(len(key) - 4)), (text, out[i])
+        assert out[i].startswith("some text before ") and out[i].endswith(" and after it")
+
+
+def naive_bytes(key, before, after):
+    """Marginal bytes by two plain compressions, with no class of the operator."""
+    import zstandard
+
+    known = zstandard.ZstdCompressionDict((se.IDENTIFIERS + after + before).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda x: len(zstandard.ZstdCompressor(level=19, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False).compress(x))
+    return size(before[-64:].encode() + key.encode()) - size(before[-64:].encode())
+
+
+def test_marginal_bytes_of_every_candidate_equal_brute_force(spark):
+    draw = random.Random(12)
+    words = "config value default access_token refresh_token user_id session hello world lookup".split()
+    rows = [(i, " ".join(f'{draw.choice(["token", "secret", "password", "name"])} = "{"_".join(draw.choices(words, k=4)) if draw.random() < 0.5 else "".join(draw.choices(string.hexdigits, k=draw.choice([18, 40])))}";' for _ in range(6))) for i in range(40)]
+    rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if "token" in r.text][:60]
+    got = {(r.row.doc_id, f.start): (f.text, f.marginal_bytes, f.bits) for r in se.secrets(h.docs(spark, rows)).collect() for f in r.findings}
+    assert got
+    for i, text in rows:
+        # every quoted value behind a sensitive name, found by walking over the characters
+        at = 0
+        while (a := text.find('= "', at)) >= 0:
+            start = a + 3
+            at = text.index('"', start)
+            value = text[start:at]
+            before, after = (x.replace(value, "") for x in (text[max(0, start - 2048) : start], text[at : at + 2048]))
+            name = text[:a].split()[-1].strip("';\"")
+            cost = naive_bytes(value, before, after)
+            if name in ("token", "secret", "password") and len(value) >= 16 and 8 * cost >= se.THRESHOLD * len(value):
+                assert got.pop((i, start)) == (value, cost, round(8 * cost / len(value), 6))
+            elif (i, start) in got:  # below the flat threshold only what costs as much as random strings of its alphabet
+                assert got.pop((i, start))[1] == cost
+    assert not [k for k in got if k[0] < 1000]
 
 
 def test_long_keys_of_small_alphabets_are_found():
