@@ -14,22 +14,62 @@ def test_query_equals_its_sql(spark, name):
 def test_license_edges(spark):
     rows = [*h.edge_rows(), (20, "x\nLicensed under the apache license, version 2.0\n"), (21, "Licensed under the Apache License"), (22, "MIT license released under the the the"), (23, "Released under the MIT License.\nReleased under the MIT License.")]
     df = h.clashing(h.docs(spark, rows + rows[-1:]))
-    got = {(r.doc_id, r.block, r.license): r.containment for r in licenses.license_blocks(df).collect()}
-    assert got == {(20, 1, "apache-2.0"): 1.0, (22, 0, "mit"): 1.0, (23, 0, "mit"): 1.0, (23, 1, "mit"): 1.0}
+    got = {(r.doc_id, r.block, r.last_line, r.license): r.containment for r in licenses.license_blocks(df).collect()}
+    assert got == {(20, 1, 1, "apache-2.0"): 1.0, (22, 0, 0, "mit"): 1.0, (23, 0, 0, "mit"): 1.0, (23, 1, 1, "mit"): 1.0}
     assert licenses.license_blocks(df, {}).count() == licenses.license_blocks(df, {"x": "..."}).count() == licenses.license_blocks(df.limit(0)).count() == 0
 
 
+def test_wrapped_templates_are_found(spark):
+    import textwrap
+
+    long = [n for n, t in licenses.TEMPLATES.items() if len(t) > 60]
+    rows, names = [], {}
+    for n in long:
+        for width, lead in ((28, ""), (60, "# "), (74, " * "), (10_000, "")):
+            names[len(rows)] = n
+            wrapped = "\n".join(lead + x for x in textwrap.wrap(licenses.TEMPLATES[n], width))
+            rows.append((len(rows), f"/*\nCopyright (c) 2020 Somebody\n\n{wrapped}\n\nint main() {{ return 0; }}\n" + "plain words of code here\n" * 50))
+    got = {}
+    for r in licenses.license_blocks(h.docs(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert all(n in got.get(i, ()) for i, n in names.items()), [(i, n, got.get(i)) for i, n in names.items() if n not in got.get(i, ())][:4]
+    # the same words scattered over a page are no license
+    words = licenses.TEMPLATES["gpl-notice"].split()
+    scattered = "\n".join(f"{w} " + "filler words " * 12 for w in words)
+    assert licenses.license_blocks(h.docs(spark, [(1, scattered)])).count() == 0
+
+
+def naive_blocks(text, templates, threshold):
+    """All runs of lines, then the smallest ones."""
+    import re
+
+    lines = [re.findall("[a-z0-9]+", x.lower()) for x in text.split("\n")]
+    out = set()
+    for name, t in templates.items():
+        words = re.findall("[a-z0-9]+", t.lower())
+        own, met = set(words), []
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                if not all(lines[i : j + 1]):
+                    break
+                run = [w for x in lines[i : j + 1] for w in x]
+                if (i == j or len(run) <= licenses.SPREAD * len(words)) and len(own & set(run)) >= licenses.needed(len(own), threshold):
+                    met.append((i, j, len(own & set(run)) / len(own)))
+        out |= {(i, j, name, round(c, 6)) for i, j, c in met if not any((a, b) != (i, j) and a >= i and b <= j for a, b, _ in met)}
+    return out
+
+
 def test_filters_lose_nothing(spark):
-    import itertools
     import random
 
     random.seed(4)
     words = [f"v{i}" for i in range(12)]
-    rows = [(i, " ".join(random.choices(words, k=random.randint(1, 12)))) for i in range(300)]
-    templates = {f"t{k}": " ".join(random.sample(words, random.randint(1, 8))) for k in range(6)}
+    text = lambda: "".join(random.choice(words) + random.choice([" ", " ", "\n", "\n", "\n\n"]) for _ in range(random.randint(1, 30)))
+    rows = [(i, text()) for i in range(300)]
+    templates = {f"t{k}": " ".join(random.choices(words, k=random.randint(1, 8))) for k in range(6)}
     for threshold in (0.3, 0.7, 1.0):
-        want = {(i, n) for (i, t), (n, x) in itertools.product(rows, templates.items()) if len(set(t.split()) & set(x.split())) >= licenses.needed(len(set(x.split())), threshold)}
-        assert {(r.doc_id, r.license) for r in licenses.license_blocks(h.docs(spark, rows), templates, threshold).collect()} == want
+        want = {(i, *b) for i, t in rows for b in naive_blocks(t, templates, threshold)}
+        assert {tuple(r) for r in licenses.license_blocks(h.docs(spark, rows), templates, threshold).select("doc_id", "block", "last_line", "license", "containment").collect()} == want
 
 
 def test_quality_edges(spark):
