@@ -91,7 +91,9 @@ class _Source:
 
     def skip_blank(self) -> None:
         while True:
-            gone = len(self.held) - len(self.held.lstrip(b"\r\n"))
+            gone = 0
+            while gone < len(self.held) and self.held[gone] in b"\r\n":
+                gone += 1
             del self.held[:gone]
             if self.held or not self._more():
                 return
