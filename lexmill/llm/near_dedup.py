@@ -10,7 +10,9 @@ signatures fold into one node with map-side combining, and one shuffle of
 (band key, node) finds the buckets of two or more. Close copies share most of their
 bands, so equal buckets fold into one before any sketch moves; then the sketches join
 the members, and the links that pass go through large-star / small-star rounds to
-connected components.
+connected components. A bucket of more than HOT members is never one task: its members are written in pieces, each is held
+against the bucket's first member, and those that do not resemble it meet all members in blocks of HOT by HOT, spread over
+the cluster.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .common import cut, keys_side, map_batches, table
 from .kernels import U64, Words, minhashes, mix, shingles, slices
 
 SHINGLE, SAMPLES, BANDS, ROWS, BITS, THRESHOLD = 3, 256, 24, 4, 1024, 0.55
+#: Members of a bucket that one task compares.
+HOT = 8_192
 
 
 def odd_sketches(samples: np.ndarray, bits: int) -> np.ndarray:
@@ -104,44 +108,113 @@ def linked(sketches: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _bucketer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, rep) rows to one row for each key of two or more: hash of the members, and the members."""
+def _bucketer(hot: int):
+    """Sorted (key, rep) rows to one row for each key of two or more: hash of the members, and the members.
 
-    def buckets(key: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
+    A key of more than ``hot`` members gives a row for each ``hot`` of them, under the key itself, with its first member as hub.
+    """
+
+    def rows(bucket: np.ndarray, hub: np.ndarray | None, offsets: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+        hubs = pa.nulls(len(bucket), pa.int64()) if hub is None else pa.array(hub)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), hubs, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(rep))], names=["bucket", "hub", "reps"])
+
+    def piece(key: int, hub: int, rep: np.ndarray) -> pa.RecordBatch:
+        return rows(np.array([key]), np.array([hub]), np.array([0, len(rep)]), rep)
+
+    def whole(key: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((rep, key))
         key, rep = key[order], rep[order]
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         sizes = np.diff(np.append(starts, len(key)))
-        member = np.repeat(sizes > 1, sizes)
-        rep, sizes = rep[member], sizes[sizes > 1]
+        for s, n in zip(starts[sizes > hot].tolist(), sizes[sizes > hot].tolist()):
+            for at in range(s, s + n, hot):
+                yield piece(int(key[s]), int(rep[s]), rep[at : min(at + hot, s + n)])
+        usual = (sizes > 1) & (sizes <= hot)
+        rep, sizes = rep[np.repeat(usual, np.diff(np.append(starts, len(key))))], sizes[usual]
         if len(sizes):
             offsets = np.append(0, np.cumsum(sizes))
             digest = np.add.reduceat(mix(rep.view(U64) ^ mix(np.arange(len(rep), dtype=U64) - np.repeat(offsets[:-1], sizes).astype(U64))), offsets[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(mix(digest).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(rep))], names=["bucket", "reps"])
-
-    held: list[tuple] = []
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        key, rep = batch.column("key").to_numpy(), batch.column("rep").to_numpy()
-        if held and held[0][0][0] == key[-1]:
-            held.append((key, rep))
-            continue
-        last = int(np.searchsorted(key, key[-1], side="left"))
-        yield from buckets(*(np.concatenate(x) for x in zip(*held, (key[:last], rep[:last]))))
-        held = [(key[last:], rep[last:])]
-    if held:
-        yield from buckets(*(np.concatenate(x) for x in zip(*held)))
+            yield rows(mix(digest).view(np.int64), None, offsets, rep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key: int | None = None  # the last, perhaps unfinished key, and its members
+        held: list[np.ndarray] = []
+        hub = None  # set while pieces of the held key are written
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if held_key is not None:
+                rep = np.concatenate(held)
+                if hub is not None:
+                    if len(rep):
+                        yield piece(held_key, hub, rep)
+                else:
+                    yield from whole(np.full(len(rep), held_key), rep)
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            key, rep = batch.column("key").to_numpy(), batch.column("rep").to_numpy()
+            same = int(np.searchsorted(key, held_key, side="right")) if held_key is not None and key[0] == held_key else 0
+            if same:
+                held.append(rep[:same])
+            if same < len(key):
+                yield from finish()
+                last = int(np.searchsorted(key, key[-1], side="left"))
+                yield from whole(key[same:last], rep[same:last]) if last > same else ()
+                held_key, held, hub = int(key[-1]), [rep[last:]], None
+            if sum(map(len, held)) > hot:
+                rep = np.concatenate(held)
+                hub = int(rep[0]) if hub is None else hub
+                full = len(rep) // hot * hot
+                for at in range(0, full, hot):
+                    yield piece(held_key, hub, rep[at : at + hot])
+                held = [rep[full:]]
+        yield from finish()
+
+    return run
+
+
+def _words(sketch: pa.Array, bits: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words."""
+    _, offsets, data = sketch.buffers()
+    first = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(sketch.type) else np.int32)[sketch.offset]
+    raw = np.frombuffer(data, np.uint8)[first : first + len(sketch) * bits // 8].reshape(len(sketch), bits // 8)
+    return np.ascontiguousarray(raw).view(np.uint64)
+
+
+def _to_hub(bits: int, most: int):
+    """Whether each member of a large bucket resembles its hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                differ = np.bitwise_count(_words(batch.column("sketch"), bits) ^ _words(batch.column("hub_sketch"), bits)).sum(1)
+                kept = ["bucket", "hub", "rep", "sketch"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(differ <= most)], names=[*kept, "near"])
+
+    return run
+
+
+def _large_edges(pieces: DataFrame, nodes: DataFrame, bits: int, most: int, hot: int) -> DataFrame:
+    """Links within the buckets that came in pieces; the components are those of all their pairs."""
+    hubs = nodes.select(F.col("rep").alias("hub"), F.col("sketch").alias("hub_sketch"))
+    members = pieces.join(hubs, "hub").select("bucket", "hub", "hub_sketch", F.explode("reps").alias("rep")).join(nodes.select("rep", "sketch"), "rep")
+    judged = cut(members.select("bucket", "hub", "rep", "sketch", "hub_sketch").transform(map_batches, _to_hub(bits, most), "bucket long, hub long, rep long, sketch binary, near boolean"))
+    edges = judged.filter("near and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    parts = lambda n: F.ceil(n / F.lit(hot)).cast("int")
+    sizes = judged.groupBy("bucket").agg(parts(F.sum(F.when(F.col("near"), 0).otherwise(1))).alias("rest"), parts(F.count("*")).alias("all")).filter("rest > 0")
+    placed = judged.join(sizes, "bucket")
+    # a member that resembles the hub is in the component already: only the others look for links, among all
+    side = lambda rows, own, other: rows.select("bucket", "rep", "sketch", F.pmod(F.xxhash64("rep"), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)).select(F.xxhash64("bucket", "rest", "all").alias("bucket"), "rep", "sketch")
+    blocks = side(placed.filter("not near"), "rest", "all").unionByName(side(placed, "all", "rest"))
+    linked_blocks = blocks.repartition("bucket").sortWithinPartitions("bucket").transform(map_batches, _linker(bits, most), "a long, b long")
+    return edges.unionByName(linked_blocks.filter("a <> b"))
 
 
 def _linker(bits: int, most: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(batch: pa.RecordBatch):
-            sketch = batch.column("sketch")
-            _, offsets, data = sketch.buffers()
-            first = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(sketch.type) else np.int32)[sketch.offset]
-            words = np.frombuffer(data, np.uint8)[first : first + batch.num_rows * bits // 8].reshape(batch.num_rows, bits // 8)
-            return batch.column("bucket").to_numpy(), batch.column("rep").to_numpy(), np.ascontiguousarray(words).view(np.uint64)
+            return batch.column("bucket").to_numpy(), batch.column("rep").to_numpy(), _words(batch.column("sketch"), bits)
 
         def links(key, rep, words) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -215,7 +288,7 @@ def signatures(docs: DataFrame, width: int = SHINGLE, samples: int = SAMPLES, ba
     return docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(map_batches, _signer(bands, rows, samples, bits, width), "doc_id long, d1 long, d2 long, bands array<long>, sketch binary")
 
 
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD, samples: int = SAMPLES, bits: int = BITS, **more: int) -> DataFrame:
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD, samples: int = SAMPLES, bits: int = BITS, hot: int = HOT, **more: int) -> DataFrame:
     """One row for each document that has a near duplicate: doc_id, group_id, group_size, keep.
 
     Two texts are linked when their odd sketches put the Jaccard similarity of their
@@ -230,11 +303,16 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, samples: int = SA
     """
     signed = cut(signatures(docs, samples=samples, bits=bits, **more))
     nodes = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    banded = nodes.select(F.explode("bands").alias("key"), "rep").repartition("key").sortWithinPartitions("key")
-    buckets = banded.transform(map_batches, _bucketer, "bucket long, reps array<long>").groupBy("bucket").agg(F.first("reps").alias("reps"))
+    banded = nodes.select(F.explode("bands").alias("key"), "rep").repartition("key").sortWithinPartitions("key", "rep")
+    found = cut(banded.transform(map_batches, _bucketer(hot), "bucket long, hub long, reps array<long>"))
+    buckets = found.filter("hub is null").groupBy("bucket").agg(F.first("reps").alias("reps"))
     members = buckets.select("bucket", F.explode("reps").alias("rep")).join(nodes.select("rep", "sketch"), "rep")
     candidates = members.repartition("bucket").sortWithinPartitions("bucket")
-    edges = candidates.transform(map_batches, _linker(bits, most_differing(samples, bits, threshold)), "a long, b long")
+    most = most_differing(samples, bits, threshold)
+    edges = candidates.transform(map_batches, _linker(bits, most), "a long, b long")
+    pieces = found.filter("hub is not null").select("bucket", "hub", "reps")
+    if not pieces.isEmpty():
+        edges = edges.unionByName(_large_edges(pieces, nodes, bits, most, hot))
     roots = components(edges)
     folded = signed.groupBy("d1", "d2", "doc_id").agg(F.lit(1).alias("one"))
     reps = folded.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
@@ -247,23 +325,33 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, samples: int = SA
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one document of each near-duplicate group.
 
-    All columns stay. Of rows that repeat one doc_id and text, one stays. A row without an id goes
-    by a digest of its text, above 2**62 so that rows with an id are kept first; it stays if it has no word.
+    * All columns stay, whatever their names. Of rows that repeat one doc_id and text, one stays. Rows of one id with different texts
+      are documents of their own. Those, and rows without an id, go by a digest of their text, above 2**62 so that rows
+      with an id of their own are kept first.
+    * Null texts and texts without a word stay, each row of them if it has no id. An empty table stays empty.
+
     The texts are not shuffled as long as the keys to drop are few enough to be broadcast.
     """
     rows = docs.select(F.struct("*").alias("row"))  # one column, so that no name clashes with a key's
-    text = F.col("row.text").cast("string")
+    text, own_id = F.col("row.text").cast("string"), F.col("row.doc_id").cast("long")
     digest = F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    own = F.coalesce(F.col("row.doc_id").cast("long"), F.when(text.rlike(r"[A-Za-z0-9]|[^\x00-\x7F]"), digest))
-    text_key = F.xxhash64("row.text")
-    named = rows.select(own.alias("doc_id"), text.alias("text"))
+    key = F.xxhash64("row.text")
+    seen = cut(rows.filter(own_id.isNotNull()).groupBy(own_id.alias("id")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).filter("n > 1"))
+    several = seen.filter("low <> high").select(F.col("id").alias("several"))
+    if not several.isEmpty():
+        rows = rows.join(keys_side(several), own_id == F.col("several"), "left")
+        own_id = F.when(F.col("several").isNull(), own_id)
+    own = F.coalesce(own_id, F.when(text.rlike(r"[\p{L}\p{M}\p{N}]") | F.col("row.doc_id").isNotNull(), digest))
+    rows = rows.select("row", own.alias("own"))
+    named = rows.select(F.col("own").alias("doc_id"), text.alias("text"))
     dropped = keys_side(near_groups(named, **settings).filter("not keep").select(F.col("doc_id").alias("id")))
-    left = rows.join(dropped, own == F.col("id"), "left_anti")
-    repeated = keys_side(rows.filter(own.isNotNull()).groupBy(own.alias("id"), text_key.alias("key")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    left = rows.join(dropped, F.col("own") == F.col("id"), "left_anti")
+    again = rows.filter("own is not null").groupBy(F.col("own").alias("id"), key.alias("key")).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    repeated = keys_side(again)
     if not repeated.isEmpty():
-        same = (own == F.col("id")) & (text_key == F.col("key"))
-        again = left.join(repeated, same, "left_semi").select("row", own.alias("id"), F.col("row.text").alias("text")).dropDuplicates(["id", "text"]).select("row")
-        left = left.join(repeated, same, "left_anti").unionByName(again)
+        same = (F.col("own") == F.col("id")) & (key == F.col("key"))
+        one = left.join(repeated, same, "left_semi").select("row", F.col("own").alias("id"), F.col("row.text").alias("text")).dropDuplicates(["id", "text"]).select("row")
+        left = left.join(repeated, same, "left_anti").select("row").unionByName(one)
     return left.select("row.*")
 
 

@@ -44,6 +44,53 @@ def test_groups_equal_brute_force(spark):
     assert all(g.keep == (i == g.group_id) and g.group_size == sum(x == g.group_id for x in roots.values()) for i, g in got.items())
 
 
+def test_large_buckets_in_pieces_give_the_same_groups(spark):
+    random.seed(5)
+    rows = []
+    for g in range(10):
+        base = h.sentence(g, 60).split()
+        for c in range(30):
+            words = list(base)
+            for _ in range(random.choice([0, 1, 2, 8, 20])):
+                words[random.randrange(len(words))] = f"edit{random.random()}"
+            rows.append((len(rows), " ".join(words)))
+    groups = lambda **more: {(r.doc_id, r.group_id, r.group_size) for r in nd.near_groups(h.docs(spark, rows), 0.6, **more).collect()}
+    want = groups()
+    assert len(want) > 150 and groups(hot=4) == groups(hot=2) == want
+
+
+def test_pieces_of_a_key():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    key = np.sort(rng.integers(0, 12, 500))
+    rep = np.arange(500)
+    rep = rep[np.lexsort((rep, key))]
+    for step in (1, 7, 100, 500):
+        batches = (pa.RecordBatch.from_arrays([pa.array(key[a : a + step]), pa.array(rep[a : a + step])], names=["key", "rep"]) for a in range(0, 500, step))
+        got = {}
+        for out in nd._bucketer(30)(batches):
+            for row in out.to_pylist():
+                assert row["hub"] is None or len(row["reps"]) <= 30
+                got.setdefault(row["bucket"], []).extend(row["reps"])
+                assert row["hub"] in (None, rep[key == row["bucket"]][0] if row["hub"] is not None else None)
+        assert sorted(map(tuple, got.values())) == sorted(tuple(rep[key == k].tolist()) for k in np.unique(key) if (key == k).sum() > 1)
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    rows = [(3, h.sentence(1) + " x"), (5, h.sentence(1)), (5, h.sentence(2)), (5, h.sentence(2)), (6, h.sentence(2) + " y"), (7, h.sentence(3))]
+    left = sorted((r.doc_id, r.text) for r in nd.drop_near_duplicates(h.clashing(h.docs(spark, rows))).collect())
+    assert [x for x in left if x[1].startswith(h.sentence(1))] == [(3, h.sentence(1) + " x")]
+    assert len([x for x in left if x[1].startswith(h.sentence(2))]) == 1 and (7, h.sentence(3)) in left and len(left) == 3
+
+
+def test_chinese_copies_are_found(spark):
+    text = "".join(chr(0x4E00 + (i * 7919) % 900) for i in range(300))
+    other = "".join(chr(0x5200 + (i * 7907) % 900) for i in range(300))
+    got = {r.doc_id for r in nd.near_groups(h.docs(spark, [(1, text), (2, text[:150] + "改" + text[151:]), (3, other)])).collect()}
+    assert got == {1, 2}
+
+
 def test_recall_on_given_documents(spark):
     table = spark.read.parquet(f"{SMALL}/documents.parquet")
     pairs, _ = truth([(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()], 0.7)
