@@ -31,8 +31,11 @@ SHARD = "shard string, doc_ids array<long>, starts array<int>, lengths array<int
 
 def pack(symbols: np.ndarray, bits: int) -> bytes:
     """Symbols of ``bits`` bits each, lowest bit first."""
-    out = [((part[:, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel() for part in np.array_split(symbols.astype(np.int64), max(1, len(symbols) // 65_536))]
-    return np.packbits(np.concatenate(out), bitorder="little").tobytes()
+    wide = 8 if bits <= 8 else 16 if bits <= 16 else 32
+    raw = symbols.astype(f"<u{wide // 8}")
+    if bits == wide:
+        return raw.tobytes()
+    return np.packbits(np.unpackbits(raw.view(np.uint8), bitorder="little").reshape(-1, wide)[:, :bits], bitorder="little").tobytes()
 
 
 def unpack(data: bytes, bits: int, start: int, stop: int) -> np.ndarray:
@@ -40,7 +43,9 @@ def unpack(data: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     first, last = start * bits // 8, -(-stop * bits // 8)
     flags = np.unpackbits(np.frombuffer(data, np.uint8)[first:last], bitorder="little")
     skip = start * bits - 8 * first
-    return flags[skip : skip + (stop - start) * bits].reshape(-1, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+    out = np.zeros((stop - start, 32), np.uint8)
+    out[:, :bits] = flags[skip : skip + (stop - start) * bits].reshape(-1, bits)
+    return np.packbits(out, axis=1, bitorder="little").view("<u4").ravel().astype(np.int64)
 
 
 def symbol_bits(base: int, rules: int) -> int:
