@@ -8,7 +8,8 @@ document is. One equal sample makes a candidate (bands of one row); every candid
 is verified by the exact share of the item's shingles that the whole document holds.
 
 Plan: narrow, one Arrow pass over (doc_id, text); the item index is broadcast in
-parts of a checked size, and a larger benchmark takes one pass for each part.
+parts of a checked size. A benchmark of more than PART_SHINGLES shingles takes one pass for each part; the driver holds one part at
+a time, and what a pass finds is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keys_side, map_batches, table
+from .common import cut, keys_side, map_batches, table
 from .kernels import WORDS_SQL, Words, minhashes, shingles, slices
 
 WIDTH, SAMPLES, THRESHOLD = 5, 64, 0.5
 #: Shingles of one broadcast part of the item index (8 bytes each and as much for samples).
-PART_SHINGLES = 1_000_000
+PART_SHINGLES = 4_000_000
 RESULT = "doc_id long, item_id long, matched long, item_shingles long, containment double"
 
 
@@ -142,30 +143,41 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     document holds; an item of fewer words is one shingle of all its words.
 
     * Null ids or texts, and texts without a word, are in no result row.
-    * Repeated rows give one result row; if rows of one id differ, the highest containment counts.
+    * Repeated rows give one result row; if rows of one id (of a document or an item) differ in text, each is searched by itself and
+      the highest containment counts. Very long texts are searched whole.
     * An empty benchmark or an empty document table gives an empty result.
     * Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    passes = [texts.transform(map_batches, _searcher(spark.sparkContext.broadcast(index), samples, threshold), RESULT) for index in index_parts(items, width, samples, part_shingles)]
-    if not passes:
+    found: list[DataFrame] = []
+    waiting = None  # the last part's pass stays in the plan of the result; those before it are done one by one
+    for index in index_parts(items, width, samples, part_shingles):
+        if waiting is not None:
+            shared, rows = waiting
+            found.append(cut(rows))
+            shared.unpersist()
+        shared = spark.sparkContext.broadcast(index)
+        waiting = shared, texts.transform(map_batches, _searcher(shared, samples, threshold), RESULT)
+    if waiting is None:
         return spark.createDataFrame([], RESULT)
+    passes = [*found, waiting[1]]
     best = F.max(F.struct("containment", "matched", "item_shingles")).alias("best")
     return reduce(DataFrame.unionByName, passes).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.matched", "best.item_shingles", F.round("best.containment", 6).alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the documents that hold a test item; rows without an id are searched by a digest of their text."""
+    """``docs`` without the rows whose text holds a test item.
+
+    * Verdicts go by text, so rows without an id are searched too, and a clean row stays though another of its id goes.
+    * Null and empty texts stay. Repeated rows share their verdict. All columns stay, whatever their names; an empty table stays empty.
+    """
     rows = docs.select(F.struct("*").alias("row"))  # one column, so that no name clashes with the key's
-    own, text = F.col("row.doc_id"), F.col("row.text").cast("string")
-    hit = keys_side(contamination(docs, items, **settings).select(F.col("doc_id").alias("id")).distinct())
-    left = rows.join(hit, own == F.col("id"), "left_anti")
-    unnamed = rows.filter(own.isNull() & text.isNotNull()).select(F.xxhash64(text).alias("doc_id"), text.alias("text"))
-    if not unnamed.isEmpty():
-        keys = keys_side(contamination(unnamed, items, **settings).select(F.col("doc_id").alias("key")).distinct())
-        left = left.join(keys, own.isNull() & (F.xxhash64(text) == F.col("key")), "left_anti")
-    return left.select("row.*")
+    text = F.col("row.text").cast("string")
+    key = F.xxhash64(text)
+    named = rows.filter(text.isNotNull()).select(key.alias("doc_id"), text.alias("text"))
+    hit = keys_side(contamination(named, items, **settings).select(F.col("doc_id").alias("key")).distinct())
+    return rows.join(hit, key == F.col("key"), "left_anti").select("row.*")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,19 +185,18 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 OP2_SQL = f"""
-WITH item_words AS (
-  SELECT item_id, {WORDS_SQL('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH items AS (SELECT row_number() OVER () AS i, item_id, {WORDS_SQL('text')} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)),
 item_shingles AS (
-  SELECT DISTINCT item_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS s
-  FROM (SELECT item_id, w, least({WIDTH}, len(w)) AS width FROM item_words WHERE len(w) > 0)),
-doc_words AS (
-  SELECT doc_id, {WORDS_SQL('text')} AS w FROM documents WHERE doc_id IS NOT NULL),
+  SELECT DISTINCT i, width, unnest(list_transform(range(1, len(w) - width + 2), lambda k: array_to_string(w[k:k + width - 1], ' '))) AS s
+  FROM (SELECT i, w, least({WIDTH}, len(w)) AS width FROM items WHERE len(w) > 0)),
+docs AS (SELECT row_number() OVER () AS d, doc_id, {WORDS_SQL('text')} AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL)),
 doc_shingles AS (
-  SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS s
-  FROM doc_words, (SELECT DISTINCT width FROM item_shingles) WHERE len(w) >= width),
-sizes AS (SELECT item_id, count(*) AS item_shingles FROM item_shingles GROUP BY item_id)
-SELECT d.doc_id, i.item_id, count(*) AS matched, any_value(z.item_shingles) AS item_shingles,
-       round(count(*) / any_value(z.item_shingles), 6) AS containment
-FROM item_shingles i JOIN doc_shingles d ON i.s = d.s AND i.width = d.width JOIN sizes z ON z.item_id = i.item_id
-GROUP BY d.doc_id, i.item_id HAVING count(*) >= {THRESHOLD} * any_value(z.item_shingles)
+  SELECT DISTINCT d, width, unnest(list_transform(range(1, len(w) - width + 2), lambda k: array_to_string(w[k:k + width - 1], ' '))) AS s
+  FROM docs, (SELECT DISTINCT width FROM item_shingles) WHERE len(w) >= width),
+sizes AS (SELECT i, count(*) AS item_shingles FROM item_shingles GROUP BY i),
+found AS (
+  SELECT d, i, count(*) AS matched, any_value(item_shingles) AS item_shingles
+  FROM item_shingles JOIN doc_shingles USING (s, width) JOIN sizes USING (i) GROUP BY d, i HAVING count(*) >= {THRESHOLD} * any_value(item_shingles))
+SELECT doc_id, item_id, matched, item_shingles, round(matched / item_shingles, 6) AS containment FROM found JOIN docs USING (d) JOIN items USING (i)
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched / item_shingles DESC, matched DESC, item_shingles DESC) = 1
 """

@@ -65,6 +65,15 @@ def test_edges_of_the_input(spark):
     assert SMALL
 
 
+def test_chinese_items_and_rows_of_one_id(spark):
+    item = "".join(chr(0x4E00 + (i * 7919) % 900) for i in range(40))
+    lead = "".join(chr(0x5200 + (i * 7907) % 900) for i in range(400))
+    df = h.docs(spark, [(1, lead + item + lead), (2, lead), (3, f"“{h.sentence(7)}” — end"), (3, h.sentence(8))])
+    tests = [(1, item), (2, h.sentence(7)), (2, h.sentence(9))]
+    assert found(dc.contamination(df, items(spark, tests))) == brute([tuple(r)[:2] for r in df.collect()], tests, 0.5) == {(1, 1): 1.0, (3, 2): 1.0}
+    assert sorted((r.doc_id, r.text) for r in dc.drop_contaminated(df, items(spark, tests)).collect()) == [(2, lead), (3, h.sentence(8))]
+
+
 def test_rows_without_an_id_are_searched(spark):
     df = h.clashing(h.docs(spark, [(None, f"before {h.sentence(2)} after"), (None, h.sentence(3)), (None, None), (1, h.sentence(2)), (2, h.sentence(4))]))
     kept = dc.drop_contaminated(df, items(spark, [(1, h.sentence(2))]))
