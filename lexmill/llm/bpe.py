@@ -11,9 +11,10 @@ neighbours meet in their overlap the text is stitched: from a common boundary on
 pattern reads only what follows, so the pieces between stitches have exactly the
 boundaries of the whole text. Decoding concatenates the bytes of the ids.
 
-Plan: texts of one chunk are encoded in one narrow Arrow pass. Of longer ones, chunks
-are spread over the cluster, only boundaries within overlaps come back, and the texts
-join their stitches by a key.
+Plan: texts of one chunk are encoded in one narrow Arrow pass. The chunks of longer ones are written once, spread over
+the cluster; their boundaries within overlaps come back, and each chunk's piece between two stitches is encoded where the chunk
+is. The ids are put together by text. A text with an overlap in which no boundaries meet (a run of one class that long) is encoded whole, in bounded
+windows from left to right.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, table
+from ..functions.kernels import gather
+from .common import cut, keys_side, map_batches, table
 from .kernels import SLICE_BYTES, U64, mix, powers, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -230,22 +233,35 @@ def _id_lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
-def _encode(path: str, stitched: bool):
+def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = part.column("text").to_pylist()
-                if stitched:
-                    coded = [encode_pieces(t, c or [], code) for t, c in zip(texts, part.column("cuts").to_pylist())]
-                    ids, offsets = np.concatenate(coded), np.concatenate([[0], np.cumsum([len(c) for c in coded])])
-                else:
-                    ids, offsets = encode_texts(texts, code)
+                ids, offsets = encode_bounded(part.column("text").to_pylist(), code)
                 yield pa.RecordBatch.from_arrays([part.column("row"), _id_lists(ids, offsets)], names=["row", "ids"])
 
     return run
 
 
+def _encode_chunks(path: str):
+    """Ids of the part [a, b) of each chunk; the pattern may look at what follows it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = encoder(path)
+        for batch in batches:
+            for part in slices(batch, "piece"):
+                coded = []
+                for text, a, b in zip(*(part.column(c).to_pylist() for c in ("piece", "a", "b"))):
+                    seen, _ = code_points([text[a : b + 3]])
+                    starts = boundaries(seen, np.array([0, len(seen)]))
+                    coded.append(code(seen[: b - a], starts[starts < b - a])[0])
+                ids = np.concatenate(coded) if coded else np.zeros(0, np.int32)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("k1", "k2", "nth")), _id_lists(ids, np.concatenate([[0], np.cumsum([len(c) for c in coded])]))], names=["k1", "k2", "nth", "ids"])
+
+    return run
+
+
 def _edges(chunk: int, overlap: int):
     """Of each chunk, the boundaries (positions in the text) in its overlaps with its neighbours."""
 
@@ -267,22 +283,20 @@ def _edges(chunk: int, overlap: int):
     return run
 
 
-def stitches(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(k1, k2, cuts) of each distinct text of more than ``chunk`` characters: where its chunks meet.
-
-    A cut is the first boundary that a chunk and its successor share. From a chunk that shares
-    none with its successor on, the rest of the text is one piece.
-    """
-    keyed = long.select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
+def long_chunks(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """(k1, k2, nth, piece): the chunks of each distinct text (k1, k2, text), spread over the cluster and written once."""
     last = F.floor((F.length("text") - 1) / F.lit(chunk)).cast("int")
-    chunks = keyed.select("k1", "k2", "text", F.explode(F.sequence(F.lit(0), last)).alias("nth")).select("k1", "k2", "nth", F.substring("text", F.col("nth") * chunk + 1, F.lit(chunk + overlap)).alias("piece"))
-    spread = chunks.repartition("k1", "nth")
-    edges = spread.transform(map_batches, _edges(chunk, overlap), "k1 long, k2 long, nth int, head array<long>, tail array<long>")
+    chunks = long.select("k1", "k2", "text", F.explode(F.sequence(F.lit(0), last)).alias("nth")).select("k1", "k2", "nth", F.substring("text", F.col("nth") * chunk + 1, F.lit(chunk + overlap)).alias("piece"))
+    # equal texts fold by key here, chunk by chunk, so that no whole text is sorted or shuffled
+    return cut(chunks.repartition("k1", "nth").dropDuplicates(["k1", "k2", "nth"]))
+
+
+def stitches(chunks: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """(k1, k2, n, cuts): how many chunks a text has, and the first boundary that each shares with its successor, null where there is none."""
+    edges = chunks.transform(map_batches, _edges(chunk, overlap), "k1 long, k2 long, nth int, head array<long>, tail array<long>")
     ordered = edges.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("nth", "head", "tail"))).alias("chunks"))
     meets = F.transform(F.sequence(F.lit(1), F.size("chunks") - 1), lambda i: F.array_min(F.array_intersect(F.element_at("chunks", i)["tail"], F.element_at("chunks", i + 1)["head"])))
-    found = F.coalesce(F.array_position(F.transform("meets", lambda m: m.isNull()), True), F.lit(0))
-    whole = F.when(found > 0, F.slice("meets", F.lit(1), found.cast("int") - 1)).otherwise(F.col("meets"))
-    return ordered.filter(F.size("chunks") > 1).select("k1", "k2", meets.alias("meets")).select("k1", "k2", whole.alias("cuts"))
+    return ordered.select("k1", "k2", F.size("chunks").alias("n"), F.when(F.size("chunks") > 1, meets).otherwise(F.array().cast("array<bigint>")).alias("cuts"))
 
 
 def encode_documents(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP, keep: list[str] | None = None) -> DataFrame:
@@ -294,29 +308,67 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK
     """
     rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    short = rows.filter(F.length("text") <= chunk).transform(map_batches, _encode(path, False), schema)
-    long = rows.filter(F.length("text") > chunk).select("row", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
-    stitched = long.join(stitches(long, chunk, overlap), ["k1", "k2"], "left").select("row", "text", "cuts").transform(map_batches, _encode(path, True), schema)
+    short = rows.filter(F.length("text") <= chunk).transform(map_batches, _encode(path), schema)
     empty = rows.filter("text is null").select("row", F.lit(None).cast("array<int>").alias("ids"))
-    return short.unionByName(stitched).unionByName(empty)
+    long = rows.filter(F.length("text") > chunk).select("row", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    chunks = long_chunks(long, chunk, overlap)
+    cuts = cut(stitches(chunks, chunk, overlap))
+    whole = F.exists("cuts", lambda c: c.isNull())
+    # chunk nth holds the piece from its cut with the one before to its cut with the next
+    own = chunks.join(cuts.filter(~whole), ["k1", "k2"])
+    at = F.col("nth") * F.lit(chunk)
+    a = F.when(F.col("nth") == 0, F.lit(0)).otherwise(F.get("cuts", F.col("nth") - 1) - at)
+    b = F.when(F.col("nth") == F.col("n") - 1, F.length("piece")).otherwise(F.get("cuts", F.col("nth")) - at)
+    placed = own.select("k1", "k2", "nth", "piece", a.cast("long").alias("a"), b.cast("long").alias("b"))
+    coded = placed.transform(map_batches, _encode_chunks(path), "k1 long, k2 long, nth int, ids array<int>")
+    joined = coded.groupBy("k1", "k2").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "ids"))), lambda c: c["ids"])).alias("ids"))
+    stitched = long.select("row", "k1", "k2").join(joined, ["k1", "k2"]).select("row", "ids")
+    rest = keys_side(cuts.filter(whole).select("k1", "k2"))
+    unstitched = long.join(rest, ["k1", "k2"], "left_semi").select("row", "text").transform(map_batches, _encode(path), schema)
+    return short.unionByName(stitched).unionByName(unstitched).unionByName(empty)
 
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary_bytes(path)
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum([len(p) for p in pieces])
+        starts = ends - np.array([len(p) for p in pieces])
         for batch in batches:
-            texts = [None if ids is None else b"".join([pieces[i] for i in ids]).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+            for lead, part in _bounded(batch.column("ids")):
+                ids = pc.list_flatten(part).to_numpy(zero_copy_only=False)
+                data, at = gather(raw, starts[ids], ends[ids])
+                counts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))])
+                text, own = data.tobytes(), at[counts]
+                known = pc.is_valid(part).to_pylist()
+                texts = [text[a:b].decode("utf-8", "replace") if k else None for a, b, k in zip(own.tolist(), own[1:].tolist(), known)]
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lead, len(part)), pa.array(texts, pa.string())], names=["row", "text"])
 
     return run
 
 
+def _bounded(lists: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive (start, slice) of lists that hold at most ``most`` ids, or one list."""
+    start, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.list_value_length(lists), 0).to_pylist()):
+        if i > start and held + n > most:
+            yield start, lists.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(lists):
+        yield start, lists.slice(start)
+
+
 def decode_documents(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(row, text) from (row, ids): the bytes of the ids end to end. Null ids give a null text."""
     return encoded.select("row", "ids").transform(map_batches, _decode(path), T.StructType([encoded.schema["row"], T.StructField("text", T.StringType())]))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every document."""
-    coded = encode_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return coded.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """(doc_id, n_tokens, ids, exact) of every document; exact tells whether the decoded ids are the text again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("size"), F.xxhash64("text").alias("key"))
+    coded = encode_documents(docs, keep=["doc_id", "size", "key"])
+    packed = coded.select(F.struct("row.*", "ids").alias("row"), "ids")
+    back = decode_documents(packed)
+    same = (F.length("text") == F.col("row.size")) & (F.xxhash64("text") == F.col("row.key"))
+    return back.select(F.col("row.doc_id").alias("doc_id"), F.size("row.ids").cast("long").alias("n_tokens"), F.col("row.ids").alias("ids"), same.alias("exact"))

@@ -65,6 +65,11 @@ def test_round_trip_of_given_documents(spark, code):
     assert sample.ids == code.coding.encode_ordinary(docs.filter(F.col("doc_id") == sample.row.doc_id).first().text)
 
 
+def test_every_given_document_decodes_to_itself(spark):
+    rows = bpe.op10_byte_bpe(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 1000 and all(r.exact for r in rows)
+
+
 def test_encoding_edges(spark, code):
     df = h.clashing(h.docs(spark, h.edge_rows()))
     got = bpe.encode_documents(df).collect()
