@@ -371,4 +371,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = coded.select(F.struct("row.*", "ids").alias("row"), "ids")
     back = decode_documents(packed)
     same = (F.length("text") == F.col("row.size")) & (F.xxhash64("text") == F.col("row.key"))
-    return back.select(F.col("row.doc_id").alias("doc_id"), F.size("row.ids").cast("long").alias("n_tokens"), F.col("row.ids").alias("ids"), same.alias("exact"))
+    return back.select(F.col("row.doc_id").alias("doc_id"), F.when(F.col("row.ids").isNotNull(), F.size("row.ids")).cast("long").alias("n_tokens"), F.col("row.ids").alias("ids"), same.alias("exact"))
