@@ -85,6 +85,14 @@ def fixed_query(spark: SparkSession) -> DataFrame:
 FIXED_QUERY = f"queries AS (SELECT 0::BIGINT AS query_id, '{FIXED}' AS text, 10 AS top_k)"
 
 
+WIDE = "".join(chr(c) for c in range(48, 58)) + "".join(chr(c) for c in range(65, 91))
+
+
+def wide(text: Column) -> Column:
+    """ASCII digits and capitals as full-width characters, whose normal form they are."""
+    return F.translate(text, WIDE, "".join(chr(ord(c) + 0xFEE0) for c in WIDE))
+
+
 def marked_text(text: Column) -> Column:
     """A text with structure: every seventh line is a heading, a blank line follows every fifth."""
     return F.array_join(F.transform(F.split(text, "\n"), lambda x, i: F.concat(F.when((i + 1) % 7 == 0, F.concat(F.repeat(F.lit("#"), (i % 3 + 1).cast("int")), F.lit(" "))).otherwise(""), x, F.when((i + 1) % 5 == 0, "\n").otherwise(""))), "\n")

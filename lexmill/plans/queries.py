@@ -120,6 +120,12 @@ def exact_identifier(spark, d):
     return search.exact_matches(fx.stored(spark, d), _identifiers(spark, d))
 
 
+@query(f"WITH {fx.CORPUS}, {_IDENTIFIERS}, {_EXACT.format(queries='idents')} SELECT * FROM exact")
+def exact_identifier_wide(spark, d):
+    """Full-width identifiers find what their normal forms find."""
+    return search.exact_matches(fx.stored(spark, d), _identifiers(spark, d).withColumn("text", fx.wide(F.col("text"))))
+
+
 _MIXED = """queries AS (SELECT query_id, text, 10 AS top_k FROM idents UNION ALL SELECT 1000000 + item_id, text, 10 FROM benchmark)"""
 _MERGED = """pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_key) AS place FROM scores QUALIFY place <= 30),
 both_ AS (SELECT query_id, doc_key, 0 AS kind, rank AS place, -100.0::DOUBLE AS score FROM exact
@@ -232,9 +238,13 @@ def long_token_gate(spark, d):
     return a.select("query_id", (~F.col("out_of_scope")).alias("in_scope"))
 
 
-@query(f"""{_EVIDENCE} SELECT query_id, CASE WHEN n = 0 OR NOT scope THEN 'no_hits' WHEN strong THEN 'high_confidence' ELSE 'needs_verification' END AS status,
-  CASE WHEN n > 0 AND NOT scope THEN 'out_of_scope' WHEN n = 0 THEN 'retry_broader_or_stop' ELSE 'read_file_at_lines' END AS next_action,
-  CASE WHEN n = 0 THEN '' ELSE array_to_string(list_transform(toks[1:64], lambda t: '"' || t || '"'), ' OR ') END AS match, CASE WHEN scope THEN n ELSE 0 END AS results FROM answers""")
+_STATUS = "CASE WHEN n = 0 OR NOT scope THEN 'no_hits' WHEN strong THEN 'high_confidence' ELSE 'needs_verification' END"
+_ACTION = "CASE WHEN n > 0 AND NOT scope THEN 'out_of_scope' WHEN n = 0 THEN 'retry_broader_or_stop' ELSE 'read_file_at_lines' END"
+_CLAUSE = """array_to_string(list_transform(toks[1:64], lambda t: '"' || t || '"'), ' OR ')"""
+
+
+@query(f"""{_EVIDENCE} SELECT query_id, {_STATUS} AS status, {_ACTION} AS next_action,
+  CASE WHEN n = 0 THEN '' ELSE {_CLAUSE} END AS match, CASE WHEN scope THEN n ELSE 0 END AS results FROM answers""")
 def query_status(spark, d):
     a = evidence.answers(fx.stored(spark, d), _mixed(spark, d))
     return a.select("query_id", "status", "next_action", "match", F.size("results").cast("long").alias("results"))
@@ -257,14 +267,22 @@ def query_markdown(spark, d):
     return evidence.markdown(evidence.answers(fx.stored(spark, d), _mixed(spark, d)))
 
 
-@query(None)
+@query(f"""{_EVIDENCE}, blocks AS (SELECT query_id, string_agg('### ' || title || chr(10) || chr(10) || '- score: ' || printf('%.4f', round(score::DECIMAL(18, 6), 4)::DOUBLE) || chr(10) || '- file: `' || source_file || '`' || chr(10)
+    || CASE WHEN len(matches) > 0 THEN '- matching_lines: ' || len(matches) || chr(10) || array_to_string(list_transform(matches, lambda m: '  - L' || m.line || ': ' || {_INLINE.format("m.text")} || chr(10)), '') ELSE '' END || chr(10), '' ORDER BY rank) AS b FROM evidence GROUP BY query_id)
+  SELECT a.query_id, '# Evidence Summary' || chr(10) || chr(10) || '## Decision Summary' || chr(10) || chr(10) || '- query: `' || {_INLINE.format("query")} || '`' || chr(10) || '- status: `' || CASE WHEN n > 0 AND scope THEN 'high_confidence' ELSE 'no_hits' END || '`' || chr(10)
+    || CASE WHEN n > 0 AND NOT scope THEN '- reason: `out_of_scope`' || chr(10) ELSE '' END || CASE WHEN n > 0 AND len(toks) > 0 THEN '- fts_match: `' || {_CLAUSE} || '`' || chr(10) ELSE '' END
+    || '- next_action: `' || {_ACTION} || '`' || chr(10) || chr(10) || '## Matching Documents' || chr(10) || chr(10)
+    || CASE WHEN n = 0 OR NOT scope THEN '*No matching documents found.*' || chr(10) || chr(10) ELSE b END AS markdown FROM answers a LEFT JOIN blocks b ON b.query_id = a.query_id""")
 def evidence_summary(spark, d):
     return evidence.summary_markdown(evidence.answers(fx.stored(spark, d), _mixed(spark, d)))
 
 
-@query(None)
+@query(f"""{_EVIDENCE} SELECT a.query_id, {_STATUS} AS status, {_ACTION} AS next_action, CASE WHEN n = 0 THEN '' ELSE {_CLAUSE} END AS match, e.rank, e.doc_id, e.title, e.source_file, e.score, {_flat("e.matches")} AS matches
+  FROM answers a LEFT JOIN evidence e ON e.query_id = a.query_id AND a.scope AND e.rank <= 5""")
 def compact_payload(spark, d):
-    return evidence.compact(evidence.answers(fx.stored(spark, d), _mixed(spark, d)))
+    payload = evidence.compact(evidence.answers(fx.stored(spark, d), _mixed(spark, d)))
+    shown = F.from_json("results", "array<struct<rank:bigint,doc_id:string,title:string,source_file:string,score:double,matches:array<struct<line:bigint,text:string>>>>")
+    return payload.select("query_id", "status", "next_action", "match", F.explode_outer(shown).alias("r")).select("query_id", "status", "next_action", "match", "r.rank", "r.doc_id", "r.title", "r.source_file", "r.score", _shown(F.col("r.matches")).alias("matches"))
 
 
 # --- reading ---------------------------------------------------------------------------
@@ -401,7 +419,7 @@ def extract_keywords(spark, d):
 
 @query(f"WITH {fx.CORPUS} SELECT doc_key, array_to_string(list_filter(regexp_split_to_array(title, '[- ]+'), lambda x: len(x) >= 2), ' ') AS keywords FROM corpus")
 def title_keywords(spark, d):
-    return fx.documents(spark, d).select("doc_key", F.array_join(tx.title_keywords(F.col("title")), " ").alias("keywords"))
+    return fx.documents(spark, d).select("doc_key", F.array_join(tx.title_keywords(F.concat("title", F.lit(" "), "title")), " ").alias("keywords"))
 
 
 @query(f"""WITH {fx.CORPUS}, p AS (SELECT doc_key, text, [instr(text, 'thing'), instr(text, 'que')] AS ps FROM corpus),
@@ -439,12 +457,12 @@ def source_version(spark, d):
 
 @query(f"WITH {fx.CORPUS} SELECT doc_key, regexp_replace(lower(text), '[^0-9a-z]+', '', 'g') AS alias FROM corpus")
 def alias_normalise(spark, d):
-    return fx.documents(spark, d).select("doc_key", udf.alias_form(F.col("text")).alias("alias"))
+    return fx.documents(spark, d).select("doc_key", udf.alias_form(fx.wide(F.col("text"))).alias("alias"))
 
 
 @query(f"WITH {fx.CORPUS} SELECT doc_key, text || chr(10) AS canonical FROM corpus")
 def nfkc_canonical(spark, d):
-    return fx.documents(spark, d).select("doc_key", udf.canonical_text(F.col("text")).alias("canonical"))
+    return fx.documents(spark, d).select("doc_key", udf.canonical_text(fx.wide(F.col("text"))).alias("canonical"))
 
 
 @query(f"WITH {fx.CORPUS} SELECT doc_key, title AS front_title, lang AS front_lang, text AS body FROM corpus")
@@ -481,9 +499,14 @@ def query_terms(spark, d):
     return fx.documents(spark, d).select("doc_key", F.size(tx.query_terms(F.col("text"))).cast("long").alias("terms"))
 
 
-@query(None)
+def _shard_sql(key: str) -> str:
+    return f"CASE WHEN {key} = '' THEN '_EMPTY' WHEN regexp_matches({key}, '[<>:\"/\\\\|?*. ]') THEN 'U' || array_to_string(list_transform(string_split(left({key}, 32), ''), lambda c: printf('%04X', unicode(c))), '-') ELSE left({key}, 32) END"
+
+
+@query(f"""WITH {fx.CORPUS} SELECT doc_key, array_to_string(flatten(list_transform(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: CASE WHEN regexp_full_match(w, 'v[0-9]+') THEN [w] ELSE regexp_extract_all(w, '[a-z]+|[0-9]+') END)), '-') AS slug,
+  {_shard_sql("source_file")} AS shard_file, {_shard_sql("title")} AS shard_title FROM corpus""")
 def slug_names(spark, d):
-    return fx.documents(spark, d).select("doc_key", udf.slugify(F.col("title")).alias("slug"), udf.shard_name(F.col("source_file")).alias("shard_file"))
+    return fx.documents(spark, d).select("doc_key", udf.slugify(F.col("title")).alias("slug"), udf.shard_name(F.col("source_file")).alias("shard_file"), udf.shard_name(F.col("title")).alias("shard_title"))
 
 
 @query("""WITH t AS (SELECT doc_id AS pos, source AS base, '/in/' || source || '/' || doc_id AS path FROM documents)
@@ -498,10 +521,10 @@ def inline_markdown(spark, d):
     return fx.documents(spark, d).select("doc_key", tx.inline_markdown(F.col("text")).alias("inline"))
 
 
-@query(f"WITH {fx.CORPUS} SELECT doc_key, coalesce(nullif(regexp_replace(regexp_replace(left(text, 1) || '/' || lang || ' ' || source, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'current') AS safe FROM corpus")
+@query(f"WITH {fx.CORPUS} SELECT doc_key, coalesce(nullif(regexp_replace(regexp_replace(text || '/' || lang || ' ' || source,'[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'current') AS safe FROM corpus")
 def safe_version(spark, d):
     docs = fx.with_language(spark, d, fx.documents(spark, d))
-    version = F.concat(F.substring("text", 1, 1), F.lit("/"), F.col("lang"), F.lit(" "), F.split_part("doc_id", F.lit("-"), F.lit(1)))
+    version = F.concat("text", F.lit("/"),F.col("lang"), F.lit(" "), F.split_part("doc_id", F.lit("-"), F.lit(1)))
     return docs.select("doc_key", tx.safe_version(version).alias("safe"))
 
 
@@ -510,17 +533,17 @@ def file_index(spark, d):
     return fx.table(spark, d, "conversations").select("conv_id", "turn", tx.file_index(F.concat(F.lit("n"), F.col("conv_id").cast("string")), F.col("turn")).alias("file_index"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'plain' ELSE trim(text, ' ' || chr(10)) || chr(10) END AS leaf FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'plain ' || text ELSE trim(text, ' ' || chr(10)) || chr(10) END AS leaf FROM conversations")
 def leaf_text(spark, d):
     c = fx.table(spark, d, "conversations")
-    return c.select("conv_id", "turn", tx.leaf_text(F.when(F.col("role") == "user", "plain"), F.col("text")).alias("leaf"))
+    return c.select("conv_id", "turn", tx.leaf_text(F.when(F.col("role") == "user", F.concat(F.lit("plain "), "text")), F.col("text")).alias("leaf"))
 
 
-@query(f"WITH {fx.CORPUS} SELECT doc_id, 'current' AS version, title, CASE WHEN lang = 'en' THEN chr(10) ELSE {_PLAIN} END AS text FROM corpus")
+@query(f"WITH {fx.CORPUS} SELECT doc_id, 'current' AS version, title, {_PLAIN} AS text FROM corpus UNION ALL SELECT 'bare-' || doc_id, 'current', title, chr(10) FROM corpus")
 def document_texts(spark, d):
     docs = fx.documents(spark, d)
-    canonical = fx.with_language(spark, d, docs).filter("lang <> 'en'").select("doc_id", "version", F.col("text").alias("canonical"))
-    return incremental.document_texts(docs, canonical)
+    bare = docs.withColumn("doc_id", F.concat(F.lit("bare-"), "doc_id"))  # documents without a canonical text
+    return incremental.document_texts(docs.unionByName(bare), docs.select("doc_id", "version", F.col("text").alias("canonical")))
 
 
 # --- lookup tables ---------------------------------------------------------------------
@@ -591,7 +614,9 @@ def node_references(spark, d):
     return nodes.node_references(c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_id"), F.col("turn").alias("pos"), F.col("text").alias("body_md"), (F.col("role") != "system").alias("is_active")))
 
 
-@query(None)
+@query("""WITH n AS (SELECT 'c' || conv_id AS doc_id, turn::INT AS ordinal, conv_id || ':' || turn AS node_id, role, text FROM conversations),
+j AS (SELECT doc_id, ordinal, node_id, to_json({'body_md': text, 'doc_id': doc_id, 'is_leaf': 'false', 'kind': 'item', 'label': role, 'node_id': node_id, 'ordinal': ordinal, 'parent_id': doc_id, 'source_version': 'current'})::VARCHAR AS j FROM n)
+SELECT doc_id, sha256(string_agg(j, chr(10) ORDER BY ordinal, node_id, j)) AS digest FROM j GROUP BY doc_id""")
 def relation_digest(spark, d):
     return nodes.relation_digest(fx.nodes(spark, d), ["doc_id"], ["ordinal", "node_id"])
 
