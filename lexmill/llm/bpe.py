@@ -14,7 +14,8 @@ boundaries of the whole text. Decoding concatenates the bytes of the ids.
 Plan: texts of one chunk are encoded in one narrow Arrow pass. The chunks of longer ones are written once, spread over
 the cluster; their boundaries within overlaps come back, and each chunk's piece between two stitches is encoded where the chunk
 is. The ids are put together by text. A text with an overlap in which no boundaries meet (a run of one class that long) is encoded whole, in bounded
-windows from left to right.
+windows from left to right. Whether the ids decode to the text again is told where the text was encoded, by the same worker; only the ids
+of stitched texts, which were put together elsewhere, are decoded in a pass of their own. So no task of op10 keeps two Python workers busy at once.
 """
 
 from __future__ import annotations
@@ -183,6 +184,37 @@ def vocabulary_bytes(path: str) -> list[bytes]:
     return [ranks.get(i, b"") for i in range(max(ranks) + 1)]
 
 
+class Decoder:
+    """Bytes of ids by a vocabulary of ranks."""
+
+    def __init__(self, path: str):
+        pieces = vocabulary_bytes(path)
+        self.raw = np.frombuffer(b"".join(pieces), np.uint8)
+        self.lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def __call__(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Bytes of all ids end to end, gathered in bounded windows, and where each of the lists that ``offsets`` part begins and ends."""
+        at = np.concatenate([[0], np.cumsum(self.lengths[ids])])
+        borders = [0, *np.searchsorted(at, np.arange(SLICE_BYTES, at[-1], SLICE_BYTES)).tolist(), len(ids)]
+        windows = (ids[a:b] for a, b in zip(borders, borders[1:]))
+        return b"".join(gather(self.raw, self.starts[w], self.starts[w] + self.lengths[w])[0].tobytes() for w in windows), at[offsets]
+
+    def gives(self, texts: list[str], ids: np.ndarray, offsets: np.ndarray) -> list[bool]:
+        """Whether the ids of each text, which lie end to end, are its bytes."""
+        data, at = self(ids, offsets)
+        return [data[a:b] == t.encode() for t, a, b in zip(texts, at.tolist(), at[1:].tolist())]
+
+
+_decoders: dict[str, Decoder] = {}
+
+
+def decoder(path: str) -> Decoder:
+    if path not in _decoders:
+        _decoders[path] = Decoder(path)
+    return _decoders[path]
+
+
 def encode_texts(texts: list[str], code: Encoder) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, and the n + 1 offsets of the texts."""
     points, offsets = code_points(texts)
@@ -233,13 +265,17 @@ def _id_lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
-def _encode(path: str):
+def _encode(path: str, check: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, offsets = encode_bounded(part.column("text").to_pylist(), code)
-                yield pa.RecordBatch.from_arrays([part.column("row"), _id_lists(ids, offsets)], names=["row", "ids"])
+                texts = part.column("text").to_pylist()
+                ids, offsets = encode_bounded(texts, code)
+                out = {"row": part.column("row"), "ids": _id_lists(ids, offsets)}
+                if check:
+                    out["exact"] = pa.array(decoder(path).gives(texts, ids, offsets), pa.bool_())
+                yield pa.RecordBatch.from_arrays([*out.values()], names=[*out])
 
     return run
 
@@ -299,18 +335,19 @@ def stitches(chunks: DataFrame, chunk: int, overlap: int) -> DataFrame:
     return ordered.select("k1", "k2", F.size("chunks").alias("n"), F.when(F.size("chunks") > 1, meets).otherwise(F.array().cast("array<bigint>")).alias("cuts"))
 
 
-def encode_documents(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP, keep: list[str] | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP, keep: list[str] | None = None, check: bool = False) -> DataFrame:
     """(row, ids) for each row of ``docs``: the token ids of the whole text; ``row`` is a struct of
-    all its columns, or of those to ``keep``.
+    all its columns, or of those to ``keep``. With ``check`` also exact: whether the ids decode to the text again.
 
-    * A null text has null ids, an empty text no ids. Repeated rows are each returned.
+    * A null text has null ids and a null exact, an empty text no ids. Repeated rows are each returned.
     * Extra columns stay inside ``row``, so their names cannot clash. An empty table gives an empty result.
     """
     rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    short = rows.filter(F.length("text") <= chunk).transform(map_batches, _encode(path), schema)
-    empty = rows.filter("text is null").select("row", F.lit(None).cast("array<int>").alias("ids"))
-    long = rows.filter(F.length("text") > chunk).select("row", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    schema = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("exact", T.BooleanType())] if check else [])])
+    short = rows.filter(F.length("text") <= chunk).transform(map_batches, _encode(path, check), schema)
+    empty = rows.filter("text is null").select("row", *(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[1:]))
+    keys = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    long = rows.filter(F.length("text") > chunk).select("row", "text", keys[0].alias("k1"), keys[1].alias("k2"))
     chunks = long_chunks(long, chunk, overlap)
     cuts = cut(stitches(chunks, chunk, overlap))
     whole = F.exists("cuts", lambda c: c.isNull())
@@ -322,27 +359,27 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK
     placed = own.select("k1", "k2", "nth", "piece", a.cast("long").alias("a"), b.cast("long").alias("b"))
     coded = placed.transform(map_batches, _encode_chunks(path), "k1 long, k2 long, nth int, ids array<int>")
     joined = coded.groupBy("k1", "k2").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "ids"))), lambda c: c["ids"])).alias("ids"))
-    stitched = long.select("row", "k1", "k2").join(joined, ["k1", "k2"]).select("row", "ids")
+    if check:
+        back = joined.transform(map_batches, _decode(path, ["k1", "k2", "ids"]), "k1 long, k2 long, ids array<int>, text string")
+        joined = back.select("k1", "k2", "ids", ((keys[0] == F.col("k1")) & (keys[1] == F.col("k2"))).alias("exact"))
+    stitched = long.select("row", "k1", "k2").join(joined, ["k1", "k2"]).select(*schema.names)
     rest = keys_side(cuts.filter(whole).select("k1", "k2"))
-    unstitched = long.join(rest, ["k1", "k2"], "left_semi").select("row", "text").transform(map_batches, _encode(path), schema)
+    unstitched = long.join(rest, ["k1", "k2"], "left_semi").select("row", "text").transform(map_batches, _encode(path, check), schema)
     return short.unionByName(stitched).unionByName(unstitched).unionByName(empty)
 
 
-def _decode(path: str):
+def _decode(path: str, kept: list[str]):
+    """Texts of ids, beside the columns to keep."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary_bytes(path)
-        raw = np.frombuffer(b"".join(pieces), np.uint8)
-        ends = np.cumsum([len(p) for p in pieces])
-        starts = ends - np.array([len(p) for p in pieces])
+        decode = decoder(path)
         for batch in batches:
             for lead, part in _bounded(batch.column("ids")):
-                ids = pc.list_flatten(part).to_numpy(zero_copy_only=False)
-                data, at = gather(raw, starts[ids], ends[ids])
                 counts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))])
-                text, own = data.tobytes(), at[counts]
+                data, at = decode(pc.list_flatten(part).to_numpy(zero_copy_only=False), counts)
                 known = pc.is_valid(part).to_pylist()
-                texts = [text[a:b].decode("utf-8", "replace") if k else None for a, b, k in zip(own.tolist(), own[1:].tolist(), known)]
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lead, len(part)), pa.array(texts, pa.string())], names=["row", "text"])
+                texts = [data[a:b].decode("utf-8", "replace") if k else None for a, b, k in zip(at.tolist(), at[1:].tolist(), known)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lead, len(part)) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
 
     return run
 
@@ -361,14 +398,10 @@ def _bounded(lists: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa
 
 def decode_documents(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(row, text) from (row, ids): the bytes of the ids end to end. Null ids give a null text."""
-    return encoded.select("row", "ids").transform(map_batches, _decode(path), T.StructType([encoded.schema["row"], T.StructField("text", T.StringType())]))
+    return encoded.select("row", "ids").transform(map_batches, _decode(path, ["row"]), T.StructType([encoded.schema["row"], T.StructField("text", T.StringType())]))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, exact) of every document; exact tells whether the decoded ids are the text again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("size"), F.xxhash64("text").alias("key"))
-    coded = encode_documents(docs, keep=["doc_id", "size", "key"])
-    packed = coded.select(F.struct("row.*", "ids").alias("row"), "ids")
-    back = decode_documents(packed)
-    same = (F.length("text") == F.col("row.size")) & (F.xxhash64("text") == F.col("row.key"))
-    return back.select(F.col("row.doc_id").alias("doc_id"), F.when(F.col("row.ids").isNotNull(), F.size("row.ids")).cast("long").alias("n_tokens"), F.col("row.ids").alias("ids"), same.alias("exact"))
+    coded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], check=True)
+    return coded.select("row.doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_tokens"), "ids", "exact")

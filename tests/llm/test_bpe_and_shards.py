@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -70,6 +72,63 @@ def test_every_given_document_decodes_to_itself(spark):
     assert len(rows) == 1000 and all(r.exact for r in rows)
 
 
+def chained_python(node, above=0):
+    """The most Python passes that one task of a physical plan runs at once."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return chained_python(node.initialPlan())
+    here = 0 if "Exchange" in node.nodeName() else above + (node.nodeName() == "MapInArrow")
+    return max([here, *(chained_python(node.children().apply(i), here) for i in range(node.children().size()))])
+
+
+def test_a_task_keeps_one_python_worker_busy(spark):
+    plan = bpe.op10_byte_bpe(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan()
+    assert chained_python(plan) == 1
+
+
+def test_every_kind_of_text_is_compared_with_its_decoded_ids(spark, code, tmp_path, monkeypatch):
+    words = " ".join(f"né{i}" for i in range(20_000))
+    many = dict(enumerate([words, words, "x" * 70_000, "short 中文", "", None]))
+    h.docs(spark, list(many.items())).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in bpe.op10_byte_bpe(spark, str(tmp_path)).collect()}
+    for i, t in many.items():
+        ids = None if t is None else code.coding.encode_ordinary(t)
+        assert (got[i].ids, got[i].n_tokens, got[i].exact) == (ids, ids if ids is None else len(ids), ids if ids is None else True)
+    right = bpe._encode_chunks
+
+    def first_id_lost(path):
+        def run(batches):
+            for b in right(path)(batches):
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([x[1:] for x in b.column("ids").to_pylist()], pa.list_(pa.int32()))], names=b.schema.names)
+
+        return run
+
+    monkeypatch.setattr(bpe, "_encode_chunks", first_id_lost)
+    assert {r.doc_id: r.exact for r in bpe.op10_byte_bpe(spark, str(tmp_path)).collect()} == {0: False, 1: False, 2: True, 3: True, 4: True, 5: None}
+
+
+def test_wrong_ids_are_told_by_text(code):
+    many = [*texts(10, 50, 30), "one more", ""]
+    ids, offsets = bpe.encode_texts(many, code)
+    decode = bpe.decoder(bpe.VOCABULARY)
+    assert decode.gives(many, ids, offsets) == [True] * 52
+    wrong = ids.copy()
+    wrong[offsets[50]] += 1
+    assert decode.gives(many, wrong, offsets) == [True] * 50 + [False, True]
+
+
+def test_decoding_takes_little_more_than_the_text(code):
+    text = "".join(texts(11, 1, 20_000)) * 200
+    ids, offsets = bpe.encode_bounded([text], code)
+    decode = bpe.decoder(bpe.VOCABULARY)
+    tracemalloc.start()
+    try:
+        data, _ = decode(ids, offsets)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert data.decode() == text and most < 16 * len(data)
+
+
 def test_encoding_edges(spark, code):
     df = h.clashing(h.docs(spark, h.edge_rows()))
     got = bpe.encode_documents(df).collect()
