@@ -28,12 +28,12 @@ def block_spans(docs: DataFrame) -> DataFrame:
     return runs.withColumn("span_id", tx.span_id(F.col("doc_id"), F.col("start"), F.col("stop")))
 
 
-def inferred_headings(text: Column) -> Column:
+def inferred_headings(text: Column, numbered: bool = True) -> Column:
     """Plain text with headings marked.
 
     First a line of ``=`` or ``-`` turns the line before it into a heading of level 1 or 2. Then a line between blank
     ones becomes a heading: chapters level 1, numbered lines by their depth, other lines of fewer than 60
-    characters that are no list items level 3.
+    characters that are no list items level 3. Without ``numbered``, chapters and numbered lines stay as they are.
     """
     rows = F.transform(tx.lines(text), lambda x: tx.rstrip(x))
 
@@ -56,7 +56,9 @@ def inferred_headings(text: Column) -> Column:
             number = F.regexp_extract(s, r"^(\d+(?:\.\d+)+)\s+\S", 1)
             depth = F.least(F.size(F.split(number, r"\.")), F.lit(6))
             item = s.rlike(r"^[-*•·]\s") | (s.rlike(r"^\d+\.\s") & ~s.rlike(r"^\d+\.\d+"))
-            prefix = F.when(s.rlike(r"(?i)^Chapter\s+") | s.rlike(r"^第[一二三四五六七八九十百千万\d]+[章节篇部]"), "# ").when(number != "", F.concat(F.repeat(F.lit("#"), depth), F.lit(" "))).when((F.length(s) < 60) & ~item, "### ")
+            chapter = s.rlike(r"(?i)^Chapter\s+") | s.rlike(r"^第[一二三四五六七八九十百千万\d]+[章节篇部]")
+            first, deeper = (F.lit("# "), F.concat(F.repeat(F.lit("#"), depth), F.lit(" "))) if numbered else (F.lit(None).cast("string"),) * 2
+            prefix = F.when(chapter, first).when(number != "", deeper).when((F.length(s) < 60) & ~item, "### ")
             return F.when(alone & prefix.isNotNull(), F.concat(prefix, s)).otherwise(x)
 
         return F.transform(r, mark)
@@ -65,9 +67,9 @@ def inferred_headings(text: Column) -> Column:
     return F.when(joined.endswith("\n"), joined).otherwise(F.concat(joined, F.lit("\n")))
 
 
-def infer_headings(docs: DataFrame) -> DataFrame:
+def infer_headings(docs: DataFrame, numbered: bool = True) -> DataFrame:
     """(doc_key, text): plain text with headings marked."""
-    return docs.select("doc_key", inferred_headings(F.col("text")).alias("text"))
+    return docs.select("doc_key", inferred_headings(F.col("text"), numbered).alias("text"))
 
 
 def keywords(docs: DataFrame, top: int = KEYWORDS, least: int = MIN_FREQUENCY) -> DataFrame:
