@@ -6,6 +6,8 @@ that no request names is not split, and no line is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,20 +43,20 @@ def _asked(docs: DataFrame, requests: DataFrame) -> DataFrame:
     return docs.select("doc_key", "text").join(requests, "doc_key")
 
 
-def _read(rows: DataFrame, first: Column, count: Column, part: Column | None = None) -> DataFrame:
+def _read(rows: DataFrame, first: Column, count: Column, part: Column | None = None, lines: Callable[[Column], Column] = tx.lines) -> DataFrame:
     """(req_id, part, doc_key, line, text): of (req_id, doc_key, text) the lines from ``first`` on, ``count`` of them, clamped to the document."""
     kept = rows.select("req_id", (F.lit(0) if part is None else part).alias("part"), "doc_key", "text", first.cast("long").alias("first"), count.cast("long").alias("count"))
     # of a range before line 1 only what reaches into the document is read
     begin, stop = F.greatest(F.col("first"), F.lit(1)), F.col("first") + F.col("count")
     size = F.greatest(F.least(stop, F.lit(2**31 - 1)) - begin, F.lit(0))
-    taken = bound(tx.lines(F.col("text")), lambda x: F.when(begin <= F.size(x), F.slice(x, begin.cast("int"), size.cast("int"))))
+    taken = bound(lines(F.col("text")), lambda x: F.when(begin <= F.size(x), F.slice(x, begin.cast("int"), size.cast("int"))))
     each = kept.select("req_id", "part", "doc_key", begin.alias("begin"), F.posexplode(taken).alias("at", "line_text"))
     return each.select("req_id", "part", "doc_key", (F.col("begin") + F.col("at")).alias("line"), tx.rstrip(F.col("line_text")).alias("text"))
 
 
-def read_range(docs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests (req_id, doc_key, start, count)."""
-    return _read(_asked(docs, requests.select("req_id", "doc_key", "start", "count")), F.col("start"), F.col("count"))
+def read_range(docs: DataFrame, requests: DataFrame, lines: Callable[[Column], Column] = tx.lines) -> DataFrame:
+    """Requests (req_id, doc_key, start, count); ``lines`` splits a text."""
+    return _read(_asked(docs, requests.select("req_id", "doc_key", "start", "count")), F.col("start"), F.col("count"), lines=lines)
 
 
 def read_around(docs: DataFrame, requests: DataFrame) -> DataFrame:
