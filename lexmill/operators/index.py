@@ -1,9 +1,10 @@
 """The inverted index: postings with weighted frequencies, document lengths, corpus statistics, and their stored form.
 
 Plan: one narrow Arrow pass over the texts makes the postings, counted inside the row, so nothing is
-shuffled to count. Stored, they are laid out in buckets of tokens, sorted by token; the store's rebalance
-splits a bucket that a frequent token fills. A posting carries the length of its document, so scores need neither texts
-nor lengths. Document frequencies and the two statistics are stored beside.
+shuffled to count. Stored, they are laid out in segments: a row holds some megabytes of documents with all their postings, in
+columns by hash of the token. So nothing is shuffled or sorted to store them either, a search reads the columns of its tokens
+alone, and scores add up where the segment is read. A segment carries the lengths of its documents, so scores need no
+texts. Document frequencies and the two statistics are stored beside.
 """
 
 from __future__ import annotations
@@ -12,17 +13,15 @@ import json
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import segments as sg
 from ..functions import tokens as tk
 from ..functions import udf
 from ..sources.storage import Files, shared_subfolder
 
 POSTINGS = "doc_key long, is_active boolean, dl long, token string, tf_title long, tf_body long"
-STORED = f"{POSTINGS}, bucket int"
-#: Stored bytes of documents for each bucket of postings, and the bounds of their number.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 64 << 20, 8, 8_192
 #: Files of documents that a search names one by one; more are read as a folder.
 NAMED_FILES = 1_000
 
@@ -57,10 +56,6 @@ def index_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_key").cast("long").alias("doc_key"), "text").mapInArrow(tk.index_texts, "doc_key long, tokens string")
 
 
-def bucket(token: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
-
-
 def names(docs: DataFrame) -> DataFrame:
     """(doc_key, doc_id, is_active, a, b, file): identifiers in the form in which they are compared, and the file of the document."""
     return docs.select("doc_key", "doc_id", "is_active", udf.alias_form(F.col("doc_id")).alias("a"), udf.alias_form(F.col("title")).alias("b"), F.col("_metadata.file_name").alias("file"))
@@ -68,11 +63,10 @@ def names(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """A stored index: ``docs`` with texts, ``names``, ``postings`` by bucket, ``terms`` (token, df), and statistics."""
+    """A stored index: ``docs`` with texts, ``names``, ``segments`` of postings, ``terms`` (token, df), and statistics."""
 
     spark: SparkSession
     folder: str
-    buckets: int
     n_docs: int
     avgdl: float
     #: Lengths below 4 of the identifiers in ``names``.
@@ -89,22 +83,28 @@ class Index:
     def names(self) -> DataFrame:
         return self._table("names")
 
+    @property
+    def segments(self) -> DataFrame:
+        return self.spark.read.schema(sg.SCHEMA).parquet(f"{self.folder}/postings")  # an empty one has no file to tell its schema
+
     @property
     def postings(self) -> DataFrame:
-        return self.spark.read.schema(STORED).parquet(f"{self.folder}/postings")  # an empty one has no file to tell its schema
+        return self.segments.mapInArrow(sg.postings, POSTINGS)
 
     @property
     def terms(self) -> DataFrame:
         return self._table("terms")
 
-    def postings_of(self, tokens: list[str] | None) -> DataFrame:
-        """Postings; of a list of tokens only the buckets that hold them are listed."""
-        rows = self.postings
-        if tokens is None:
-            return rows
-        asked = self.spark.createDataFrame(pa.table({"token": pa.array(tokens, pa.string())})).select(bucket(F.col("token"), self.buckets).alias("b"))
-        wanted = sorted({r.b for r in asked.collect()})
-        return rows if len(wanted) == self.buckets else rows.filter(F.col("bucket").isin(wanted))
+    def segments_of(self, tokens: list[str]) -> DataFrame:
+        """Segments with the columns that hold the tokens."""
+        columns = sorted(set(sg.columns_of(pa.array(tokens, pa.string())).tolist()))
+        return self.segments.select("segment", "doc_keys", "is_active", "dl", *(f"c{i}" for i in columns))
+
+    def marked(self, segments: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+        """Segments with the rows of ``marks`` (mark, doc_key) that are in them; no more than a segment's is in one place."""
+        places = self.segments.select("segment", F.explode("doc_keys").alias("doc_key"))
+        held = places.join(marks, "doc_key").groupBy("segment").agg(F.collect_list(F.struct("mark", "doc_key")).alias("marks"))
+        return segments.join(held, "segment", how)
 
     def texts(self, files: list[str] | None) -> DataFrame:
         """Documents; of a list of files only those."""
@@ -125,28 +125,28 @@ def write_index(spark: SparkSession, folder: str, old: Index | None = None, kept
     Of documents in ``kept`` (doc_key) the postings are taken from the ``old`` index, so only the others are tokenised.
     """
     stored = spark.read.parquet(f"{folder}/docs")
-    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, size // BUCKET_BYTES))
     names(stored).write.mode("overwrite").parquet(f"{folder}/names")
-    if old is None:
-        rows = postings(stored)
-    else:
-        rows = postings(stored.join(kept, "doc_key", "left_anti")).unionByName(old.postings.drop("bucket").join(kept, "doc_key", "left_semi"))
-    placed = rows.withColumn("bucket", bucket(F.col("token"), buckets))
-    placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "doc_key").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    post = spark.read.schema(STORED).parquet(f"{folder}/postings")
-    document_frequency(post).write.mode("overwrite").parquet(f"{folder}/terms")
-    total = post.agg(F.coalesce(F.sum(F.col("tf_title") + F.col("tf_body")), F.lit(0)).alias("n")).first().n
+    fresh = stored if old is None else stored.join(kept, "doc_key", "left_anti")
+    rows = _texts(fresh).mapInArrow(sg.build, sg.SCHEMA)
+    if old is not None:
+        marks = kept.select(F.lit(None).cast("string").alias("mark"), "doc_key")
+        rows = rows.unionByName(old.marked(old.segments, marks, "inner").mapInArrow(sg.kept, sg.SCHEMA))
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/postings")
+    segments = spark.read.schema(sg.SCHEMA).parquet(f"{folder}/postings")
+    segments.mapInArrow(sg.frequencies, "token string, df long").groupBy("token").agg(F.sum("df").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
+    total = segments.agg(F.coalesce(F.sum(F.aggregate("dl", F.lit(0).cast("long"), lambda n, x: n + x)), F.lit(0)).alias("n")).first().n
     short = lambda n: F.max((F.length("a") == n) | (F.length("b") == n)).alias(f"s{n}")
     held = spark.read.parquet(f"{folder}/names").agg(F.count("*").alias("n"), short(1), short(2), short(3)).first()
-    facts = {"buckets": buckets, "n_docs": held.n, "tokens": total, "short_names": [n for n in (1, 2, 3) if held[f"s{n}"]]}
+    facts = {"columns": sg.COLUMNS, "n_docs": held.n, "tokens": total, "short_names": [n for n in (1, 2, 3) if held[f"s{n}"]]}
     Files(spark).write_text(f"{folder}/index.json", json.dumps(facts))
 
 
 def read(spark: SparkSession, folder: str) -> Index:
     """A stored index."""
     facts = json.loads(Files(spark).read_text(f"{folder}/index.json"))
-    return Index(spark, folder, facts["buckets"], facts["n_docs"], facts["tokens"] / max(1, facts["n_docs"]), tuple(facts["short_names"]))
+    if facts.get("columns") != sg.COLUMNS:
+        raise ValueError(f"{folder} holds an index of another form: build it again")
+    return Index(spark, folder, facts["n_docs"], facts["tokens"] / max(1, facts["n_docs"]), tuple(facts["short_names"]))
 
 
 def temporary(docs: DataFrame) -> Index:

@@ -3,7 +3,8 @@
 Queries are rows (query_id, text, top_k, doc_ids); all operators work on the whole batch in one
 plan. The batch is computed once: a small one (``small``) becomes a local table with its tokens, whose
 derivatives are broadcast; a larger one is written to the shared folder and joined by shuffles.
-Scores read the postings of the batch's tokens alone; texts are read for candidates alone, from the files that hold them.
+A small batch is scored inside the segments of the index, of which it reads the columns of its tokens alone, and only the best of each task
+go on; texts are read for candidates alone, from the files that hold them.
 
 bm25(d) = - sum over query tokens, repeats included, of
     idf * f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avgdl)),   f = 10 tf_title + tf_body
@@ -14,11 +15,14 @@ The parts are added as whole multiples of 1 / UNITS, so the sum is the same in a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import segments as sg
 from ..functions import text as tx
 from ..functions import udf
 from ..functions.text import bound
@@ -31,21 +35,19 @@ MAX_TOKENS, POOL, EXACT_SCORE, MIN_IDENTIFIER = 64, 3, -100.0, 4
 WINDOW, STEP, MIN_ASCII = 20, 5, 4
 #: A batch is small up to so many queries, and so many characters, document ids and (five-fold) results asked for.
 BROADCAST_QUERIES, BROADCAST_UNITS = 10_000, 2_000_000
-#: Distinct tokens of a small batch up to which the buckets of postings are chosen by token.
-NAMED_TOKENS = 2_000
 DISPLAYED = 6
 
 
 @dataclass
 class Batch:
-    """Queries with their tokens: ``rows`` (query_id, text, top_k, doc_ids, tokens, q); q is the text as an identifier."""
+    """Queries with their tokens: ``rows`` (query_id, text, top_k, doc_ids, doc_set, tokens, q); q is the text as an identifier."""
 
     rows: DataFrame
     small: bool
     #: Whether any query has a list of documents.
     restricted: bool
-    #: The distinct indexed tokens, if there are at most NAMED_TOKENS.
-    named: list[str] | None = None
+    #: (doc_set, doc_id): the documents of each set that queries name.
+    sets: DataFrame | None = None
 
     def side(self, rows: DataFrame) -> DataFrame:
         """A table whose size the batch bounds: broadcast if the batch is small."""
@@ -60,15 +62,15 @@ class Batch:
 
 
 def query_rows(queries: DataFrame) -> DataFrame:
-    """(query_id, text, top_k, doc_ids) with defaults for what is missing."""
+    """(query_id, text, top_k, doc_ids, doc_set) with defaults for what is missing."""
     have = set(queries.columns)
     top_k = F.greatest(F.coalesce("top_k", F.lit(10)), F.lit(1)) if "top_k" in have else F.lit(10)
     only = F.filter(F.transform("doc_ids", tx.strip), lambda d: d != "") if "doc_ids" in have else F.lit(None).cast("array<string>")
-    return queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"), top_k.cast("int").alias("top_k"), F.when(F.size(only) > 0, only).alias("doc_ids"))
+    return queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"), top_k.cast("int").alias("top_k"), F.when(F.size(only) > 0, only).alias("doc_ids"), (F.col("doc_set") if "doc_set" in have else F.lit(None)).cast("string").alias("doc_set"))
 
 
-def batch(queries: DataFrame | Batch) -> Batch:
-    """The queries, computed once."""
+def batch(queries: DataFrame | Batch, sets: DataFrame | None = None) -> Batch:
+    """The queries, computed once. A query with a ``doc_set`` is asked of the documents that ``sets`` (doc_set, doc_id) has under it."""
     if isinstance(queries, Batch):
         return queries
     spark, asked = queries.sparkSession, query_rows(queries)
@@ -78,10 +80,22 @@ def batch(queries: DataFrame | Batch) -> Batch:
         texts = rows.column("text").to_pylist()
         tokens = [search_tokens(t) for t in texts]
         rows = rows.append_column("tokens", pa.array(tokens, pa.list_(pa.string())))
-        distinct = {t for words in tokens for w in words[:MAX_TOKENS] for t in w.split("_") if t}
         local = spark.createDataFrame(rows.append_column("q", pa.array([udf.alias(t) for t in texts], pa.string())))
-        return Batch(local, True, size.restricted > 0, sorted(distinct) if len(distinct) <= NAMED_TOKENS else None)
-    return Batch(cut(asked.withColumns({"tokens": tx.search_tokens(F.col("text")), "q": udf.alias_form(F.col("text"))})), False, size.restricted > 0)
+        return Batch(local, True, size.restricted > 0, sets)
+    return Batch(cut(asked.withColumns({"tokens": tx.search_tokens(F.col("text")), "q": udf.alias_form(F.col("text"))})), False, size.restricted > 0, sets)
+
+
+def _weights(index: Index, asked: Batch) -> DataFrame:
+    """(query_id, token, times, idf) of the batch's tokens that the index has."""
+    raw_idf = F.log((F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(raw_idf > 0, raw_idf).otherwise(F.lit(1e-6))
+    return index.terms.join(asked.side(asked.tokens()), "token").select("query_id", "token", "times", idf.alias("idf"))
+
+
+def _part(avgdl: float, times, idf, tf_title, tf_body, dl):
+    """What a posting adds to a score: of columns or of arrays."""
+    f = TITLE_WEIGHT * tf_title + BODY_WEIGHT * tf_body
+    return times * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
 
 
 def bm25_scores(index: Index, queries: DataFrame | Batch) -> DataFrame:
@@ -91,35 +105,63 @@ def bm25_scores(index: Index, queries: DataFrame | Batch) -> DataFrame:
     shuffle by (query_id, doc_key).
     """
     asked = batch(queries)
-    tokens = asked.tokens()
-    raw_idf = F.log((F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(raw_idf > 0, raw_idf).otherwise(F.lit(1e-6))
-    weights = index.terms.join(asked.side(tokens), "token").select("query_id", "token", "times", idf.alias("idf"))
-    f = F.lit(TITLE_WEIGHT) * F.col("tf_title") + F.lit(BODY_WEIGHT) * F.col("tf_body")
-    part = F.col("times") * F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))
-    post = index.postings_of(asked.named).filter("is_active")
-    scored = post.join(asked.side(weights), "token").select("query_id", "doc_key", F.round(part * UNITS).cast("long").alias("part"))
+    part = _part(index.avgdl, *map(F.col, ("times", "idf", "tf_title", "tf_body", "dl")))
+    scored = index.postings.filter("is_active").join(asked.side(_weights(index, asked)), "token").select("query_id", "doc_key", F.round(part * UNITS).cast("long").alias("part"))
     return scored.groupBy("query_id", "doc_key").agg((-F.sum("part") / F.lit(UNITS)).alias("score"))
 
 
+def _segment_scores(index: Index, asked: Batch, pool: int) -> DataFrame:
+    """(query_id, doc_key, score): of a small batch the best ``pool`` * top_k documents of each task, scored inside the segments."""
+    rows = asked.rows.filter("query_id is not null").select("query_id", "top_k", "doc_set", F.col("doc_ids").isNotNull().alias("restricted")).toArrow()
+    limits, marks, listed = ({q: v for q, v in zip(rows.column("query_id").to_pylist(), rows.column(c).to_pylist())} for c in ("top_k", "doc_set", "restricted"))
+    ids = list(limits)
+    number = {q: n for n, q in enumerate(ids)}
+    weights: list[list] = [[] for _ in ids]
+    for q, *weight in zip(*(c.to_pylist() for c in _weights(index, asked).toArrow().columns)):
+        if q in number:
+            weights[number[q]].append(tuple(weight))
+    allowed: dict[int, list] = {number[q]: [] for q, v in listed.items() if v}
+    if allowed:
+        for r in _wanted(index, asked).collect():
+            allowed[number[r.query_id]].append(r.doc_key)
+    segments = index.segments_of(sorted({w[0] for q in weights for w in q}))
+    if asked.sets is not None:
+        named = asked.side(asked.rows.select("doc_set").distinct())
+        held = asked.sets.join(named, "doc_set").join(index.names.select("doc_key", "doc_id"), "doc_id").select(F.col("doc_set").alias("mark"), "doc_key")
+        segments = index.marked(segments, held, "left")
+    run = sg.scorer(pa.array(ids, rows.schema.field("query_id").type), [v * pool for v in limits.values()], weights, {n: np.array(k, np.int64) for n, k in allowed.items()}, list(marks.values()), partial(_part, index.avgdl), UNITS)
+    return segments.mapInArrow(run, f"query_id {asked.rows.schema['query_id'].dataType.simpleString()}, doc_key long, score double")
+
+
 def ranked(scores: DataFrame, order: list[Column], limit: Column) -> DataFrame:
     """The first rows of each query, with their rank; a window group limit, not a full sort."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
-def _restricted(rows: DataFrame, index: Index, asked: Batch) -> DataFrame:
-    """``rows`` (query_id, doc_key, restricted, ...) without the documents that a query's list leaves out, by equal keys."""
+def _wanted(index: Index, asked: Batch) -> DataFrame:
+    """(query_id, doc_key) of the documents in queries' lists."""
     wanted = asked.rows.filter("doc_ids is not null").select("query_id", F.explode("doc_ids").alias("doc_id")).distinct()
-    allowed = index.names.select("doc_key", "doc_id").join(asked.side(wanted), "doc_id").select("query_id", "doc_key", F.lit(True).alias("allowed"))
-    return rows.join(allowed, ["query_id", "doc_key"], "left").filter(~F.col("restricted") | F.col("allowed")).drop("allowed")
+    return index.names.select("doc_key", "doc_id").join(asked.side(wanted), "doc_id").select("query_id", "doc_key")
 
 
-def _best(index: Index, asked: Batch, pool: int) -> DataFrame:
-    """(query_id, doc_key, score, rank): the best ``pool`` * top_k documents; ties by doc_key."""
-    limits = asked.rows.select("query_id", "top_k", F.col("doc_ids").isNotNull().alias("restricted"))
-    scores = bm25_scores(index, asked).join(asked.side(limits), "query_id")
+def _restricted(rows: DataFrame, index: Index, asked: Batch) -> DataFrame:
+    """``rows`` (query_id, doc_key, restricted, doc_set, ...) without the documents that a query's list or set leaves out, by equal keys."""
     if asked.restricted:
+        allowed = _wanted(index, asked).withColumn("allowed", F.lit(True))
+        rows = rows.join(allowed, ["query_id", "doc_key"], "left").filter(~F.col("restricted") | F.col("allowed")).drop("allowed")
+    if asked.sets is not None:
+        held = asked.sets.join(index.names.select("doc_key", "doc_id"), "doc_id").select("doc_set", "doc_key", F.lit(True).alias("allowed")).distinct()
+        rows = rows.join(held, ["doc_set", "doc_key"], "left").filter(F.col("doc_set").isNull() | F.col("allowed")).drop("allowed")
+    return rows
+
+
+def best(index: Index, asked: Batch, pool: int) -> DataFrame:
+    """(query_id, doc_key, score, rank): the best ``pool`` * top_k documents; ties by doc_key."""
+    limits = asked.rows.select("query_id", "top_k", "doc_set", F.col("doc_ids").isNotNull().alias("restricted"))
+    found = _segment_scores(index, asked, pool) if asked.small else bm25_scores(index, asked)
+    scores = found.join(asked.side(limits), "query_id")
+    if not asked.small:
         scores = _restricted(scores, index, asked)
     return ranked(scores, [F.col("score"), F.col("doc_key")], F.col("top_k") * pool).select("query_id", "doc_key", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -127,8 +169,8 @@ def _best(index: Index, asked: Batch, pool: int) -> DataFrame:
 def bm25_top(index: Index, queries: DataFrame | Batch, pool: int = 1) -> DataFrame:
     """(query_id, doc_key, doc_id, score, rank): the best ``pool`` * top_k documents; ties by doc_key."""
     asked = batch(queries)
-    best = _best(index, asked, pool)
-    return index.names.select("doc_key", "doc_id").join(asked.side(best), "doc_key").select("query_id", "doc_key", "doc_id", F.round("score", DISPLAYED).alias("score"), "rank")
+    top = best(index, asked, pool)
+    return index.names.select("doc_key", "doc_id").join(asked.side(top), "doc_key").select("query_id", "doc_key", "doc_id", F.round("score", DISPLAYED).alias("score"), "rank")
 
 
 def exact_matches(index: Index, queries: DataFrame | Batch) -> DataFrame:
@@ -150,10 +192,8 @@ def exact_matches(index: Index, queries: DataFrame | Batch) -> DataFrame:
     met = keyed.join(asked.side(inner.unionByName(outer)), "key").filter(~F.col("inside") | (F.col("key") == F.right("name", F.lit(n)))).select("query_id", "doc_key", "name", "inside")
     held = F.when(F.col("inside"), F.contains("q", F.col("name"))).otherwise(F.contains("name", F.col("q")))
     pairs = met.join(asked.side(texts), "query_id").filter(held).select("query_id", "doc_key").distinct()
-    limits = asked.rows.select("query_id", "top_k", F.col("doc_ids").isNotNull().alias("restricted"))
-    kept = pairs.join(asked.side(limits), "query_id")
-    if asked.restricted:
-        kept = _restricted(kept, index, asked)
+    limits = asked.rows.select("query_id", "top_k", "doc_set", F.col("doc_ids").isNotNull().alias("restricted"))
+    kept = _restricted(pairs.join(asked.side(limits), "query_id"), index, asked)
     return ranked(kept, [F.col("doc_key")], F.col("top_k")).select("query_id", "doc_key", F.col("rank").cast("long").alias("rank"))
 
 
@@ -164,7 +204,7 @@ def candidates(index: Index, asked: Batch, pool: int) -> DataFrame:
     what follows does not repeat the search.
     """
     exact = exact_matches(index, asked).select("query_id", "doc_key", F.lit(0).alias("kind"), F.col("rank").alias("at"), F.lit(EXACT_SCORE).alias("score"))
-    found = _best(index, asked, pool).select("query_id", "doc_key", F.lit(1).alias("kind"), F.col("rank").alias("at"), "score")
+    found = best(index, asked, pool).select("query_id", "doc_key", F.lit(1).alias("kind"), F.col("rank").alias("at"), "score")
     # of a document that is found both ways the exact match counts
     first = F.min(F.struct("kind", "at", "score"))
     both = exact.unionByName(found).groupBy("query_id", "doc_key").agg(first.alias("m")).select("query_id", "doc_key", "m.*")
@@ -227,8 +267,8 @@ def reranked(rows: DataFrame, *kept: Column) -> DataFrame:
     scored = rows.select("query_id", "doc_key", F.col("rank").alias("pool_rank"), F.col("score").alias("raw"), "top_k", density.cast("long").alias("each"), *kept)
     several = F.count("*").over(Window.partitionBy("query_id")) > 1
     shown = scored.withColumn("density", F.when(several, F.col("each"))).withColumn("score", F.round("raw", DISPLAYED)).drop("each", "raw")
-    best = ranked(shown, [F.coalesce("density", F.lit(0)).desc(), F.col("pool_rank")], F.col("top_k"))
-    return best.withColumn("rank", F.col("rank").cast("long")).drop("pool_rank", "top_k")
+    first = ranked(shown, [F.coalesce("density", F.lit(0)).desc(), F.col("pool_rank")], F.col("top_k"))
+    return first.withColumn("rank", F.col("rank").cast("long")).drop("pool_rank", "top_k")
 
 
 def search(index: Index, queries: DataFrame | Batch, rerank: bool = True) -> DataFrame:

@@ -35,8 +35,9 @@ def stored(spark: SparkSession, sf_dir: str, kind: str = "all", docs: DataFrame
     return _stored[key]
 
 
-def with_language(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    return docs.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_key"), "lang"), "doc_key")
+def with_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with their column ``lang``, which no join need bring."""
+    return corpus(spread(table(spark, sf_dir, "documents")), "lang")
 
 
 CORPUS = """corpus AS (
