@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import contained
 from ..functions import text as tx
+from .search import BROADCAST_UNITS
+
+
+def holders(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(doc_id, query_id): the documents that hold a query's text word for word. All queries are sought in one pass over the texts; too long a batch for that is joined."""
+    asked = queries.select("query_id", "text").filter("query_id is not null and text is not null")
+    if asked.agg(F.coalesce(F.sum(F.length("text") + 100), F.lit(0)).alias("n")).first().n > BROADCAST_UNITS:
+        return docs.select("doc_id", "text").join(asked.withColumnRenamed("text", "q"), F.contains("text", F.col("q"))).select("doc_id", "query_id")
+    rows = asked.toArrow()
+    run = contained.pairs("doc_id", rows.column("text").to_pylist(), rows.column("query_id").combine_chunks())
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id string, query_id {asked.schema['query_id'].dataType.simpleString()}")
 
 
 def first_ranks(records: DataFrame) -> DataFrame:
     """``records`` with rank: the place of the first hit that any pattern matches, 0 if none does."""
     hits = F.filter(F.coalesce("hits", F.array().cast("array<string>")), lambda h: tx.strip(h) != "")
     patterns = F.filter(F.coalesce("patterns", F.array().cast("array<string>")), lambda p: tx.strip(p) != "")
-    places = F.transform(hits, lambda h, i: F.when(F.exists(patterns, lambda p: F.regexp(h, tx.glob_pattern(p))), i + 1))
+    # a pattern without a mark of its own is compared as it is, which spares a regular expression for each pair
+    met = lambda h, p: F.when(p.rlike(r"[*?\[]"), F.regexp(h, tx.glob_pattern(p))).otherwise(h == p)
+    places = F.transform(hits, lambda h, i: F.when(F.exists(patterns, lambda p: met(h, p)), i + 1))
     return records.withColumn("rank", F.coalesce(F.array_min(F.filter(places, lambda x: x.isNotNull())), F.lit(0)).cast("long"))
 
 

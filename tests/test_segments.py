@@ -66,3 +66,23 @@ def test_an_index_is_stored_and_searched_without_shuffling_postings(spark):
     search.bm25_top(stored, queries(spark)).collect()
     # 250,000 postings; document frequencies and the best documents are all that moves
     assert shuffled(spark) - before < 200_000
+
+
+def test_texts_that_hold_a_query_are_found_without_a_nested_loop(spark):
+    from lexmill.operators import evaluate
+
+    texts = ["a long passage of words", "xx a long passage", "passage", "long passag", "", None, "é long passage of wordsé long passage of words", "ab", "a long passage"]
+    items = ["long passage", "a long passage of words", "é long passage of words", "ab", "", None, "passage of words xx a long", "long passage"]
+    rows = spark.createDataFrame([(f"d{n}", t) for n, t in enumerate(texts)], "doc_id string, text string").coalesce(1)
+    asked = spark.createDataFrame(list(enumerate(items)), "query_id int, text string")
+    found = evaluate.holders(rows, asked)
+    assert sorted((r.doc_id, r.query_id) for r in found.collect()) == sorted((f"d{n}", q) for n, t in enumerate(texts) for q, i in enumerate(items) if t is not None and i is not None and i in t)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_by_plain_names_and_globs(spark):
+    from lexmill.operators import evaluate
+
+    rows = [(1, ["a.1", "b"], ["b"]), (2, ["axb"], ["a?b"]), (3, ["ab"], ["a.", "[x]"]), (4, ["x[", "x"], ["x", "x["]), (5, [], ["*"])]
+    ranks = {r.n: r["rank"] for r in evaluate.first_ranks(spark.createDataFrame(rows, "n int, hits array<string>, patterns array<string>")).collect()}
+    assert ranks == {1: 2, 2: 1, 3: 0, 4: 1, 5: 0}
