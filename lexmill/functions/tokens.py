@@ -22,6 +22,7 @@ _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), 95, *range(97, 123)]] = True
 _CJK = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _RANGES) + "]+")
+_ASCII_WORD = re.compile("[A-Za-z0-9_]{2,}")
 _STOPS = frozenset(STOP_WORDS)
 
 
@@ -47,6 +48,18 @@ def cjk_tokens(text: str) -> list[str]:
     return [t for run in _CJK.findall(text) for t in run_tokens(run) if t not in _STOPS]
 
 
+def frequent(text: str, least: int, longest: int) -> list[str]:
+    """ASCII words and CJK substrings of 2 to ``longest`` characters that occur ``least`` times or more: most frequent first, then longer, then by code points."""
+    if len(text) <= SLICE_BYTES:
+        count = Counter(map(str.lower, _ASCII_WORD.findall(text)))
+    else:  # the words of a long text are not held all at once
+        count = Counter(m[0].lower() for m in _ASCII_WORD.finditer(text))
+    for run in () if text.isascii() else _CJK.finditer(text):
+        for k in range(2, longest + 1):
+            count.update(run[0][i : i + k] for i in range(len(run[0]) - k + 1))
+    return sorted((w for w, n in count.items() if n >= least and w not in _STOPS), key=lambda w: (-count[w], -len(w), w))
+
+
 def _kept(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans of the ASCII words of two or more characters that are no stop words, in lower-case bytes."""
     starts, ends = spans(_WORD[raw], offsets)

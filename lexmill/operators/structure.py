@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lines as ln
 from ..functions import text as tx
 from ..functions.text import bound
+from ..functions.tokens import frequent
 
 KEYWORDS, MIN_FREQUENCY, LONGEST = 8, 2, 6
 
@@ -75,27 +76,20 @@ def infer_headings(docs: DataFrame, numbered: bool = True) -> DataFrame:
 def keywords(docs: DataFrame, top: int = KEYWORDS, least: int = MIN_FREQUENCY) -> DataFrame:
     """(doc_key, keywords): frequent ASCII words and CJK substrings of 2 to LONGEST characters.
 
-    Most frequent first, then longer, then by code points; a word inside an accepted longer one is skipped.
+    Most frequent first, then longer, then by code points; a word inside an accepted longer one is skipped. A row is a document, and
+    is counted by itself, so no word is shuffled; a text without a frequent word has no row.
     """
-    text = tx.strip(F.col("text"))
-    words = F.transform(F.regexp_extract_all(text, F.lit(tx.WORD), F.lit(0)), F.lower)
-    runs = F.filter(F.regexp_extract_all(text, F.lit(f"[{tx.CJK}]+"), F.lit(0)), lambda r: F.length(r) >= 2)
 
-    def parts(run: Column) -> Column:
-        def of(k: int) -> Column:
-            starts = F.when(F.length(run) >= k, F.sequence(F.lit(1), F.length(run) - k + 1)).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.substring(run, i, F.lit(k)))
+    def find(text: str) -> list[tuple]:
+        taken: list[str] = []
+        for word in frequent(text, least, LONGEST):
+            if len(taken) >= top:
+                break
+            if not any(word in t and len(t) > len(word) for t in taken):
+                taken.append(word)
+        return [(" ".join(taken),)] if taken else []
 
-        return F.concat(*(of(k) for k in range(2, LONGEST + 1)))
-
-    counted = docs.select("doc_key", F.explode(tx.without_stop_words(F.concat(F.flatten(F.transform(runs, parts)), words))).alias("token")).groupBy("doc_key", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    ordered = counted.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("a"), (-F.length("token")).alias("b"), "token"))).alias("c"))
-
-    def take(acc: Column, c: Column) -> Column:
-        inside = F.exists(acc, lambda s: F.contains(s, c["token"]) & (F.length(s) > F.length(c["token"])))
-        return F.when((F.size(acc) >= top) | inside, acc).otherwise(F.concat(acc, F.array(c["token"])))
-
-    return ordered.select("doc_key", F.aggregate("c", F.array().cast("array<string>"), take).alias("keywords"))
+    return ln.each(docs, ["doc_key"], find, "joined string").select("doc_key", F.split("joined", " ").alias("keywords"))
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:

@@ -86,3 +86,12 @@ def test_ranks_by_plain_names_and_globs(spark):
     rows = [(1, ["a.1", "b"], ["b"]), (2, ["axb"], ["a?b"]), (3, ["ab"], ["a.", "[x]"]), (4, ["x[", "x"], ["x", "x["]), (5, [], ["*"])]
     ranks = {r.n: r["rank"] for r in evaluate.first_ranks(spark.createDataFrame(rows, "n int, hits array<string>, patterns array<string>")).collect()}
     assert ranks == {1: 2, 2: 1, 3: 0, 4: 1, 5: 0}
+
+
+def test_keywords_are_counted_inside_the_row(spark):
+    from lexmill.operators import structure
+
+    texts = ["Zebra zebra lion LION lions lions the the the x1 x1 q", "民法典 民法典 tea", "once", "", None, "Kelvin elvin Kelvin"]
+    found = structure.keywords(spark.createDataFrame(list(enumerate(texts)), "doc_key long, text string"))
+    assert {r.doc_key: r.keywords for r in found.collect()} == {0: ["lions", "zebra", "x1"], 1: ["民法典"], 5: ["elvin"]}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
