@@ -5,18 +5,20 @@ from __future__ import annotations
 import bisect
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
+from .kernels import give_back
 
 SEPARATORS = ("。", "！", "？", ". ", "! ", "? ", "\n\n", "\n", " ")
 CHUNK_SIZE, OVERLAP = 1800, 0
-CHUNKS = "array<struct<ordinal:int,start:int,stop:int,text:string>>"
+CHUNK_BYTES = 1 << 20
 ENCODINGS = ("utf-8", "utf-8-sig", "gb18030", "cp1252", "latin-1")
 
 
@@ -175,12 +177,30 @@ class Chunker:
         return stop if stop > at else min(at + 1, len(text))
 
 
-def chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP, separators: Sequence[str] = SEPARATORS) -> Column:
-    """Chunks of a text as an array of (ordinal, start, stop, text)."""
-    cut = Chunker(size, overlap, separators)
-
-    @F.pandas_udf(CHUNKS)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("ordinal", "start", "stop", "text"), c)) for c in cut(t)])
-
-    return run(text)
+def chunk_batches(cut: Chunker) -> Callable:
+    """(doc_key, text) to the chunks of each text. A worker holds a text, its chunks and about CHUNK_BYTES of finished ones, however many texts a batch has."""
+    names = ["doc_key", "ordinal", "start", "stop", "text"]
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            held = 0
+            for key, text in zip(batch.column("doc_key"), batch.column("text")):
+                for c in cut(text.as_py()):
+                    rows.append((key.as_py(), *c))
+                    held += len(c[3])
+                    if held >= CHUNK_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        give_back()
+
+    return run
+
+
+def chunks(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, separators: Sequence[str] = SEPARATORS) -> DataFrame:
+    """(doc_key, ordinal, start, stop, text): the chunks of each text of (doc_key, text)."""
+    keyed = docs.select(F.col("doc_key").cast("long").alias("doc_key"), "text")
+    return keyed.mapInArrow(chunk_batches(Chunker(size, overlap, separators)), "doc_key long, ordinal int, start int, stop int, text string")

@@ -95,3 +95,19 @@ def test_keywords_are_counted_inside_the_row(spark):
     found = structure.keywords(spark.createDataFrame(list(enumerate(texts)), "doc_key long, text string"))
     assert {r.doc_key: r.keywords for r in found.collect()} == {0: ["lions", "zebra", "x1"], 1: ["民法典"], 5: ["elvin"]}
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_of_a_batch_go_on_before_it_is_done(spark):
+    import pyarrow as pa
+
+    from lexmill.functions import udf
+
+    texts = ["word " * 300, "", None, "short", "line\n" * 1000] * 400
+    cut = udf.Chunker(600, 60)
+    want = sorted((n, *c) for n, t in enumerate(texts) for c in cut(t))
+    made = udf.chunks(spark.createDataFrame(list(enumerate(texts)), "doc_key long, text string"), 600, 60)
+    assert made.columns == ["doc_key", "ordinal", "start", "stop", "text"] and sorted(map(tuple, made.collect())) == want
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_key", "text"])
+    parts = list(udf.chunk_batches(cut)(iter([batch])))
+    assert len(parts) > 1 and sum(p.num_rows for p in parts) == len(want)
+    assert all(sum(map(len, p.column("text").to_pylist())) < udf.CHUNK_BYTES + 2_000 for p in parts)
